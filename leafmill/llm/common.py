@@ -40,3 +40,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def words_of(text: Column) -> Column:
     """array<string> of the words of a text; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), "")
+
+
+def map_columns(df: DataFrame, f, schema: str) -> DataFrame:
+    """df through f, batch by batch on the executors: f gets the batch's columns as lists and returns the new columns as lists in
+    schema's order. Batches are cut so that their texts stay near 16 MB, whatever the length of one text."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    kind = _parse_datatype_string(schema)
+    assert isinstance(kind, StructType)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(kind)
+        for batch in batches:
+            step = max(1, batch.num_rows * (16 << 20) // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                columns = f(*(c.to_pylist() for c in part.columns))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, out.types, strict=True)], schema=out)
+
+    return df.mapInArrow(run, kind)

@@ -27,5 +27,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op8_quality_rules, op10_line_dedup)}
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.common import map_columns
+    from leafmill.llm.secret_scan import KINDS, joined, secret_scan, sha256
+
+    def digest(ids, spans):
+        base = [[x for x in row if x["kind"] != "guess"] for row in spans]
+        counts = [[sum(x["kind"] == k for x in row) for row in spans] for k in KINDS]
+        return ids, *counts[:3], [sha256(joined(row)) for row in base], [joined(row) for row in spans], counts[3]
+
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    return map_columns(found, digest, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_guess bigint")
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.topk_search import topk_search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.quality_classifier import quality_classifier
+
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_topk_search, op5_mix_sources, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
