@@ -14,6 +14,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "base")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.quality_rules import quality_rules
 
@@ -53,5 +59,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_topk_search, op5_mix_sources, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_topk_search, op5_mix_sources, op7_ngram_join, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
