@@ -46,6 +46,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_columns(found, digest, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_guess bigint")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.substring_dedup import substring_dedup
+
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.topk_search import topk_search
 
@@ -59,5 +66,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_topk_search, op5_mix_sources, op7_ngram_join, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_topk_search, op5_mix_sources, op7_ngram_join, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
