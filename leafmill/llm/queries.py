@@ -14,6 +14,14 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "base")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from leafmill.llm.byte_bpe import digests, load_ranks
+
+    return digests(table(spark, sf_dir, "documents"), load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.ngram_join import ngram_join
 
@@ -66,5 +74,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_topk_search, op5_mix_sources, op7_ngram_join, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_topk_search, op5_mix_sources, op6_byte_bpe, op7_ngram_join, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
