@@ -28,7 +28,7 @@ def boilerplate_lines(docs: DataFrame, site: Column, max_ratio: float, min_pages
 BROADCAST_BYTES = 8 << 20
 
 
-def line_dedup(docs: DataFrame, site: Column | None = None, max_ratio: float = 0.2, min_pages: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, site: Column | None = None, max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """All columns of docs, with text (and n_chars, where there is one) without the lines that stand on more than max_ratio of
     their site's pages and on min_pages pages at least, and n_lines and n_dropped (lines before, lines dropped).
 
