@@ -17,6 +17,8 @@ from leafmill.llm.common import staged, words_of
 
 #: Levels of refinement and bits a level; the boundary of a source shrinks by 2**BITS at each level.
 LEVELS, BITS = 3, 8
+#: Thresholds are broadcast for up to so many sources.
+BROADCAST_SOURCES = 100_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -76,7 +78,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         cells = cells.where(F.col("_e").isNotNull())
         cells = cells.select("_s", "source_size", "target", "base", (F.col("_left") - (F.col("_e")["_upto"] - F.col("_e")["_n"])).alias("_left"), F.col("_e")["_b"].alias("_prefix"), F.col("_e")["_n"].alias("_n"))
     cut = cells.select(F.col("_s").alias("_s2"), F.col("_prefix").alias("_edge"), (F.col("_left") / F.col("_n")).alias("_part"))
-    final = goal.drop("_left").join(cut, F.col("source").eqNullSafe(F.col("_s2")), "left").withColumnRenamed("source", "_g")
-    out = base.join(final, F.col("source").eqNullSafe(F.col("_g")))
+    final = staged(goal.drop("_left").join(cut, F.col("source").eqNullSafe(F.col("_s2")), "left").withColumnRenamed("source", "_g"), "thresholds")
+    few = final.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES  # beyond it, by a shuffle that splits hot sources
+    out = base.join(F.broadcast(final) if few else final, F.col("source").eqNullSafe(F.col("_g")))
     more = F.when(F.col("h") < F.col("_edge"), F.col("size")).when(F.col("h") == F.col("_edge"), F.round(F.col("size") * F.col("_part")).cast("long")).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", "base", (F.col("base") * F.col("size") + F.coalesce(more, F.lit(0))).cast("long").alias("taken"))
