@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import table
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.html_extract import html_extract
+
+    return html_extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm.mixing import mix
 
@@ -74,5 +80,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_topk_search, op5_mix_sources, op6_byte_bpe, op7_ngram_join, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_topk_search, op4_html_extract, op5_mix_sources, op6_byte_bpe, op7_ngram_join, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
