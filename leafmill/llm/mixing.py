@@ -22,9 +22,9 @@ BROADCAST_SOURCES = 100_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words; 0 for null texts), and the hash's leading LEVELS * BITS bits as h."""
+    """docs with size (words; 0 for null texts) and h, the leading LEVELS * BITS bits of the hash of doc_id."""
     hexed = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, LEVELS * BITS // 4)
-    return docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), F.conv(hexed, 16, 10).cast("long").alias("h"))
+    return docs.withColumns({"size": F.size(words_of(F.col("text"))).cast("long"), "h": F.conv(hexed, 16, 10).cast("long")})
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -47,18 +47,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return ranked.select("source", "source_size", F.when(F.col("_fit").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_fit")["_level"] * F.col("_w"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, base, taken.
-
-    base whole copies of every document of a source are taken (0, 1 or 2: target // source_size); of what is left of the
-    target, documents below the hash threshold give one more copy each. In the last boundary cell, of 2**-24 of a
-    source's hashes, documents give the same part of a copy, so that a source meets its target but for rounding even
-    if it is one document or many equal rows. Reruns agree: the hash is of doc_id alone.
-
-    Nulls: a null text has size 0 and takes 0; a null source is a source of its own; a null doc_id hashes as an empty
-    string. Empty tables give empty results. Other columns are not read. Repeated rows are documents of their own.
-    """
-    base = staged(sized(docs), "sizes")
+def thresholds(base: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """_g (source), source_size, target, base, _edge, _part from base (source, size, h): base whole copies, then documents with
+    hashes below _edge once more, and the part _part of those at it."""
     goal = targets(base, weights, share, most)
     goal = goal.withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = staged(goal.withColumn("_left", F.greatest(F.lit(0.0), F.col("target") - F.col("base") * F.col("source_size"))), "targets")
@@ -79,7 +70,40 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         cells = cells.select("_s", "source_size", "target", "base", (F.col("_left") - (F.col("_e")["_upto"] - F.col("_e")["_n"])).alias("_left"), F.col("_e")["_b"].alias("_prefix"), F.col("_e")["_n"].alias("_n"))
     cut = cells.select(F.col("_s").alias("_s2"), F.col("_prefix").alias("_edge"), (F.col("_left") / F.col("_n")).alias("_part"))
     final = staged(goal.drop("_left").join(cut, F.col("source").eqNullSafe(F.col("_s2")), "left").withColumnRenamed("source", "_g"), "thresholds")
+    return final
+
+
+def _with(docs: DataFrame, final: DataFrame) -> DataFrame:
     few = final.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES  # beyond it, by a shuffle that splits hot sources
-    out = base.join(F.broadcast(final) if few else final, F.col("source").eqNullSafe(F.col("_g")))
+    return docs.join(F.broadcast(final) if few else final, F.col("source").eqNullSafe(F.col("_g")))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, base, taken.
+
+    base whole copies of every document of a source are taken (0, 1 or 2: target // source_size); of what is left of the
+    target, documents below the hash threshold give one more copy each. In the last boundary cell, of 2**-24 of a
+    source's hashes, documents give the same part of a copy, so that a source meets its target but for rounding even
+    if it is one document or many equal rows. Reruns agree: the hash is of doc_id alone.
+
+    Nulls: a null text has size 0 and takes 0; a null source is a source of its own; a null doc_id hashes as an empty
+    string. Empty tables give empty results. Other columns are not read. Repeated rows are documents of their own.
+    """
+    base = staged(sized(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
+    out = _with(base, thresholds(base, weights, share, most))
     more = F.when(F.col("h") < F.col("_edge"), F.col("size")).when(F.col("h") == F.col("_edge"), F.round(F.col("size") * F.col("_part")).cast("long")).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", "base", (F.col("base") * F.col("size") + F.coalesce(more, F.lit(0))).cast("long").alias("taken"))
+
+
+def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs that the mix takes, as often as it takes them, with the columns of docs: documents in a boundary cell come
+    once more if their part is a half or more. Rows without words are not taken. Otherwise as mix; the documents are
+    not shuffled, as the thresholds come to them."""
+    base = staged(sized(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
+    final = thresholds(base, weights, share, most)
+    renamed = docs.select(*(F.col(c).alias(f"_in_{c}") for c in docs.columns))
+    own = renamed.withColumns({"doc_id": F.col("_in_doc_id"), "source": F.col("_in_source"), "text": F.col("_in_text")})
+    out = _with(sized(own), final)
+    copies = F.col("base") + F.when((F.col("h") < F.col("_edge")) | ((F.col("h") == F.col("_edge")) & (F.col("_part") >= 0.5)), 1).otherwise(0)
+    out = out.withColumn("_copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("int")).where("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"_in_{c}").alias(c) for c in docs.columns))

@@ -116,18 +116,38 @@ def statistics(docs: DataFrame) -> DataFrame:
     return map_columns(docs.select("doc_id", "text"), lambda ids, texts: (ids, [document_statistics(t) for t in texts]), f"doc_id {kind}, x array<double>")
 
 
-def fit(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Forest:
     """A forest from rows of labels whose crc32(doc_id as text) mod 4 is not 2; rows bounds the sample. Null labels are left
-    out; a doc_id with several labels counts by their mean, 0.5 and more as 1."""
+    out; a doc_id with several labels counts by their mean, 0.5 and more as 1. docs has doc_id and text, or x already."""
     use = labels.select("doc_id", F.col("quality").cast("double").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     use = use.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     order = F.md5(F.col("doc_id").cast("string"))
-    use = use.orderBy(order).limit(rows)
-    found = stats.join(use, "doc_id").select("doc_id", "x", "y").orderBy(order, "x").limit(rows).collect()
+    use = F.broadcast(use.orderBy(order).limit(rows).withColumnRenamed("doc_id", "_d"))
+    named = docs.join(use, F.col("doc_id") == F.col("_d"))
+    if "x" not in docs.columns:
+        named = map_columns(named.select("text", "y", "doc_id"), lambda texts, ys, ids: ([document_statistics(t) for t in texts], ys, ids), f"x array<double>, y double, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    found = named.select("doc_id", "x", "y").orderBy(order, "x").limit(rows).collect()
     x = np.array([r["x"] for r in found], dtype=float).reshape(len(found), len(FEATURES))
     return fit_forest(x, np.array([r["y"] for r in found], dtype=float))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs, with all their columns, that quality_classifier predicts 1 for; the documents are not shuffled."""
+    forest, at = fit(docs.select("doc_id", "text"), labels, fit_rows), docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            step = max(1, batch.num_rows * (16 << 20) // max(1, batch.nbytes))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                x = np.array([document_statistics(t.as_py()) for t in part.column(at)], dtype=float).reshape(part.num_rows, len(FEATURES))
+                yield part.filter(pa.array(forest.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted (1 if score >= threshold).
 
