@@ -6,7 +6,7 @@ import importlib
 from types import ModuleType
 
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("q_dedup",)
 
 
 def load() -> ModuleType:
