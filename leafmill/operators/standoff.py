@@ -152,21 +152,26 @@ SCHEMA = "text string, pages array<struct<cstart:int,cend:int,pnum:int,pname:str
 
 def standoff(files: DataFrame, id: str, content: str) -> DataFrame:
     """id and the standoff form of each TEI document; a document that cannot be read has a null text."""
-    kind = files.schema[id].dataType.simpleString()
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    rest = _parse_datatype_string(SCHEMA)
+    assert isinstance(rest, StructType)
+    kind = StructType().add("id", files.schema[id].dataType)
+    for field in rest.fields:
+        kind = kind.add(field)
 
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
 
-        schema = to_arrow_schema(_parse_datatype_string(f"id {kind}, {SCHEMA}"))
+        schema = to_arrow_schema(kind)
         for batch in batches:
             found = [to_standoff(x) or {} for x in batch.column(1).to_pylist()]
             cells = [batch.column(0).to_pylist(), *([f.get(c) for f in found] for c in ("text", "pages", "milestones", "hi", "source_path"))]
             cells[3] = [None if m is None else list(m.items()) for m in cells[3]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, schema.types)], schema=schema)
 
-    return files.select(id, content).mapInArrow(run, f"id {kind}, {SCHEMA}")
+    return files.select(id, content).mapInArrow(run, kind)
 
 
 def compared(text: str) -> str:
