@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import table
+from leafmill.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +84,3 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_topk_search, op4_html_extract, op5_mix_sources, op6_byte_bpe, op7_ngram_join, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
