@@ -26,8 +26,6 @@ PIECE = 25
 HOT = 2000
 #: An automaton is built for groups of fragments of so many words together.
 SHARD_WORDS = 50_000
-#: Per-document lists are broadcast up to this many bytes, and else joined by a shuffle.
-BROADCAST_BYTES = 24 << 20
 
 
 def words_in(text: str | None) -> list[bytes]:
@@ -162,12 +160,6 @@ def _smaller(window: int):
     return run
 
 
-def _sized(df: DataFrame, size) -> DataFrame:
-    """df, for broadcast where the sum of size is within BROADCAST_BYTES."""
-    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
-
-
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, text (the kept words joined by one space).
 
@@ -182,10 +174,10 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
 
     def find(ids):
         def f(doc_ids, ths, texts):
-            out = ([], [], [], [], [])
+            out = ([], [], [])
             for d, h, t in zip(doc_ids, ths, texts):
-                anchors, first, n = fragments(ids.of(words_in(t)), window, piece)
-                for column, values in zip(out, (np.full(len(first), d), np.full(len(first), h), anchors.view(np.int64), first, n)):
+                anchors = np.unique(fragments(ids.of(words_in(t)), window, piece)[0])  # once, however often its words repeat
+                for column, values in zip(out, (np.full(len(anchors), d), np.full(len(anchors), h), anchors.view(np.int64))):
                     column.append(values.astype(np.int64))
             return [np.concatenate(c) if c else [] for c in out]
 
@@ -193,23 +185,24 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
 
     named = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     every = Window.partitionBy("anchor")
-    seen = _batches(named, find, "doc_id long, th long, anchor long, first long, n long")
-    seen = seen.select("doc_id", "th", "first", F.min("doc_id").over(every).alias("lo"), F.max("doc_id").over(every).alias("hi"))
-    shared = seen.where("lo < hi").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("first")).alias("firsts"))
+    seen = _batches(named, find, "doc_id long, th long, anchor long")
+    seen = seen.select("doc_id", "th", "anchor", F.min("doc_id").over(every).alias("lo"), F.max("doc_id").over(every).alias("hi"))
+    shared = seen.where("lo < hi").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("anchors"))
     shared = staged(shared, "shared").withColumnsRenamed({"doc_id": "_d", "th": "_h"})
-    followed = named.join(_sized(shared, F.size("firsts") * 8 + 40), (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_h"))).select("doc_id", "th", "text", "firsts")
+    followed = named.join(shared, (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_h"))).select("doc_id", "th", "text", "anchors")
 
     def cut(ids):
-        def f(doc_ids, ths, texts, firsts):
+        def f(doc_ids, ths, texts, shared):
             out, sent = ([], [], [], [], [], [], []), set()
-            for d, h, t, wanted in zip(doc_ids, ths, texts, firsts):
+            for d, h, t, wanted in zip(doc_ids, ths, texts, shared):
                 words, wanted = words_in(t), set(wanted)
-                for anchor, at, n in zip(*fragments(ids.of(words), window, piece)):
-                    if int(at) in wanted:
+                anchors, first, n_windows = fragments(ids.of(words), window, piece)
+                for anchor, at, n in zip(anchors.view(np.int64).tolist(), first.tolist(), n_windows.tolist()):
+                    if anchor in wanted:
                         text = b" ".join(words[at : at + n + window - 1])
                         frag = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True)
-                        key = (int(anchor), frag)
-                        for column, x in zip(out, (d, h, int(np.int64(anchor.view(np.int64))), frag, int(at), int(n), None if key in sent else text)):
+                        key = (anchor, frag)
+                        for column, x in zip(out, (d, h, anchor, frag, at, n, None if key in sent else text)):
                             column.append(x)
                         sent.add(key)
             return out
@@ -247,7 +240,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     part = of.where("doc_id = low").join(inner, (F.col("anchor") == F.col("_a")) & (F.col("frag") == F.col("_f"))).select("doc_id", "th", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     gone = whole.union(part).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     gone = staged(gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("gone")["a"].alias("a"), F.col("gone")["b"].alias("b")), "gone")
-    judged = rows.join(_sized(gone, F.size("a") * 16 + 48), (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_h")), "left").select("doc_id", "text", "a", "b")
+    judged = rows.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_h")), "left").select("doc_id", "text", "a", "b")
 
     def keep(ids):
         def f(doc_ids, texts, starts, ends):
