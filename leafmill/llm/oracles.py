@@ -9,8 +9,8 @@ WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x:
 OP2 = rf"""WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
 v AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
 lo AS (SELECT h, min(doc_id) AS low FROM v GROUP BY 1), g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM v JOIN lo USING (h) WHERE low < doc_id),
-gl AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY 1), k AS (SELECT d.doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d JOIN gl USING (doc_id)),
-kt AS (SELECT k.doc_id, coalesce(string_agg(x, ' ' ORDER BY p) FILTER (WHERE g.p IS NULL), '') AS t, count(g.p) AS n FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.p = k.p GROUP BY 1)
+gl AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY 1), k AS (SELECT d.doc_id, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS x FROM d JOIN gl USING (doc_id)),
+kt AS (SELECT k.doc_id, coalesce(string_agg(x, ' ' ORDER BY q) FILTER (WHERE g.p IS NULL), '') AS t, count(g.p) AS n FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.p = k.q GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, array_to_string(w, ' '))) AS kept_sha256 FROM d LEFT JOIN kt USING (doc_id)"""
 
 OP3 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
