@@ -15,7 +15,6 @@ def t(spark, d, name) -> DataFrame:
 
 
 # Phrases: the first eight words of each passage.
-PHRASE = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"[་།\s]+"), lambda x: x != ""), 1, 8), " ")
 SEARCH_SQL = r"""dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[་།\s]+'), lambda x: x <> '') AS w FROM documents),
 ds AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS s FROM dw WHERE len(w) > 0), qw AS (SELECT item_id, list_slice(list_filter(regexp_split_to_array(lower(text), '[་།\s]+'), lambda x: x <> ''), 1, 8) AS w FROM benchmark),
 hit AS (SELECT item_id, doc_id FROM qw JOIN ds ON contains(s, ' ' || array_to_string(qw.w, ' ') || ' ')),
@@ -24,7 +23,8 @@ ws AS (SELECT item_id, sum(ln(1 + (total - n + 0.5) / (n + 0.5))) AS score FROM
 
 
 def phrases(spark, d, slop=0) -> DataFrame:
-    return S.phrase_table(t(spark, d, "benchmark").select("item_id", F.lit(slop).alias("slop"), PHRASE.alias("phrase")))
+    first = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"[་།\s]+"), lambda x: x != ""), 1, 8), " ")
+    return S.phrase_table(t(spark, d, "benchmark").select("item_id", F.lit(slop).alias("slop"), first.alias("phrase")))
 
 
 def posts(spark, d) -> DataFrame:
