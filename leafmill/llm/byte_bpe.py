@@ -2,8 +2,9 @@
 
 The pre-tokeniser's pieces are counted over the whole corpus; the distinct pieces that occur most often are encoded once each by a
 fold of Spark's higher-order functions over their bytes, which looks adjacent pairs up in a literal rank map and merges the
-leftmost pair of least rank until none has a rank. Documents are then written as ids by these pieces; pieces beyond the
-dictionary, whose size is bounded, go through the same fold next to their document. Decoding concatenates the ids' bytes.
+leftmost pair of least rank until none has a rank. Documents are then written as ids by these pieces, from a broadcast
+dictionary of bounded size. Pieces beyond it are merged in the worker by the same rule: inside the fold, each costs
+several times as much, and a few per cent of all occurrences are such. Decoding concatenates the ids' bytes.
 """
 
 from __future__ import annotations
@@ -12,28 +13,29 @@ import base64
 import heapq
 import io
 import json
+import re
 import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import staged
 
 #: Distinct pieces in the broadcast dictionary, at most.
-DICTIONARY = 1 << 19
+DICTIONARY = 1 << 18
 #: Counts of pieces are told apart up to this one when the dictionary's least count is looked for.
 MOST_COUNT = 10_000
 #: A worker hands its counts on when it holds so many distinct pieces.
-COUNTED = 400_000
+COUNTED = 200_000
+#: A worker remembers so many space-separated words, then starts afresh.
+REMEMBERED = 200_000
 #: The fold takes time with the square of a piece's bytes; longer pieces are merged with a heap.
 LONG = 256
 #: Slots of the literal rank map: a list of small maps, as Spark looks through a map entry by entry.
 SLOTS = 1 << 16
-#: Added to a place in the list of a document's own pieces.
-OWN = 1 << 30
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -102,10 +104,53 @@ def merged_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts if x is not None]
 
 
-def _pieces_of(pattern: str):
-    import regex
+def merged_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a short piece: the leftmost pair of least rank is merged until none has a rank."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+    while pairs and (least := min(pairs)) != _NONE:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
+    return [ranks[x] for x in parts]
 
-    return regex.compile(pattern).findall
+
+_NONE = 1 << 40
+
+
+class Splitter:
+    """Splits texts at single spaces between other characters, where no piece of the pattern can go on, into words with the space
+    before them, and words into pieces."""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        self.find = regex.compile(pattern).findall
+
+    def words(self, text: str) -> tuple[str, list[str]]:
+        """The first word and the others, which have a space before them, each to be cut into pieces by itself. The whole text is the
+        first word if it has white space at an end or side by side."""
+        if _TOUCHING(text):
+            return text, []
+        first, *others = text.split(" ")
+        return first, others
+
+    def pieces(self, word: str) -> list[str]:
+        body = word[1:] if word[:1] == " " else word
+        if body.isalpha():  # letters only, with or without a space, are one piece
+            return [word]
+        if body[-1:] in _MARKS and body[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.find(word)
+
+
+_TOUCHING = re.compile(r"\s\s|\A\s|\s\Z").search
+# Marks that end a piece of letters and are a piece by themselves at a word's end.
+_MARKS = tuple(".,;:!?")
 
 
 def piece_counts(docs: DataFrame, pattern: str) -> DataFrame:
@@ -114,17 +159,23 @@ def piece_counts(docs: DataFrame, pattern: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        find, counts = _pieces_of(pattern), Counter()
+        split, counts, firsts = Splitter(pattern), Counter(), Counter()
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["piece", "n"])
-            counts.clear()
-            return out
+            pieces: Counter = Counter()
+            for space, words in ((" ", counts), ("", firsts)):
+                for word, n in words.items():
+                    for piece in split.pieces(space + word):
+                        pieces[piece] += n
+                words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], names=["piece", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                counts.update(find(text.as_py() or ""))
-                if len(counts) >= COUNTED:
+                first, others = split.words(text.as_py() or "")
+                firsts[first] += 1
+                counts.update(others)
+                if len(counts) + len(firsts) >= COUNTED:
                     yield flush()
         yield flush()
 
@@ -149,13 +200,8 @@ def dictionary(docs: DataFrame, pattern: str, maps: Column, most: int) -> DataFr
 _KNOWN: dict[str, dict] = {}
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> DataFrame:
-    """Per row of docs: doc_id, ids array<int>: the ids of the whole text, as the merges by rank give them for each match of
-    pattern by itself, without special tokens.
-
-    A null or empty text has no ids. Repeated rows are encoded one by one; other columns are not read; empty tables give
-    empty results. The dictionary has at most `most` pieces and is broadcast; it decides the work, not the result.
-    """
+def encoder(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY):
+    """Makes the dictionary of docs and returns the function from batches (doc_id, text) to batches (doc_id, ids)."""
     import pyarrow as pa
 
     maps = rank_map(ranks)
@@ -168,74 +214,71 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = D
     sent, name = spark.sparkContext.broadcast(sink.getvalue()), uuid.uuid4().hex
     del sink
     every = spark.sparkContext.broadcast(ranks)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def first(batches):
-        """ids with OWN + k for the k-th of the pieces that the document has beyond the dictionary."""
+    def run(batches):
         from leafmill.llm.byte_bpe import _KNOWN  # the worker's own, kept between tasks
 
         if name not in _KNOWN:
             _KNOWN.clear()
             table = pa.ipc.open_stream(sent.value).read_all()
-            flat, ends = table["ids"].combine_chunks(), np.concatenate([[0], np.cumsum(table["ids"].combine_chunks().value_lengths().to_numpy())]) if table.num_rows else [0]
-            raw = flat.flatten().to_numpy().astype("<u4").tobytes() if table.num_rows else b""
-            _KNOWN[name] = {p.as_py().decode(): raw[4 * ends[i] : 4 * ends[i + 1]] for i, p in enumerate(table["piece"])}
-        coded = coder(_pieces_of(pattern), _KNOWN[name])
+            lists = table["ids"].combine_chunks()
+            lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+            raw = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+            _KNOWN[name] = {p.as_py().decode(): raw[4 * a : 4 * b] for p, a, b in zip(table["piece"], ends, ends[1:])}
+        known, split, ranked = _KNOWN[name], Splitter(pattern), every.value
+
+        def coded(word):
+            parts = []
+            for piece in split.pieces(word):
+                code = known.get(piece)
+                if code is None:
+                    own = piece.encode()
+                    code = np.array((merged_short if len(own) <= LONG else merged_by_heap)(own, ranked), dtype="<i4").tobytes()
+                parts.append(code)
+            return b"".join(parts)
+
+        class Words(dict):
+            """word -> the ids of the word and a space before it, as bytes."""
+
+            def __missing__(self, word):
+                code = coded(" " + word)
+                if len(word) <= LONG:
+                    if len(self) >= REMEMBERED:
+                        self.clear()
+                    self[word] = code
+                return code
+
+        code_of = Words().__getitem__
         for batch in batches:
-            step = max(1, batch.num_rows * (8 << 20) // max(1, batch.nbytes))
+            step = max(1, batch.num_rows * (2 << 20) // max(1, batch.nbytes))
             for start in range(0, batch.num_rows, step):
-                yield coded(batch.slice(start, step))
-
-    def coder(find, known):
-        def coded(batch):
-            columns = ([], [], [])
-            for text in batch.column("text"):
-                own: dict[str, int] = {}
-                parts = []
-                for piece in find(text.as_py() or ""):
-                    code = known.get(piece)
-                    if code is None:
-                        code = (OWN + own.setdefault(piece, len(own))).to_bytes(4, "little")
-                    parts.append(code)
-                raw = [p.encode() for p in own]
-                short = [p if len(p) <= LONG else b"" for p in raw]
-                longer = [None if len(p) <= LONG else merged_by_heap(p, every.value) for p in raw]
-                for column, x in zip(columns, (b"".join(parts), short, longer)):
-                    column.append(x)
-            kinds = (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns, kinds)], names=["doc_id", "codes", "own", "longer"])
-
-        return coded
-
-    def last(batches):
-        for batch in batches:
-            out = []
-            for codes, own, longer in zip(batch.column("codes"), batch.column("own_ids").to_pylist(), batch.column("longer").to_pylist()):
-                ids = np.frombuffer(codes.as_buffer() or b"", dtype="<u4") if len(codes.as_buffer() or b"") else np.zeros(0, dtype="<u4")
-                places = np.flatnonzero(ids >= OWN)
-                if len(places):
-                    parts, start = [], 0
-                    for i in places.tolist():
-                        k = int(ids[i]) - OWN
-                        parts += [ids[start:i], np.array(longer[k] if longer[k] is not None else own[k], dtype="<u4")]
-                        start = i + 1
-                    ids = np.concatenate([*parts, ids[start:]])
-                out.append(ids.astype(np.int32))
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            values = np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes), pa.array(values, pa.int32()))], names=["doc_id", "ids"])
-
-    coded = docs.select("doc_id", "text").mapInArrow(first, f"doc_id {kind}, codes binary, own array<binary>, longer array<array<int>>")
-    coded = coded.select("doc_id", "codes", F.transform("own", lambda p: folded(p, maps)).alias("own_ids"), "longer")
-    return coded.mapInArrow(last, f"doc_id {kind}, ids array<int>")
+                part = batch.slice(start, step)
+                cut = [split.words(t.as_py() or "") for t in part.column("text")]
+                codes = [coded(first) + b"".join(map(code_of, others)) for first, others in cut]
+                sizes = np.concatenate([[0], np.cumsum([len(c) // 4 for c in codes])]).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(codes), dtype="<i4"), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes), values)], names=["doc_id", "ids"])
 
+    return run
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Per row of encoded (doc_id, ids): doc_id, ids, decoded: the concatenated bytes of the ids; null ids decode as none."""
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> DataFrame:
+    """Per row of docs: doc_id, ids array<int>: the ids of the whole text, as the merges by rank give them for each match of
+    pattern by itself, without special tokens.
+
+    A null or empty text has no ids. Repeated rows are encoded one by one; other columns are not read; empty tables give
+    empty results. The dictionary has at most `most` pieces and is broadcast; it decides the work, not the result.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(encoder(docs, ranks, pattern, most), f"doc_id {kind}, ids array<int>")
+
+
+def decoder(spark: SparkSession, ranks: dict[bytes, int]):
+    """The function from batches (doc_id, ids) to batches (doc_id, ids, decoded)."""
     import pyarrow as pa
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    sent = encoded.sparkSession.sparkContext.broadcast({r: t for t, r in ranks.items()})
+    sent = spark.sparkContext.broadcast({r: t for t, r in ranks.items()})
 
     def run(batches):
         piece = sent.value.__getitem__
@@ -243,21 +286,28 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             texts = [b"".join(map(piece, ids.values.to_numpy().tolist())) if ids.is_valid else b"" for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return run
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Per row of encoded (doc_id, ids): doc_id, ids, decoded: the concatenated bytes of the ids; null ids decode as none."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(decoder(encoded.sparkSession, ranks), f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs, through encode and decode."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs. The batches go through encoder and decoder in one
+    worker, as each step of its own would have workers of its own, with their memory."""
     import hashlib
 
     import pyarrow as pa
 
-    decoded = decode(encode(docs, ranks, pattern), ranks)
+    encoding, decoding = encoder(docs, ranks, pattern), decoder(docs.sparkSession, ranks)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in decoding(encoding(batches)):
             ids = [x.values.to_numpy().astype("<u4").tobytes() if x.is_valid and len(x.values) else b"" for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in batch.column("decoded")])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in batch.column("decoded")], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

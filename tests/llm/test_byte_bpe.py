@@ -26,7 +26,8 @@ def test_words_and_pieces_equal_the_library(ranks, judge):
     split, rng = B.Splitter(public_tokenizers.PATTERN), random.Random(1)
     for _ in range(3000):
         text = "".join(rng.choice(PARTS) + rng.choice(["", " "]) for _ in range(rng.randint(0, 12)))
-        got = [i for w in split.words(text) for p in split.pieces(w) for i in B.merged_short(p.encode(), ranks)]
+        first, others = split.words(text)
+        got = [i for w in (first, *(" " + x for x in others)) for p in split.pieces(w) for i in B.merged_short(p.encode(), ranks)]
         assert got == judge(text), repr(text)
 
 
