@@ -39,13 +39,11 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(r) AS component_id FROM d LEF
 
 
 def _op8() -> str:
-
     steps, last = [], "t0"
     for k, (name, pattern) in enumerate(CLASSES):
         quoted = pattern.replace("'", "''")
         steps.append(f"s{k} AS (SELECT *, regexp_replace(t{k}, '{quoted}', '', 'g') AS t{k + 1} FROM {'d' if k == 0 else f's{k - 1}'})")
         last = f"t{k + 1}"
-
     names = [n for n, _ in CLASSES]
     chars = ", ".join(f"length(t{k}) - length(t{k + 1}) AS c_{n}" for k, n in enumerate(names)) + f", length({last}) AS c_other"
     every = [f"c_{n}" for n in (*names, "other")]
