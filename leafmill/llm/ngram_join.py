@@ -1,13 +1,15 @@
 """N-gram Jaccard join with token-combination prefixes, and the components of its links.
 
-Tokens are hashes of word n-grams, ordered by (frequent or not, hash). Two sets that are similar enough share a token in
-their prefixes, and two tokens in prefixes that are one longer. Documents are indexed by each rare token of the longer
-prefix and, for frequent tokens, by pairs of them: a similar pair shares a rare token there or else two frequent ones. Long
-sets, whose pairs would be many, are indexed by single frequent tokens; sizes for which either may apply have both.
-
-Pairs come from the index without expanding its lists: a list's least node leads, and the others are compared with it; lists
-that are then still of several components go on with more leaders. Candidates pass an exact bound of their overlap
-from 1024-bit parity bitmaps before their sets are fetched and compared.
+Tokens are hashes of word n-grams, in one order: rare ones by hash, then those that are frequent within batches, by hash. The
+first token that two similar sets have in common is in the prefixes of both, so sets are indexed by their prefixes' single
+tokens. Tokens that turn out to have long lists are frequent, too: the sets in these lists get longer prefixes, and are
+indexed by combinations of K tokens that follow each other in their order. Two similar sets differ in so few tokens that K
+common ones follow each other in both, and the first such run is in both longer prefixes (see extended_length); sets that
+merely hold one passage hardly ever have a run in common.
+
+Pairs come from the index without expanding its lists. In a few rounds, each node is compared with one leader of its lists, which
+joins groups of near copies at the cost of a pair a node. Lists that are then still of several components are compared
+within tasks, in blocks: an exact bound of the overlap from parity bitmaps leaves the few pairs whose sets are fetched.
 """
 
 from __future__ import annotations
@@ -19,14 +21,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import staged
-from leafmill.llm.hashing import WordIds, mixed, ngrams
+from leafmill.llm.hashing import WordIds, ngrams
 
 #: Tokens in this share of a batch's documents are frequent; the list has the commonest FREQUENT_MOST of them. Which tokens are
 #: frequent decides the order of tokens, and so the work, but not the result.
 FREQUENT_SHARE, FREQUENT_MOST = 1 / 1000, 50_000
-#: Sets up to this size are indexed by pairs of frequent tokens, larger ones by single ones.
-PAIR_SIZE = 200
-BITMAP = 1024
+#: Lists with more entries are of frequent tokens, whose sets are indexed by runs of K tokens instead.
+LONG_LIST, K = 16, 3
+#: Smaller sets may have no run; they, and those they can be similar to, stay in the lists of single tokens.
+RUN_SIZE = 24
+BITMAP = 512
+#: Rounds in which nodes meet a leader, and nodes in a block of a long list.
+ROUNDS, BLOCK = 3, 4096
 #: Nodes whose sets are fetched are broadcast up to this many, and else joined by a shuffle.
 BROADCAST_NODES = 500_000
 
@@ -58,24 +64,30 @@ def bitmap(tokens: np.ndarray) -> list[int]:
     return np.packbits(cells.astype(np.uint8)).view(">i8").astype(np.int64).tolist()
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys under which a set is indexed, as described above."""
-    n = len(tokens)
-    if not n:
+def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """tokens, which are sorted, with the frequent ones last."""
+    if not len(frequent):
         return tokens
-    at = np.searchsorted(frequent, tokens)
-    often = (at < len(frequent)) & (frequent[np.minimum(at, max(0, len(frequent) - 1))] == tokens) if len(frequent) else np.zeros(n, dtype=bool)
-    rare = tokens[~often]
-    length = min(n, prefix_length(n, num, den) + 1)
-    keys = [rare[:length]]
-    common = tokens[often][: max(0, length - len(rare))]
-    if len(common):
-        if n <= PAIR_SIZE * den // num + 1:
-            i, j = np.triu_indices(len(common), 1)
-            keys.append(mixed(common[i] * np.uint64(3) + mixed(common[j])))
-        if n >= PAIR_SIZE or ceil(n * num / den) < 2:
-            keys.append(common)
-    return np.concatenate(keys)
+    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+    often = frequent[at] == tokens
+    return np.concatenate([tokens[~often], tokens[often]])
+
+
+def extended_length(size: int, num: int, den: int) -> int:
+    """How far the first run of K common tokens can be. Up to its end, at most K - 1 common tokens stand between two that only
+    one set has; so in a set with d of its own, and e of the other's, its end is at (K - 1)(d + e) + K + d at most.
+    That is linear in the other's size between the sizes at which it is decided here."""
+    most = 0
+    for other in (ceil(size * num / den), size * den // num):
+        common = ceil(num * (size + other) / (num + den))
+        d, e = size - min(size, common), other - min(other, common)
+        most = max(most, (K - 1) * (d + e) + K + d)
+    return most + K
+
+
+def run_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of the runs of K tokens in the longer prefix."""
+    return ngrams(ordered(tokens, frequent)[: extended_length(len(tokens), num, den)], K)
 
 
 def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
@@ -98,59 +110,80 @@ def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
     return docs.mapInArrow(run, kind)
 
 
-def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of the tokens that are common within batches of documents; at most FREQUENT_MOST."""
-
-    def make(ids):
-        def count(texts):
-            sets = [token_set(t, n, ids) for t in texts]
-            tokens, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64), return_counts=True)
-            keep = counts >= max(4, FREQUENT_SHARE * len(sets))
-            return tokens[keep].view(np.int64), counts[keep].astype(np.int64)
-
-        return count
-
-    found = _batches(docs.select("text"), make, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "tok").limit(FREQUENT_MOST).select("tok").collect()
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
-
-
 def nodes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, node (null for empty sets), key, size, bits of every row; rows with equal sets have one node."""
+    """doc_id, node (null for empty sets), key, size, bits of every row; rows with equal sets have one node. Besides, with size
+    null: tok, count of the tokens that are common within a batch of documents."""
 
     def make(ids):
         def f(doc_ids, texts):
             sets = [token_set(t, n, ids) for t in texts]
             named = [node_of(s) if len(s) else (None, None) for s in sets]
-            return doc_ids, [x for x, _ in named], [k for _, k in named], [len(s) for s in sets], [bitmap(s) if len(s) else None for s in sets]
+            tokens, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64), return_counts=True)
+            keep = counts >= max(4, FREQUENT_SHARE * len(sets))
+            tokens, counts = tokens[keep].view(np.int64).tolist(), counts[keep].tolist()
+            pad, more = [None] * len(sets), [None] * len(tokens)
+            return doc_ids + more, [x for x, _ in named] + more, [k for _, k in named] + more, [len(s) for s in sets] + more, [bitmap(s) if len(s) else None for s in sets] + more, pad + tokens, pad + counts
 
         return f
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _batches(docs.select("doc_id", "text"), make, f"doc_id {kind}, node long, key binary, size long, bits array<long>")
+    return _batches(docs.select("doc_id", "text"), make, f"doc_id {kind}, node long, key binary, size long, bits array<long>, tok long, count long")
+
+
+def frequent_tokens(found: DataFrame) -> np.ndarray:
+    """Sorted hashes of the commonest tokens that nodes() has counted; at most FREQUENT_MOST."""
+    sums = found.where(F.col("tok").isNotNull()).groupBy("tok").agg(F.sum("count").alias("n"))
+    rows = sums.orderBy(F.desc("n"), "tok").limit(FREQUENT_MOST).select("tok").collect()
+    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
 def index(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """tok, node: the index of all sets. Rows of one batch with equal sets are indexed once."""
+    """tok, node, size: all sets by the tokens of their prefixes. Rows of one batch with equal sets are indexed once."""
 
     def make(ids):
         def f(texts):
             seen: set[int] = set()
-            toks, owners = [], []
+            toks, owners, sizes = [], [], []
             for t in texts:
                 s = token_set(t, n, ids)
                 if len(s) and (node := node_of(s)[0]) not in seen:
                     seen.add(node)
-                    keys = index_keys(s, frequent, num, den)
-                    toks.append(keys)
+                    keys = ordered(s, frequent)[: prefix_length(len(s), num, den)]
+                    toks.append(keys.view(np.int64))
                     owners.append(np.full(len(keys), node, dtype=np.int64))
-            if not toks:
-                return [], []
-            return np.concatenate(toks).view(np.int64), np.concatenate(owners)
+                    sizes.append(np.full(len(keys), len(s), dtype=np.int64))
+            return [np.concatenate(c) if c else [] for c in (toks, owners, sizes)]
 
         return f
 
-    return _batches(docs.select("text"), make, "tok long, node long")
+    return _batches(docs.select("text"), make, "tok long, node long, size long")
+
+
+def run_index(docs: DataFrame, wanted: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+    """tok, node: the wanted (node, doc_id) by the runs of their longer prefixes."""
+
+    def make(ids):
+        def f(owners, texts):
+            toks, nodes = [], []
+            for node, t in zip(owners, texts):
+                s = token_set(t, n, ids)
+                if len(s) >= RUN_SIZE and node_of(s)[0] == node:
+                    keys = run_keys(s, frequent, num, den)
+                    toks.append(keys.view(np.int64))
+                    nodes.append(np.full(len(keys), node, dtype=np.int64))
+            return [np.concatenate(c) if c else [] for c in (toks, nodes)]
+
+        return f
+
+    return _batches(_of(docs, wanted), make, "tok long, node long")
+
+
+def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the wanted (node, doc_id)."""
+    few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    want = wanted.select("node", F.col("doc_id").alias("_d"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(want) if few else want, F.col("doc_id").eqNullSafe(F.col("_d")))
+    return rows.select("node", "text")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -164,10 +197,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
         return f
 
-    few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    want = wanted.select("node", F.col("doc_id").alias("_d"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(want) if few else want, F.col("doc_id").eqNullSafe(F.col("_d")))
-    return _batches(rows.select("node", "text"), make, "node long, tokens array<long>").dropDuplicates(["node"])
+    return _batches(_of(docs, wanted), make, "node long, tokens array<long>").dropDuplicates(["node"])
 
 
 def contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -197,6 +227,58 @@ def contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return labels
 
 
+def close_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """a < b of rows (tok, bi, bj, block, node, comp, size, bits), sorted by tok, bi, bj: pairs of one list, of blocks bi and bj and of
+    different components, whose sizes and bitmaps allow them to be similar. No pair is written that they rule out."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def compare(key, block, node, comp, size, bits):
+            left, right = (np.flatnonzero(block == k) for k in key[1:])
+            for at in range(0, len(left), 64):
+                i = left[at : at + 64]
+                apart = np.bitwise_count(bits[i][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
+                na, nb = size[i][:, None], size[right][None, :]
+                ok = (comp[i][:, None] != comp[right][None, :]) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & ((num + den) * (na + nb - apart) >= 2 * num * (na + nb))
+                if key[1] == key[2]:
+                    ok &= node[i][:, None] < node[right][None, :]
+                x, y = np.nonzero(ok)
+                if len(x):
+                    yield np.minimum(node[i][x], node[right][y]), np.maximum(node[i][x], node[right][y])
+
+        held: list[tuple] = []
+        for batch in _with_end(batches):
+            if batch is None:
+                parts = held
+            elif batch.num_rows == 0:
+                continue
+            else:
+                tok, bi, bj, block, node, comp, size = (batch.column(k).to_numpy() for k in range(7))
+                bits = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+                parts = [*held, (tok, bi, bj, block, node, comp, size, bits)]
+            if not parts:
+                continue
+            tok, bi, bj, block, node, comp, size, bits = (np.concatenate(c) for c in zip(*parts))
+            new = np.flatnonzero((tok[1:] != tok[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
+            starts = np.concatenate([[0], new])
+            ends = np.concatenate([new, [len(tok)]])
+            if batch is not None:  # the last group may go on in the next batch
+                held = [tuple(c[starts[-1] :] for c in (tok, bi, bj, block, node, comp, size, bits))]
+                starts, ends = starts[:-1], ends[:-1]
+            found = [pair for s, e in zip(starts.tolist(), ends.tolist()) for pair in compare((tok[s], bi[s], bj[s]), block[s:e], node[s:e], comp[s:e], size[s:e], bits[s:e])]
+            if found:
+                pairs = np.unique(np.stack([np.concatenate([p[k] for p in found]) for k in (0, 1)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], names=["a", "b"])
+
+    return rows.select("tok", "bi", "bj", "block", "node", "comp", "size", "bits").mapInArrow(run, "a long, b long")
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
 def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) of nodes that are similar enough."""
     side = lambda x: info.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"m{x}"), F.col("doc_id").alias(f"d{x}"))
@@ -222,30 +304,42 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Da
     doc_id with different texts are judged one by one. A null doc_id takes part; its component_id is the least other
     doc_id, or null. Columns besides doc_id and text are not read; empty tables give empty results.
     """
-    rows = staged(nodes(docs, n), "nodes")
+    found = staged(nodes(docs, n), "nodes")
+    frequent, rows = frequent_tokens(found), found.where(F.col("size").isNotNull()).drop("tok", "count")
     info = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.max("size").alias("_most"), F.min("key").alias("_k1"), F.max("key").alias("_k2"), F.first("bits").alias("bits"))
     info = staged(info, "node-info")
     if not info.where((F.col("_k1") != F.col("_k2")) | (F.col("size") != F.col("_most"))).isEmpty():
         raise ValueError("two different sets have one 63-bit node")
     every = Window.partitionBy("tok")
-    lists = index(docs, n, num, den, frequent_tokens(docs, n)).select("tok", "node", F.min("node").over(every).alias("lo"), F.max("node").over(every).alias("hi"))
-    lists = staged(lists.where("lo < hi").select("tok", "node", "lo"), "lists")
-    links = _verified(lists.where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), info, docs, n, num, den)
-    labels = contracted(None, links)
-    lists, leaders = lists.where("node > lo").select("tok", "node").distinct(), 8
-    while True:
-        # lists of one component are done; of the others, some more nodes lead
-        named = lists.join(labels, "node", "left").select("tok", "node", F.coalesce("comp", "node").alias("comp"))
-        named = named.withColumn("lo", F.min("comp").over(every)).withColumn("hi", F.max("comp").over(every)).where("lo < hi")
-        named = named.withColumn("rank", F.row_number().over(every.orderBy("node")))
-        lists = staged(named.select("tok", "node", "comp", "rank"), "lists")
-        if lists.isEmpty():
+    ends = F.min("node").over(every).alias("lo"), F.max("node").over(every).alias("hi")
+    single = index(docs, n, num, den, frequent).select("tok", "node", "size", *ends, F.count("*").over(every).alias("length"))
+    single = staged(single.where("lo < hi"), "lists")
+    wanted = staged(single.where((F.col("length") > LONG_LIST) & (F.col("size") >= RUN_SIZE)).select("node").distinct().join(info.select("node", "doc_id"), "node"), "long-lists")
+    runs = run_index(docs, wanted, n, num, den, frequent).select("tok", "node", *ends)
+    short = single.where((F.col("length") <= LONG_LIST) | (F.col("size") * num <= RUN_SIZE * den)).select("tok", "node")
+    lists = staged(short.unionByName(runs.where("lo < hi").select("tok", "node")), "lists")
+    labels = None
+    for seed in range(ROUNDS + 1):
+        # lists of one component are done
+        own = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(labels, "node", "left").select("tok", "node", F.coalesce("comp", "node").alias("comp"))
+        own = own.select("tok", "node", "comp", F.min("comp").over(every).alias("_lo"), F.max("comp").over(every).alias("_hi"), F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "comp")).over(every).alias("lead"), F.count("*").over(every).alias("length"))
+        lists = staged(own.where("_lo < _hi"), "lists")
+        if seed == ROUNDS or lists.isEmpty():
             break
-        lead = lists.where(F.col("rank") <= leaders).select(F.col("tok").alias("t"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        pairs = lists.join(lead, (F.col("tok") == F.col("t")) & (F.col("rank") > F.col("ra")) & (F.col("comp") != F.col("ca"))).select("a", F.col("node").alias("b")).distinct()
-        links = _verified(pairs, info, docs, n, num, den)
-        labels = contracted(labels, links)
-        lists, leaders = lists.where(F.col("rank") > leaders).select("tok", "node"), leaders * 8
+        led = lists.where(F.col("comp") != F.col("lead")["comp"]).groupBy("node", F.col("lead")["node"].alias("leader")).agg(F.count("*").alias("n"))
+        best = led.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select(F.least("node", F.col("best")["leader"]).alias("a"), F.greatest("node", F.col("best")["leader"]).alias("b"))
+        links = _verified(best.distinct(), info, docs, n, num, den)
+        labels, lists = contracted(labels, links), lists.select("tok", "node")
+    if not lists.isEmpty():
+        blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+        parts = lists.select("tok", "node", "comp", blocks.alias("_n"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+        parts = parts.join(info.select("node", "size", "bits"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
+        dealt = parts.select("tok", F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"), "block", "node", "comp", "size", "bits")
+        order = ["tok", "bi", "bj"]
+        pairs = close_pairs(dealt.repartition(*order).sortWithinPartitions(*order), num, den).distinct()
+        labels = contracted(labels, _verified(pairs, info, docs, n, num, den))
+    if labels is None:
+        labels = info.select("node", F.col("node").alias("comp")).where("false")
     named = info.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     known = named.select("node", "comp").join(least, "comp").select("node", "component_id")
