@@ -35,7 +35,7 @@ REMEMBERED = 200_000
 #: The fold takes time with the square of a piece's bytes; longer pieces are merged with a heap.
 LONG = 256
 #: Slots of the literal rank map: a list of small maps, as Spark looks through a map entry by entry.
-SLOTS = 1 << 16
+SLOTS = 1 << 14
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -54,7 +54,11 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 
 
 def folded(piece: Column, maps: Column) -> Column:
-    """array<int>: the ids of a binary piece."""
+    """array<int>: the ids of a binary piece. The literal stands in the plan once, bound to a lambda's variable."""
+    return F.get(F.transform(F.array(maps), lambda bound: _folded(piece, bound)), F.lit(0))
+
+
+def _folded(piece: Column, maps: Column) -> Column:
     last = F.lit(2**31 - 1)
     rank = lambda key: F.get(maps, (F.crc32(key.cast("binary")) % SLOTS).cast("int")).getItem(key)
     let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
