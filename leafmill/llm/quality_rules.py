@@ -92,7 +92,9 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     kept: base holds and, for documents of guard_words words or more, the Jensen-Shannon divergence of the document's
     histograms from its language's is at most the given bounds. Shorter documents are judged by the base alone, as
     their histograms are noise. The references are the summed histograms of all rows of a language, so each scale with
-    the input; a null lang is a language of its own. Languages without a list of common words have no word_divergence.
+    the input; a null lang is a language of its own. Languages without a list of common words have no word_divergence. A
+    document of guard_words words or more without any of its language's common words has a word_divergence of 1, unless
+    no document of the language has one.
 
     Null texts count as empty: 0 words, base_failed. Rows with equal doc_id are judged one by one. Columns besides
     doc_id, text and lang are not read. Empty tables give empty results.
@@ -102,7 +104,8 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     double = lambda c: F.transform(c, lambda x: x.cast("double"))
     df = df.withColumn("char_divergence", jensen_shannon(double(F.array(*(F.col(f"c_{n}") for n in CLASS_NAMES))), F.col("ref_chars")))
     pad = F.concat(double(F.col("w_hits")), F.array_repeat(F.lit(0.0), F.size("ref_words") - F.size("w_hits")))
-    df = df.withColumn("word_divergence", F.when(F.col("w_hits").isNotNull(), jensen_shannon(pad, F.col("ref_words"))))
+    strange = (F.col("n_words") >= guard_words) & (_total(pad) == 0) & (_total(F.col("ref_words")) > 0)
+    df = df.withColumn("word_divergence", F.when(F.col("w_hits").isNotNull(), F.when(strange, F.lit(1.0)).otherwise(jensen_shannon(pad, F.col("ref_words")))))
     df = df.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     far = (F.col("n_words") >= guard_words) & ((F.coalesce("char_divergence", F.lit(0.0)) > max_char_divergence) | (F.coalesce("word_divergence", F.lit(0.0)) > max_word_divergence))
     word_chars = sum((F.col(f"c_{n}") for n in CLASS_NAMES if n != "space"), F.lit(0).cast("long"))

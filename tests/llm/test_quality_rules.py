@@ -49,3 +49,15 @@ def test_divergence_rejects_other_distributions(make):
     found = {r.doc_id: r for r in quality_rules(make([(i, t) for i, t in enumerate([*plain, shout])])).collect()}
     assert not found[50].kept and found[50].char_divergence > 0.1
     assert sum(found[i].kept or found[i].base_failed for i in range(50)) == 50
+
+
+def test_no_common_word_is_the_largest_divergence(make):
+    plain = [" ".join(f"the house{k}{j} of tree{j}{k} and river{j}" for j in range(30)) for k in range(20)]
+    strange = " ".join(f"hous{j} tre{j} rivr{j}" for j in range(50))
+    rows = [*((k, t) for k, t in enumerate(plain)), (20, strange), (21, " ".join(strange.split()[:99])), (22, strange, "s", "xx"), (23, strange, "s", "de")]
+    found = {r.doc_id: r for r in quality_rules(make(rows), max_char_divergence=1.0).collect()}
+    assert found[20].word_divergence == 1.0 and not found[20].base_failed and not found[20].kept
+    assert found[21].word_divergence is None and found[21].kept  # under guard_words
+    assert found[22].word_divergence is None and found[22].kept  # no list of common words
+    assert found[23].word_divergence is None and found[23].kept  # the language's reference is empty
+    assert all(found[k].kept and found[k].word_divergence < 0.5 for k in range(20))
