@@ -159,6 +159,66 @@ def chunked_scores(items: DataFrame, threshold: float) -> DataFrame:
     return directed_fractions(matches, items.groupBy("id").agg(F.count_distinct("chunk").alias("parts")))
 
 
+#: Vectors that one side of a block holds.
+BLOCK_VECTORS = 2048
+
+
+def chunked_vector_scores(vectors: DataFrame, threshold: float) -> DataFrame:
+    """a < b, score: chunk-wise similarity from (id, chunk, embedding); chunks pair at an inner product (to 9 digits) of threshold
+    or more, which is the cosine of normalised vectors. Vectors of unequal length or none have a product of 0.
+
+    Every chunk meets every other: vectors are dealt into blocks, and a task multiplies two blocks. It writes which chunk has a
+    partner in which document, never the pairs of chunks."""
+    own = vectors.where("id is not null")
+    blocks = max(1, -(-own.count() // BLOCK_VECTORS))
+    block = F.pmod(F.xxhash64("id", "chunk", "embedding"), F.lit(blocks)).cast("int")
+    none = F.array().cast(vectors.schema["embedding"].dataType)
+    dealt = own.select("id", "chunk", F.coalesce("embedding", none).alias("embedding"), block.alias("block"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("id", "chunk", "embedding", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    kind = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+
+    def partners(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        low, high = key[0].as_py(), key[1].as_py()
+        names, number = np.unique(np.array(table["id"].to_pylist(), dtype=object), return_inverse=True)
+        side, texts = np.array(table["block"].to_pylist()), table["embedding"].to_pylist()
+        by_length: dict[tuple[bool, int], list[int]] = {}
+        for i, v in enumerate(texts):
+            by_length.setdefault((bool(side[i] == low), len(v)), []).append(i)
+        found: set[tuple[int, int]] = set()
+        for (first, m), x in by_length.items():
+            for (second, n), y in by_length.items():
+                if not first or (second if low != high else not second):
+                    continue
+                if m == n and m:
+                    near = np.round(np.array([texts[i] for i in x], dtype=float) @ np.array([texts[j] for j in y], dtype=float).T, 9) >= threshold
+                else:
+                    near = np.full((len(x), len(y)), threshold <= 0)
+                for rows, columns, hits in ((x, y, near), (y, x, near.T)):
+                    order = np.argsort(number[columns], kind="stable")
+                    ids, starts = np.unique(number[columns][order], return_index=True)
+                    has = np.logical_or.reduceat(hits[:, order], starts, axis=1)
+                    found.update((rows[i], int(ids[k])) for i, k in zip(*np.nonzero(has)) if ids[k] != number[rows[i]])
+        rows = sorted(found)
+        at = pa.array([i for i, _ in rows], pa.int64())
+        return pa.table({"id": table["id"].take(at), "chunk": table["chunk"].take(at), "other": pa.array([names[k] for _, k in rows], table["id"].type)})
+
+    hits = dealt.groupBy("low", "high").applyInArrow(partners, f"id {kind['id']}, chunk {kind['chunk']}, other {kind['id']}")
+    directed = hits.groupBy("id", "other").agg(F.count_distinct("chunk").alias("h"))
+    parts = own.groupBy("id").agg(F.count_distinct("chunk").alias("parts"))
+    share = directed.join(parts, "id").select("id", "other", (F.col("h") / F.col("parts")).alias("score"))
+    return share.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "score").groupBy("a", "b").agg(F.min("score").alias("score"))
+
+
+def vector_pairs(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """a < b, score: the inner products of all pairs of vectors that are above 0."""
+    left, right = (vectors.select(F.col(id).alias(x), F.col(vector).alias(f"e{x}")) for x in "ab")
+    return left.join(right, F.col("a") < F.col("b")).select("a", "b", T.dot(F.col("ea"), F.col("eb")).alias("score")).where("score > 0")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """src, rank, dst, score: the k nearest by cosine of normalised vectors, the query itself left out. Every stated query meets
     every row: the queries are one block, broadcast if they are few and else dealt by Spark."""

@@ -128,13 +128,30 @@ class Chunked(Method):
 @method("embedding")
 class Vectors(Method):
     DEFAULTS: ClassVar[dict] = {"vector": "embedding", "id": "vec_id"}
-    queries = True
+    pairs = queries = True
+
+    def pair_scores(self, docs):
+        return D.vector_pairs(docs, self.options["id"], self.options["vector"])
 
     def ranking(self, docs, scope=None, k=20):
         asked = docs if scope is None else docs.join(scope.select(F.col("id").alias(self.options["id"])), self.options["id"], "left_semi")
         return D.knn(docs if scope is None else asked, asked, k, self.options["id"], self.options["vector"])
 
 
+@method("chunked_embedding")
+class ChunkedVectors(Method):
+    """docs: one row a document, with the vectors of its chunks as an array."""
+
+    DEFAULTS: ClassVar[dict] = {"vectors": "embeddings", "id": "doc_id", "threshold": 0.75}
+    pairs = True
+
+    def fingerprints(self, docs):
+        return docs.select(F.col(self.options["id"]).alias("id"), F.posexplode(self.options["vectors"]).alias("chunk", "embedding"))
+
+    def pair_scores(self, docs):
+        return D.chunked_vector_scores(self.fingerprints(docs), self.options["threshold"])
+
+
 #: The configurations that an evaluation compares by default.
 MATRIX = [("minhash_bands", {"shingle": 1}), ("minhash_bands", {"shingle": 3}), ("minhash_jaccard", {"shingle": 1}), ("minhash_jaccard", {"shingle": 3}), ("minhash_sidecar", {"msm_pct": 0.055}), ("chunked_minhash", {"chunks": 10}), ("chunked_minhash", {"chunks": 20})]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import dedup as D
 from leafmill.operators import metrics as M
+from leafmill.operators.methods import create
 from leafmill.plans.registry import query
 
 SQL_TOKENS = r"""tok0 AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[་།\s]+'), lambda x: x <> '') AS w FROM documents),
@@ -143,13 +144,21 @@ def vector_topk(spark, d):
 SELECT l.id AS a, l.chunk AS ca, r.id AS b, r.chunk AS cb FROM v l JOIN v r ON l.id < r.id WHERE round(list_sum(list_transform(list_zip(l.e, r.e), lambda p: p[1] * p[2])), 9) >= 0.1), p AS (SELECT id, count(*) AS parts FROM v GROUP BY 1),
 h AS (SELECT a, b, count(DISTINCT ca) AS ha, count(DISTINCT cb) AS hb FROM m GROUP BY 1, 2) SELECT a, b, round(least(ha / x.parts, hb / y.parts), 6) AS score FROM h JOIN p x ON x.id = a JOIN p y ON y.id = b""")
 def chunked_vectors(spark, d):
-    """Labels stand for documents and their stated query vectors for chunks; chunks pair at a cosine of 0.1 or more."""
+    """Labels stand for documents and their stated query vectors for chunks; chunks pair at a cosine of 0.1 or more. A sample that
+    SQL can repeat; d07_chunked_embedding is the method over all vectors."""
     v = vectors(spark, d).where("vec_id % 50 = 0").select(F.col("label").alias("id"), F.col("vec_id").alias("chunk"), "embedding")
     left, right = (v.select(F.col("id").alias(x), F.col("chunk").alias(f"c{x}"), F.col("embedding").alias(f"e{x}")) for x in "ab")
     near = left.join(right, F.col("a") < F.col("b")).where(F.round(T.dot(F.col("ea"), F.col("eb")), 9) >= 0.1)
     return D.directed_fractions(near, v.groupBy("id").agg(F.count("*").alias("parts"))).select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query("d07_chunked_embedding")
+def chunked_embedding(spark, d):
+    """Labels stand for documents and all their vectors for chunks; chunks pair at the method's own cosine."""
+    v = vectors(spark, d).select(F.col("label").alias("id"), F.col("vec_id").alias("chunk"), "embedding")
+    return D.chunked_vector_scores(v, create("chunked_embedding").options["threshold"]).select("a", "b", F.round("score", 6).alias("score"))
+
+
 @query("a13_mean_pooling", """WITH p AS (SELECT label, unnest(range(64)) + 1 AS pos, embedding FROM embeddings), m AS (SELECT label, pos, avg(embedding[pos]::DOUBLE) AS x FROM p GROUP BY 1, 2),
 n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY 1) SELECT label, CAST(pos - 1 AS INT) AS pos, round(CASE WHEN norm = 0 THEN x ELSE x / norm END, 6) AS x FROM m JOIN n USING (label)""")
 def mean_pooling(spark, d):
