@@ -294,16 +294,8 @@ def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, n: int, num: i
     return staged(both.where(F.col("inter") * den >= num * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b"), "links")
 
 
-def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles (set size), component_id (least doc_id that links reach, its own included).
-
-    Two rows link when their sets of n-word shingles are not empty and den * intersection >= num * union. All links
-    between different sets are found or implied by a component; rows with equal sets are one node throughout.
-
-    Null or wordless texts have empty sets and are linked with nothing: component_id is their own doc_id. Rows of one
-    doc_id with different texts are judged one by one. A null doc_id takes part; its component_id is the least other
-    doc_id, or null. Columns besides doc_id and text are not read; empty tables give empty results.
-    """
+def _listed(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their nodes, one row a node, and lists (tok, node) in which each two similar nodes meet."""
     found = staged(nodes(docs, n), "nodes")
     frequent, rows = frequent_tokens(found), found.where(F.col("size").isNotNull()).drop("tok", "count")
     info = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.max("size").alias("_most"), F.min("key").alias("_k1"), F.max("key").alias("_k2"), F.first("bits").alias("bits"))
@@ -317,7 +309,32 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Da
     wanted = staged(single.where((F.col("length") > LONG_LIST) & (F.col("size") >= RUN_SIZE)).select("node").distinct().join(info.select("node", "doc_id"), "node"), "long-lists")
     runs = run_index(docs, wanted, n, num, den, frequent).select("tok", "node", *ends)
     short = single.where((F.col("length") <= LONG_LIST) | (F.col("size") * num <= RUN_SIZE * den)).select("tok", "node")
-    lists = staged(short.unionByName(runs.where("lo < hi").select("tok", "node")), "lists")
+    return rows, info, staged(short.unionByName(runs.where("lo < hi").select("tok", "node")), "lists")
+
+
+def _compared(lists: DataFrame, info: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """a < b: verified links between the nodes of one list (tok, node, comp, length) that are of different components."""
+    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
+    parts = lists.select("tok", "node", "comp", blocks.alias("_n"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    parts = parts.join(info.select("node", "size", "bits"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
+    dealt = parts.select("tok", F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"), "block", "node", "comp", "size", "bits")
+    order = ["tok", "bi", "bj"]
+    pairs = close_pairs(dealt.repartition(*order).sortWithinPartitions(*order), num, den).distinct()
+    return _verified(pairs, info, docs, n, num, den)
+
+
+def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles (set size), component_id (least doc_id that links reach, its own included).
+
+    Two rows link when their sets of n-word shingles are not empty and den * intersection >= num * union. All links
+    between different sets are found or implied by a component; rows with equal sets are one node throughout.
+
+    Null or wordless texts have empty sets and are linked with nothing: component_id is their own doc_id. Rows of one
+    doc_id with different texts are judged one by one. A null doc_id takes part; its component_id is the least other
+    doc_id, or null. Columns besides doc_id and text are not read; empty tables give empty results.
+    """
+    rows, info, lists = _listed(docs, n, num, den)
+    every = Window.partitionBy("tok")
     labels = None
     for seed in range(ROUNDS + 1):
         # lists of one component are done
@@ -331,13 +348,7 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Da
         links = _verified(best.distinct(), info, docs, n, num, den)
         labels, lists = contracted(labels, links), lists.select("tok", "node")
     if not lists.isEmpty():
-        blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-        parts = lists.select("tok", "node", "comp", blocks.alias("_n"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-        parts = parts.join(info.select("node", "size", "bits"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
-        dealt = parts.select("tok", F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"), "block", "node", "comp", "size", "bits")
-        order = ["tok", "bi", "bj"]
-        pairs = close_pairs(dealt.repartition(*order).sortWithinPartitions(*order), num, den).distinct()
-        labels = contracted(labels, _verified(pairs, info, docs, n, num, den))
+        labels = contracted(labels, _compared(lists, info, docs, n, num, den))
     if labels is None:
         labels = info.select("node", F.col("node").alias("comp")).where("false")
     named = info.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
@@ -345,3 +356,14 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Da
     known = named.select("node", "comp").join(least, "comp").select("node", "component_id")
     out = rows.select("doc_id", "node", "size").join(known, "node", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def ngram_links(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Links and members. Links: a < b, every pair of different sets (nodes) with den * intersection >= num * union, verified.
+    Members: doc_id, node of every row with a set; rows of one node have equal sets and are linked, too.
+
+    Components of links are those of ngram_join, which finds them with fewer comparisons. Links inside a group of near
+    copies are all found here, so their number, and the work, grow with the square of its different sets."""
+    rows, info, lists = _listed(docs, n, num, den)
+    lists = lists.select("tok", "node", F.col("node").alias("comp"), F.count("*").over(Window.partitionBy("tok")).alias("length"))
+    return _compared(lists, info, docs, n, num, den), rows.where(F.col("node").isNotNull()).select("doc_id", "node")

@@ -78,3 +78,21 @@ def test_odd_rows(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert run(odd, 4, 85, 100) == brute(rows, 4, 85, 100)
     assert N.ngram_join(none).count() == 0
+
+
+def test_links_equal_brute_force(make):
+    rows = near_copies(4, 60, 1, 12)
+    rows = [*rows, (9001, rows[0][1]), (9002, None), (9003, "")]
+    links, members = N.ngram_links(make(rows))
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.node, []).append(r.doc_id)
+    pairs = links.collect()
+    assert len({(r.a, r.b) for r in pairs}) == len(pairs) and all(r.a < r.b for r in pairs)
+    found = {frozenset((x, y)) for r in pairs for x in of[r.a] for y in of[r.b]} | {frozenset((x, y)) for ids in of.values() for x in ids for y in ids if x < y}
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+    want = {frozenset((i, j)) for i in sets for j in sets if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    assert found == want and len(want) > len(rows)  # more than what joins the components
