@@ -1,36 +1,38 @@
 """N-gram Jaccard join with token-combination prefixes, and the components of its links.
 
 Tokens are hashes of word n-grams, in one order: rare ones by hash, then those that are frequent within batches, by hash. The
-first token that two similar sets have in common is in the prefixes of both, so sets are indexed by their prefixes' single
-tokens. Tokens that turn out to have long lists are frequent, too: the sets in these lists get longer prefixes, and are
-indexed by combinations of K tokens that follow each other in their order. Two similar sets differ in so few tokens that K
-common ones follow each other in both, and the first such run is in both longer prefixes (see extended_length); sets that
-merely hold one passage hardly ever have a run in common.
-
-Pairs come from the index without expanding its lists. In a few rounds, each node is compared with one leader of its lists, which
-joins groups of near copies at the cost of a pair a node. Lists that are then still of several components are compared
-within tasks, in blocks: an exact bound of the overlap from parity bitmaps leaves the few pairs whose sets are fetched.
+first token that two similar sets have in common is in the prefixes of both, so sets are indexed by the rare tokens of their
+prefixes. A set that has a frequent token there, or whose token turns out to have a long list, gets a longer prefix and is
+indexed by combinations of K tokens. For small sets these are all K-subsets; larger ones take runs of K tokens that follow
+each other in the order: two similar sets differ in so few tokens that K common ones follow each other in both, and the first
+such run is in both longer prefixes (see extended_length). Sets that merely hold one passage hardly ever share one.
+
+A short list yields its pairs of nodes (distinct sets) whose sizes allow a link. Each node has a parity bitmap as wide as half
+its set, which bounds the overlap from above, so that few pairs besides the links are left to be verified on the sets
+themselves. In a list that is long even for combinations, nodes meet a leader for a few rounds, which joins groups of near
+copies at the cost of a pair a node; lists that are then still of several components are compared in blocks, within tasks.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
 from math import ceil
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import staged
-from leafmill.llm.hashing import WordIds, ngrams
+from leafmill.llm.common import dropped, small, staged
+from leafmill.llm.hashing import WordIds, mixed, ngrams
 
 #: Tokens in this share of a batch's documents are frequent; the list has the commonest FREQUENT_MOST of them. Which tokens are
 #: frequent decides the order of tokens, and so the work, but not the result.
 FREQUENT_SHARE, FREQUENT_MOST = 1 / 1000, 50_000
-#: Lists with more entries are of frequent tokens, whose sets are indexed by runs of K tokens instead.
+#: Lists with more nodes are long: of frequent tokens, whose sets are indexed by combinations of K tokens instead.
 LONG_LIST, K = 16, 3
-#: Smaller sets may have no run; they, and those they can be similar to, stay in the lists of single tokens.
+#: Sets of this size have a run (see run_size); smaller ones, and those that they can be similar to, take K-subsets.
 RUN_SIZE = 24
-BITMAP = 512
 #: Rounds in which nodes meet a leader, and nodes in a block of a long list.
 ROUNDS, BLOCK = 3, 4096
 #: Nodes whose sets are fetched are broadcast up to this many, and else joined by a shuffle.
@@ -49,28 +51,44 @@ def prefix_length(size: int, num: int, den: int) -> int:
     return size - ceil(size * num / den) + 1
 
 
-def node_of(tokens: np.ndarray) -> tuple[int, bytes]:
-    """A 63-bit number and a 128-bit key of a set."""
+def number_of(key: bytes) -> int:
+    return int.from_bytes(key[:8], "big") >> 1
+
+
+def node_of(tokens: np.ndarray, clashes: dict[bytes, int] | None = None) -> tuple[int, bytes]:
+    """The number and the 128-bit key of a set. Numbers are 63 bits of the key, but for keys that would clash."""
     import hashlib
 
     key = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-    return int.from_bytes(key[:8], "big") >> 1, key
+    return (clashes or {}).get(key, number_of(key)), key
+
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parities of the set's tokens over as many cells as half its size, rounded up to a power of two. Cells in which two
+    bitmaps differ number no more than the tokens that are in one set only; a bitmap folded in halves is one of fewer cells."""
+    cells = max(128, 1 << (len(tokens) // 2 - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-def bitmap(tokens: np.ndarray) -> list[int]:
-    """Parities of the set's tokens over BITMAP cells, as longs. Cells in which two bitmaps differ number no more than the
-    tokens that are in one set only."""
-    cells = np.bincount((tokens % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
-    return np.packbits(cells.astype(np.uint8)).view(">i8").astype(np.int64).tolist()
 
+def apart(x: bytes, y: bytes) -> int:
+    """In how many cells two bitmaps differ, the wider one folded to the narrower."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, width = int.from_bytes(x, "little"), 8 * len(x)
+    while width > 8 * len(y):
+        width //= 2
+        a = (a >> width) ^ (a & ((1 << width) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
 
-def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """tokens, which are sorted, with the frequent ones last."""
+
+def ordered(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """tokens, which are sorted, with the frequent ones last, and the number of the others."""
     if not len(frequent):
-        return tokens
+        return tokens, len(tokens)
     at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
     often = frequent[at] == tokens
-    return np.concatenate([tokens[~often], tokens[often]])
+    return np.concatenate([tokens[~often], tokens[often]]), int(len(tokens) - often.sum())
 
 
 def extended_length(size: int, num: int, den: int) -> int:
@@ -85,13 +103,36 @@ def extended_length(size: int, num: int, den: int) -> int:
     return most + K
 
 
-def run_keys(tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the runs of K tokens in the longer prefix."""
-    return ngrams(ordered(tokens, frequent)[: extended_length(len(tokens), num, den)], K)
+def run_size(num: int, den: int) -> int | None:
+    """From which size on two similar sets have a run of K common tokens; None at similarities of under 0.7, where single tokens
+    stay. Without a run, c common and x other tokens would fit c <= (K - 1)(x + 1); both grow with the sizes' sum."""
+    if 10 * num < 7 * den:
+        return None
+    least = K / ((2 * K - 1) * num / (num + den) - (K - 1))
+    return max(RUN_SIZE, ceil(least / (1 + num / den)) + 1)
+
+
+@cache
+def _subsets(length: int) -> np.ndarray:
+    return np.array(list(combinations(range(length), K)), dtype=np.int64).reshape(-1, K)
+
+
+def combination_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Hashes of the combinations by which a set is indexed, its tokens given in their order. Similar sets share
+    ceil(size * num / den) tokens at least, so the first K common ones are among the first size - that + K of both."""
+    size, runs = len(tokens), run_size(num, den)
+    least, keys = ceil(size * num / den), []
+    if runs is None or least < K:
+        keys.append(mixed(tokens[: prefix_length(size, num, den)]))
+    if runs is not None and size >= runs:
+        keys.append(ngrams(tokens[: extended_length(size, num, den)], K))
+    if runs is not None and least < runs:
+        keys.append(ngrams(tokens[_subsets(min(size, size - least + K))].T, K).ravel())
+    return np.unique(np.concatenate(keys))
 
 
 def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
-    """Rows that make(ids of words) -> f(batch columns) yields as dicts of numpy arrays or lists."""
+    """Rows that make(ids of words) -> f(batch columns) yields as lists or numpy arrays; batches are of about 8 MB."""
     from pyspark.sql.types import _parse_datatype_string
 
     kind = _parse_datatype_string(schema)
@@ -100,9 +141,9 @@ def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        out, f = to_arrow_schema(kind), make(WordIds())
+        out, f = to_arrow_schema(kind), make(WordIds(1 << 18))
         for batch in batches:
-            step = max(1, batch.num_rows * (16 << 20) // max(1, batch.nbytes))
+            step = max(1, batch.num_rows * (8 << 20) // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 columns = f(*(c.to_pylist() for c in batch.slice(at, step).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, out.types, strict=True)], schema=out)
@@ -111,8 +152,9 @@ def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
 
 
 def nodes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, node (null for empty sets), key, size, bits of every row; rows with equal sets have one node. Besides, with size
-    null: tok, count of the tokens that are common within a batch of documents."""
+    """doc_id, text_key (MD5 of the text), node (null for empty sets), key, size, bits of every row; rows with equal sets have one
+    node. Besides, with size null: tok, count of the tokens that are common within a batch of documents."""
+    from hashlib import md5
 
     def make(ids):
         def f(doc_ids, texts):
@@ -122,12 +164,13 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
             keep = counts >= max(4, FREQUENT_SHARE * len(sets))
             tokens, counts = tokens[keep].view(np.int64).tolist(), counts[keep].tolist()
             pad, more = [None] * len(sets), [None] * len(tokens)
-            return doc_ids + more, [x for x, _ in named] + more, [k for _, k in named] + more, [len(s) for s in sets] + more, [bitmap(s) if len(s) else None for s in sets] + more, pad + tokens, pad + counts
+            keys = [md5((t or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in texts]
+            return doc_ids + more, keys + more, [x for x, _ in named] + more, [k for _, k in named] + more, [len(s) for s in sets] + more, [bitmap(s) if len(s) else None for s in sets] + more, pad + tokens, pad + counts
 
         return f
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _batches(docs.select("doc_id", "text"), make, f"doc_id {kind}, node long, key binary, size long, bits array<long>, tok long, count long")
+    return _batches(docs.select("doc_id", "text"), make, f"doc_id {kind}, text_key binary, node long, key binary, size long, bits binary, tok long, count long")
 
 
 def frequent_tokens(found: DataFrame) -> np.ndarray:
@@ -137,78 +180,222 @@ def frequent_tokens(found: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def index(docs: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """tok, node, size: all sets by the tokens of their prefixes. Rows of one batch with equal sets are indexed once."""
-
-    def make(ids):
-        def f(texts):
+class Sets:
+    """A table's rows (doc_id, text_key, node, size) with their nodes, one row a node (info: node, doc_id, size, bits), and what the
+    passes over the texts need: the n of n-grams, the similarity num / den, frequent tokens and numbers of clashing keys."""
+
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int):
+        self.docs, self.n, self.num, self.den, self.clashes = docs, n, num, den, {}
+        found = staged(nodes(docs, n), "nodes")
+        self.frequent = frequent_tokens(found)
+        self.rows = found.where(F.col("size").isNotNull()).drop("tok", "count")
+        self.info = self._nodes("node")
+        clash = self.info.where("_k1 <> _k2").select(F.col("node").alias("_n"))
+        if not clash.isEmpty():  # of 1e11 sets, some 500 are expected to
+            keys = [bytes(r[0]) for r in self.rows.join(F.broadcast(clash), F.col("node") == F.col("_n")).select("key").distinct().collect()]
+            self.clashes = {k: -1 - i for i, k in enumerate(sorted(keys))}
+            named = docs.sparkSession.createDataFrame([(bytearray(k), v) for k, v in self.clashes.items()], "key binary, _n long")
+            self.rows = self.rows.join(F.broadcast(named), "key", "left").withColumn("node", F.coalesce("_n", "node")).drop("_n")
+            self.info = self._nodes("node")
+
+    def _nodes(self, by: str) -> DataFrame:
+        named = self.rows.where(F.col("node").isNotNull()).groupBy(by)
+        return staged(named.agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.min("key").alias("_k1"), F.max("key").alias("_k2"), F.min("bits").alias("bits")), "node-info")
+
+    def index(self) -> DataFrame:
+        """tok, node, size: all sets by the rare tokens of their prefixes; size is -1 in a row of a set that also has a
+        frequent one there. Rows of one task with equal sets are indexed once."""
+        n, num, den, frequent, clashes = self.n, self.num, self.den, self.frequent, self.clashes
+
+        def make(ids):
             seen: set[int] = set()
-            toks, owners, sizes = [], [], []
-            for t in texts:
-                s = token_set(t, n, ids)
-                if len(s) and (node := node_of(s)[0]) not in seen:
-                    seen.add(node)
-                    keys = ordered(s, frequent)[: prefix_length(len(s), num, den)]
-                    toks.append(keys.view(np.int64))
-                    owners.append(np.full(len(keys), node, dtype=np.int64))
-                    sizes.append(np.full(len(keys), len(s), dtype=np.int64))
-            return [np.concatenate(c) if c else [] for c in (toks, owners, sizes)]
-
-        return f
-
-    return _batches(docs.select("text"), make, "tok long, node long, size long")
-
-
-def run_index(docs: DataFrame, wanted: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """tok, node: the wanted (node, doc_id) by the runs of their longer prefixes."""
-
-    def make(ids):
-        def f(owners, texts):
-            toks, nodes = [], []
-            for node, t in zip(owners, texts):
-                s = token_set(t, n, ids)
-                if len(s) >= RUN_SIZE and node_of(s)[0] == node:
-                    keys = run_keys(s, frequent, num, den)
-                    toks.append(keys.view(np.int64))
-                    nodes.append(np.full(len(keys), node, dtype=np.int64))
-            return [np.concatenate(c) if c else [] for c in (toks, nodes)]
-
-        return f
 
-    return _batches(_of(docs, wanted), make, "tok long, node long")
+            def f(texts):
+                toks, owners, sizes = [], [], []
+                for t in texts:
+                    s = token_set(t, n, ids)
+                    if len(s) and (node := node_of(s, clashes)[0]) not in seen:
+                        seen.add(node)
+                        in_order, rare = ordered(s, frequent)
+                        length = prefix_length(len(s), num, den)
+                        keys = in_order[: min(length, rare)]
+                        if length > rare:
+                            keys = np.append(keys, mixed(np.array([node], dtype=np.int64).view(np.uint64)))
+                        size = np.full(len(keys), len(s), dtype=np.int64)
+                        size[min(length, rare) :] = -1
+                        toks.append(keys.view(np.int64))
+                        owners.append(np.full(len(keys), node, dtype=np.int64))
+                        sizes.append(size)
+                return [np.concatenate(c) if c else [] for c in (toks, owners, sizes)]
+
+            return f
+
+        return _batches(self.docs.select("text"), make, "tok long, node long, size long")
+
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """node, text of the wanted (node, doc_id). A doc_id may have several texts: the caller looks at the node again."""
+        want = small(wanted.select("node", F.col("doc_id").alias("_d")), BROADCAST_NODES)
+        return self.docs.select("doc_id", "text").join(want, F.col("doc_id").eqNullSafe(F.col("_d"))).select("node", "text")
+
+    def combinations(self, wanted: DataFrame) -> DataFrame:
+        """tok, node, size: the wanted (node, doc_id) by combinations of K tokens."""
+        n, num, den, frequent, clashes = self.n, self.num, self.den, self.frequent, self.clashes
+
+        def make(ids):
+            seen: set[int] = set()
 
+            def f(owners, texts):
+                toks, nodes, sizes = [], [], []
+                for node, t in zip(owners, texts):
+                    s = token_set(t, n, ids)
+                    if len(s) and node not in seen and node_of(s, clashes)[0] == node:
+                        seen.add(node)
+                        keys = combination_keys(ordered(s, frequent)[0], num, den)
+                        toks.append(keys.view(np.int64))
+                        nodes.append(np.full(len(keys), node, dtype=np.int64))
+                        sizes.append(np.full(len(keys), len(s), dtype=np.int64))
+                return [np.concatenate(c) if c else [] for c in (toks, nodes, sizes)]
+
+            return f
+
+        return _batches(self._texts(wanted), make, "tok long, node long, size long")
+
+    def tokens(self, wanted: DataFrame) -> DataFrame:
+        """node, tokens of the wanted (node, doc_id)."""
+        n, clashes = self.n, self.clashes
+
+        def make(ids):
+            def f(owners, texts):
+                sets = [token_set(t, n, ids) for t in texts]
+                right = [i for i, s in enumerate(sets) if len(s) and node_of(s, clashes)[0] == owners[i]]
+                return [owners[i] for i in right], [sets[i].view(np.int64) for i in right]
+
+            return f
+
+        return _batches(self._texts(wanted), make, "node long, tokens array<long>").dropDuplicates(["node"])
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b, ...) whose sizes and bitmaps allow a link, with both sizes (na, nb) and doc_ids (da, db)."""
+        num, den = self.num, self.den
+        side = lambda x: self.info.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("doc_id").alias(f"d{x}"), F.col("bits").alias(f"m{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = both.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+        kept = [c for c in both.columns if c not in ("ma", "mb")]
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                na, nb, ma, mb = (batch.column(c).to_pylist() for c in ("na", "nb", "ma", "mb"))
+                # similar sets have at least num * (na + nb) / (num + den) tokens in common
+                may = [(num + den) * (x + y - apart(p, q)) >= 2 * num * (x + y) for x, y, p, q in zip(na, nb, ma, mb)]
+                yield batch.select(kept).filter(pa.array(may, pa.bool_()))
+
+        return both.mapInArrow(run, both.select(kept).schema)
+
+    def linked(self, near: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """Those pairs of near() that are similar enough, written; their token sets are fetched unless given."""
+        if sets is None:
+            near = staged(near, "candidates")
+            fetched = sets = self.sets_of(near)
+        else:
+            fetched = None
+        own = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}"))
+        both = near.join(own("a"), "a").join(own("b"), "b").withColumn("inter", F.size(F.array_intersect("ta", "tb")).cast("long"))
+        links = staged(both.where(F.col("inter") * self.den >= self.num * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b"), "links")
+        if fetched is not None:
+            dropped(near, fetched)
+        return links
+
+    def sets_of(self, near: DataFrame) -> DataFrame:
+        wanted = near.select(F.col("a").alias("node"), F.col("da").alias("doc_id")).union(near.select("b", "db")).distinct()
+        return staged(self.tokens(wanted), "sets")
+
+    def lists(self) -> tuple[DataFrame, DataFrame]:
+        """Candidates (a < b, star, na, nb, da, db) of the short lists, as near() keeps them; and tok, node of the long lists of
+        combinations. Each two similar nodes are a candidate or in one long list. star: one of the two leads a list."""
+        single = staged(list_pairs(self.index(), self.num, self.den), "pairs")
+        flagged = single.where(F.col("b").isNull()).select(F.col("a").alias("node")).distinct()
+        wanted = staged(flagged.join(self.info.select("node", "doc_id"), "node"), "long-lists")
+        more = staged(list_pairs(self.combinations(wanted), self.num, self.den), "pairs")
+        pairs = single.select("a", "b", "star").union(more.select("a", "b", "star")).where(F.col("b").isNotNull())
+        near = staged(self.near(pairs.groupBy("a", "b").agg(F.max("star").alias("star"))), "candidates")
+        long = staged(more.where(F.col("b").isNull()).select("tok", F.col("a").alias("node")).distinct(), "lists")
+        dropped(single, wanted, more)
+        return near, long
+
+
+def list_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """From lists (tok, node, size): a < b, star, the pairs of lists of LONG_LIST nodes or fewer whose sizes allow a link, where
+    star says that a is the list's first node; and, with b null, a, tok of the other lists and of rows with a negative size.
+    A list streams through its task; no more than LONG_LIST of its rows and a batch are held."""
+    most = LONG_LIST
 
-def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text of the wanted (node, doc_id)."""
-    few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    want = wanted.select("node", F.col("doc_id").alias("_d"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(want) if few else want, F.col("doc_id").eqNullSafe(F.col("_d")))
-    return rows.select("node", "text")
+    def run(batches):
+        import pyarrow as pa
 
+        def out(a, b, star, tok):
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(star, pa.bool_()), pa.array(tok, pa.int64())], names=["a", "b", "star", "tok"])
 
-def token_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, tokens of the wanted (node, doc_id)."""
+        def alone(tok, node):
+            return out(node, [None] * len(node), [False] * len(node), tok)
 
-    def make(ids):
-        def f(owners, texts):
-            sets = [token_set(t, n, ids) for t in texts]
-            right = [i for i, s in enumerate(sets) if len(s) and node_of(s)[0] == owners[i]]  # a doc_id may have several texts
-            return [owners[i] for i in right], [sets[i].view(np.int64) for i in right]
-
-        return f
+        held, known = [np.zeros(0, dtype=np.int64)] * 3, None
+        for batch in _with_end(batches):
+            parts = held if batch is None else [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            again = np.zeros(len(parts[0]), dtype=bool)
+            again[1:] = (parts[0][1:] == parts[0][:-1]) & (parts[1][1:] == parts[1][:-1]) & (parts[2][1:] == parts[2][:-1])
+            tok, node, size = (c[~again] for c in parts)
+            tell = size < 0
+            if known is not None:
+                tell |= tok == known  # the rest of a list that is known to be long
+            if tell.any():
+                yield alone(tok[tell], node[tell])
+                tok, node, size = tok[~tell], node[~tell], size[~tell]
+            if not len(tok):
+                held = [tok, node, size]
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+            lengths = np.diff(np.concatenate([starts, [len(tok)]]))
+            if batch is not None:  # the last list may go on in the next batch
+                if lengths[-1] > most:
+                    known, held = tok[-1], [c[:0] for c in (tok, node, size)]
+                else:
+                    held = [c[starts[-1] :] for c in (tok, node, size)]
+                    starts, lengths = starts[:-1], lengths[:-1]
+            rows_of_long = np.repeat(lengths > most, lengths)
+            at = np.flatnonzero(rows_of_long)
+            if len(at):
+                yield alone(tok[at], node[at])
+            found = []
+            for length in np.unique(lengths[(lengths > 1) & (lengths <= most)]).tolist():
+                first = starts[lengths == length]
+                i, j = np.triu_indices(length, 1)
+                a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+                may = np.minimum(size[a], size[b]) * den >= np.maximum(size[a], size[b]) * num
+                found.append(np.stack([node[a], node[b], np.broadcast_to(i == 0, (len(first), len(i))).ravel()])[:, may])
+            if found:
+                a, b, star = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield out(a, b, star == 1, np.full(len(a), None))
 
-    return _batches(_of(docs, wanted), make, "node long, tokens array<long>").dropDuplicates(["node"])
+    dealt = rows.repartition("tok").sortWithinPartitions("tok", "node")
+    return dealt.mapInArrow(run, "a long, b long, star boolean, tok long")
 
 
 def contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """labels (node, comp) with the links (a, b) taken in: comp is the least node that links reach. Components hook to the
     least one they link with, chains are halved by jumping, and links are contracted until none is left."""
+    if labels is not None and links.isEmpty():
+        return labels
+    old = labels
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     if labels is None:
         labels = ends.select("node", F.col("node").alias("comp"))
     else:
         labels = labels.join(ends, "node", "full").select("node", F.coalesce("comp", "node").alias("comp"))
     labels = staged(labels, "labels")
+    if old is not None:
+        dropped(old)
     on = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
     edges = links.join(on("a"), "a").join(on("b"), "b").select(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
     edges = staged(edges.where("lo < hi").distinct(), "edges")
@@ -217,13 +404,17 @@ def contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         while True:
             up = hook.select(F.col("hi").alias("_h"), F.col("to").alias("_t"))
             jumped = staged(hook.join(up, F.col("to") == F.col("_h"), "left").select("hi", F.coalesce("_t", "to").alias("to"), F.col("_t").isNotNull().alias("moved")), "hooks")
-            hook = jumped.drop("moved")
+            dropped(hook)
+            hook = jumped
             if jumped.where("moved").isEmpty():
                 break
-        labels = staged(labels.join(hook, F.col("comp") == F.col("hi"), "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+        old, labels = labels, staged(labels.join(hook, F.col("comp") == F.col("hi"), "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+        dropped(old)
         a, b = (hook.select(F.col("hi").alias(f"h{x}"), F.col("to").alias(f"t{x}")) for x in "ab")
-        edges = edges.join(a, F.col("lo") == F.col("ha"), "left").join(b, F.col("hi") == F.col("hb"), "left").select(F.coalesce("ta", "lo").alias("x"), F.coalesce("tb", "hi").alias("y"))
-        edges = staged(edges.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).where("lo < hi").distinct(), "edges")
+        moved = edges.join(a, F.col("lo") == F.col("ha"), "left").join(b, F.col("hi") == F.col("hb"), "left").select(F.coalesce("ta", "lo").alias("x"), F.coalesce("tb", "hi").alias("y"))
+        before, edges = edges, staged(moved.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).where("lo < hi").distinct(), "edges")
+        dropped(before, hook)
+    dropped(edges)
     return labels
 
 
@@ -234,29 +425,51 @@ def close_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        def folded(maps, width):
+            while maps.shape[1] > width:
+                maps = maps[:, : maps.shape[1] // 2] ^ maps[:, maps.shape[1] // 2 :]
+            return maps
+
+        def classes(at, size, bits):
+            """Rows by the width of their bitmaps, in the order of their sizes, and these bitmaps."""
+            widths = np.array([len(bits[k]) // 8 for k in at], dtype=np.int64)
+            for width in np.unique(widths).tolist():
+                rows = at[widths == width]
+                rows = rows[np.argsort(size[rows], kind="stable")]
+                yield rows, np.frombuffer(b"".join(bits[k] for k in rows), dtype="<u8").reshape(len(rows), width)
+
         def compare(key, block, node, comp, size, bits):
-            left, right = (np.flatnonzero(block == k) for k in key[1:])
-            for at in range(0, len(left), 64):
-                i = left[at : at + 64]
-                apart = np.bitwise_count(bits[i][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
-                na, nb = size[i][:, None], size[right][None, :]
-                ok = (comp[i][:, None] != comp[right][None, :]) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & ((num + den) * (na + nb - apart) >= 2 * num * (na + nb))
-                if key[1] == key[2]:
-                    ok &= node[i][:, None] < node[right][None, :]
-                x, y = np.nonzero(ok)
-                if len(x):
-                    yield np.minimum(node[i][x], node[right][y]), np.maximum(node[i][x], node[right][y])
-
-        held: list[tuple] = []
+            left, right = (list(classes(np.flatnonzero(block == k), size, bits)) for k in key[1:])
+            for rows_a, maps_a in left:
+                for rows_b, maps_b in right:
+                    width = min(maps_a.shape[1], maps_b.shape[1])
+                    a, b, sizes = folded(maps_a, width), folded(maps_b, width), size[rows_b]
+                    step = max(1, (1 << 21) // (width * len(rows_b)))
+                    for at in range(0, len(rows_a), step):
+                        i = rows_a[at : at + step]
+                        lo = np.searchsorted(sizes, -(-size[i[0]] * num // den), "left")
+                        hi = np.searchsorted(sizes, size[i[-1]] * den // num, "right")
+                        j = rows_b[lo:hi]
+                        if not len(j):
+                            continue
+                        differ = np.bitwise_count(a[at : at + step][:, None, :] ^ b[lo:hi][None, :, :]).sum(axis=2, dtype=np.int64)
+                        na, nb = size[i][:, None], size[j][None, :]
+                        ok = (comp[i][:, None] != comp[j][None, :]) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & ((num + den) * (na + nb - differ) >= 2 * num * (na + nb))
+                        if key[1] == key[2]:
+                            ok &= node[i][:, None] < node[j][None, :]
+                        x, y = np.nonzero(ok)
+                        if len(x):
+                            yield np.minimum(node[i][x], node[j][y]), np.maximum(node[i][x], node[j][y])
+
+        held: list = []
         for batch in _with_end(batches):
-            if batch is None:
-                parts = held
-            elif batch.num_rows == 0:
+            if batch is not None and batch.num_rows == 0:
                 continue
-            else:
-                tok, bi, bj, block, node, comp, size = (batch.column(k).to_numpy() for k in range(7))
-                bits = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-                parts = [*held, (tok, bi, bj, block, node, comp, size, bits)]
+            parts = list(held)
+            if batch is not None:
+                bits = np.empty(batch.num_rows, dtype=object)
+                bits[:] = batch.column(7).to_pylist()
+                parts.append((*(batch.column(k).to_numpy() for k in range(7)), bits))
             if not parts:
                 continue
             tok, bi, bj, block, node, comp, size, bits = (np.concatenate(c) for c in zip(*parts))
@@ -279,48 +492,22 @@ def _with_end(batches):
     yield None
 
 
-def _verified(pairs: DataFrame, info: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) of nodes that are similar enough."""
-    side = lambda x: info.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"m{x}"), F.col("doc_id").alias(f"d{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # similar sets have at least num * (na + nb) / (num + den) tokens in common
-    near = near.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & ((num + den) * (F.col("na") + F.col("nb") - apart) >= 2 * num * (F.col("na") + F.col("nb"))))
-    near = staged(near.select("a", "b", "na", "nb", "da", "db"), "candidates")
-    wanted = near.select(F.col("a").alias("node"), F.col("da").alias("doc_id")).union(near.select("b", "db")).distinct()
-    sets = staged(token_sets(docs, wanted, n), "sets")
-    own = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}"))
-    both = near.join(own("a"), "a").join(own("b"), "b").withColumn("inter", F.size(F.array_intersect("ta", "tb")).cast("long"))
-    return staged(both.where(F.col("inter") * den >= num * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b"), "links")
-
-
-def _listed(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their nodes, one row a node, and lists (tok, node) in which each two similar nodes meet."""
-    found = staged(nodes(docs, n), "nodes")
-    frequent, rows = frequent_tokens(found), found.where(F.col("size").isNotNull()).drop("tok", "count")
-    info = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.max("size").alias("_most"), F.min("key").alias("_k1"), F.max("key").alias("_k2"), F.first("bits").alias("bits"))
-    info = staged(info, "node-info")
-    if not info.where((F.col("_k1") != F.col("_k2")) | (F.col("size") != F.col("_most"))).isEmpty():
-        raise ValueError("two different sets have one 63-bit node")
-    every = Window.partitionBy("tok")
-    ends = F.min("node").over(every).alias("lo"), F.max("node").over(every).alias("hi")
-    single = index(docs, n, num, den, frequent).select("tok", "node", "size", *ends, F.count("*").over(every).alias("length"))
-    single = staged(single.where("lo < hi"), "lists")
-    wanted = staged(single.where((F.col("length") > LONG_LIST) & (F.col("size") >= RUN_SIZE)).select("node").distinct().join(info.select("node", "doc_id"), "node"), "long-lists")
-    runs = run_index(docs, wanted, n, num, den, frequent).select("tok", "node", *ends)
-    short = single.where((F.col("length") <= LONG_LIST) | (F.col("size") * num <= RUN_SIZE * den)).select("tok", "node")
-    return rows, info, staged(short.unionByName(runs.where("lo < hi").select("tok", "node")), "lists")
-
-
-def _compared(lists: DataFrame, info: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _compared(lists: DataFrame, sets: Sets) -> DataFrame:
     """a < b: verified links between the nodes of one list (tok, node, comp, length) that are of different components."""
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
     parts = lists.select("tok", "node", "comp", blocks.alias("_n"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    parts = parts.join(info.select("node", "size", "bits"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
+    parts = parts.join(sets.info.select("node", "size", "bits"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
     dealt = parts.select("tok", F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"), "block", "node", "comp", "size", "bits")
     order = ["tok", "bi", "bj"]
-    pairs = close_pairs(dealt.repartition(*order).sortWithinPartitions(*order), num, den).distinct()
-    return _verified(pairs, info, docs, n, num, den)
+    pairs = close_pairs(dealt.repartition(*order).sortWithinPartitions(*order), sets.num, sets.den).distinct()
+    return sets.linked(sets.near(pairs))
+
+
+def _apart(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose nodes are of different components."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    both = near.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*near.columns)
 
 
 def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -333,29 +520,64 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> Da
     doc_id with different texts are judged one by one. A null doc_id takes part; its component_id is the least other
     doc_id, or null. Columns besides doc_id and text are not read; empty tables give empty results.
     """
-    rows, info, lists = _listed(docs, n, num, den)
-    every = Window.partitionBy("tok")
-    labels = None
+    return components(docs, n, num, den).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs without near duplicates: of each component of links, the row with the least doc_id (null last) and then the
+    least hash of its text stays, and that once if it is repeated. Rows without words all stay. Decisions are by doc_id and
+    text, so rows of one doc_id with different texts are judged one by one. Texts are not shuffled unless more than
+    BROADCAST_NODES rows go."""
+    found = components(docs, n, num, den).where("comp IS NOT NULL").select("comp", "doc_id", "text_key")
+    found = staged(found.groupBy("comp", "doc_id", "text_key").agg(F.count("*").alias("n")), "groups")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    groups = found.groupBy("comp").agg(F.min(first).alias("first"), F.count("*").alias("members")).where("members > 1").select("comp", "first")
+    other = ~(F.col("first")["doc_id"].eqNullSafe(F.col("doc_id")) & (F.col("first")["text_key"] == F.col("text_key")))
+    groups = staged(groups, "group-firsts")
+    gone = staged(found.join(small(groups, BROADCAST_NODES), "comp").where(other).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")), "gone")
+    twice = staged(found.where("n > 1").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")), "repeated")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k"))
+    kept = keyed.join(small(gone, BROADCAST_NODES), same, "left_anti")
+    if not twice.isEmpty():
+        again = small(twice, BROADCAST_NODES)
+        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return kept.select("row.*")
+
+
+def components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, text_key, size, comp, component_id of every row of docs; comp numbers the components, null for empty sets. See
+    ngram_join."""
+    sets = Sets(docs, n, num, den)
+    near, long = sets.lists()
+    fetched = sets.sets_of(near)
+    labels = contracted(None, sets.linked(near.where("star"), fetched))
+    labels = contracted(labels, sets.linked(_apart(near.where("not star"), labels), fetched))
+    dropped(near, fetched)
     for seed in range(ROUNDS + 1):
-        # lists of one component are done
-        own = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(labels, "node", "left").select("tok", "node", F.coalesce("comp", "node").alias("comp"))
-        own = own.select("tok", "node", "comp", F.min("comp").over(every).alias("_lo"), F.max("comp").over(every).alias("_hi"), F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "comp")).over(every).alias("lead"), F.count("*").over(every).alias("length"))
-        lists = staged(own.where("_lo < _hi"), "lists")
-        if seed == ROUNDS or lists.isEmpty():
+        if long.isEmpty():
             break
-        led = lists.where(F.col("comp") != F.col("lead")["comp"]).groupBy("node", F.col("lead")["node"].alias("leader")).agg(F.count("*").alias("n"))
+        # lists of one component are done
+        own = staged(long.join(labels, "node", "left").select("tok", "node", F.coalesce("comp", "node").alias("comp")), "lists")
+        lead = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "comp")).alias("lead")
+        live = own.groupBy("tok").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), lead, F.count("*").alias("length")).where("_lo < _hi").select("tok", "lead", "length")
+        live = staged(live, "leaders")
+        before, long = long, staged(own.join(small(live, BROADCAST_NODES), "tok"), "lists")
+        dropped(before, own, live)
+        if seed == ROUNDS or long.isEmpty():
+            break  # what is left has its components and lengths
+        led = long.where(F.col("comp") != F.col("lead")["comp"]).groupBy("node", F.col("lead")["node"].alias("leader")).agg(F.count("*").alias("n"))
         best = led.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select(F.least("node", F.col("best")["leader"]).alias("a"), F.greatest("node", F.col("best")["leader"]).alias("b"))
-        links = _verified(best.distinct(), info, docs, n, num, den)
-        labels, lists = contracted(labels, links), lists.select("tok", "node")
-    if not lists.isEmpty():
-        labels = contracted(labels, _compared(lists, info, docs, n, num, den))
-    if labels is None:
-        labels = info.select("node", F.col("node").alias("comp")).where("false")
-    named = info.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+        labels = contracted(labels, sets.linked(sets.near(best.distinct())))
+        before, long = long, staged(long.select("tok", "node"), "lists")
+        dropped(before)
+    if not long.isEmpty():
+        labels = contracted(labels, _compared(long, sets))
+    named = sets.info.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    known = named.select("node", "comp").join(least, "comp").select("node", "component_id")
-    out = rows.select("doc_id", "node", "size").join(known, "node", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    known = named.select("node", "comp").join(least, "comp").select("node", "comp", "component_id")
+    out = sets.rows.select("doc_id", "text_key", "node", "size").join(known, "node", "left")
+    return out.select("doc_id", "text_key", "size", "comp", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def ngram_links(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -364,6 +586,9 @@ def ngram_links(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> t
 
     Components of links are those of ngram_join, which finds them with fewer comparisons. Links inside a group of near
     copies are all found here, so their number, and the work, grow with the square of its different sets."""
-    rows, info, lists = _listed(docs, n, num, den)
-    lists = lists.select("tok", "node", F.col("node").alias("comp"), F.count("*").over(Window.partitionBy("tok")).alias("length"))
-    return _compared(lists, info, docs, n, num, den), rows.where(F.col("node").isNotNull()).select("doc_id", "node")
+    sets = Sets(docs, n, num, den)
+    near, long = sets.lists()
+    links = sets.linked(near.drop("star"))
+    lengths = long.groupBy("tok").agg(F.count("*").alias("length"))
+    lists = long.join(small(lengths, BROADCAST_NODES), "tok").select("tok", "node", F.col("node").alias("comp"), "length")
+    return links.union(_compared(lists, sets)).distinct(), sets.rows.where(F.col("node").isNotNull()).select("doc_id", "node")

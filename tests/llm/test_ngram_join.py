@@ -96,3 +96,41 @@ def test_links_equal_brute_force(make):
         sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
     want = {frozenset((i, j)) for i in sets for j in sets if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
     assert found == want and len(want) > len(rows)  # more than what joins the components
+
+
+def test_clashing_numbers_and_low_similarities(make, monkeypatch):
+    rows = near_copies(7, 60, 6, 9)
+    monkeypatch.setattr(N, "LONG_LIST", 3)
+    for args in ((4, 70, 100), (3, 50, 100)):
+        assert run(make(rows), *args) == brute(rows, *args)
+    monkeypatch.setattr(N, "number_of", lambda key: key[0] >> 4)
+    assert run(make(rows), 4, 85, 100) == brute(rows, 4, 85, 100)
+
+
+def test_blocks_of_a_list_of_near_misses(make, monkeypatch):
+    monkeypatch.setattr(N, "LONG_LIST", 2)
+    monkeypatch.setattr(N, "BLOCK", 5)
+    monkeypatch.setattr(N, "ROUNDS", 1)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(30):  # most pairs are just under or just over the bound
+        w = list(base)
+        for _ in range(8):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    found = run(make(rows), 4, 85, 100)
+    assert found == brute(rows, 4, 85, 100)
+    assert len({c for _, _, c in found}) > 1
+
+
+def test_bitmaps_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for size, own in ((40, 3), (900, 200), (5000, 40)):
+        base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        other = np.unique(np.concatenate([base[own:], rng.integers(0, 2**63, 2 * own, dtype=np.uint64)]))
+        differ = len(np.setxor1d(base, other))
+        assert 0 < N.apart(N.bitmap(base), N.bitmap(other)) <= differ
+        assert N.apart(N.bitmap(base), N.bitmap(base)) == 0

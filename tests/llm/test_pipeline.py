@@ -37,6 +37,23 @@ def test_near_duplicates_keep_one(spark, make):
     assert sorted((r.doc_id for r in P.near_duplicates(spark, docs, SF).collect())) == [3, 7, 8, 11]
 
 
+def test_near_duplicates_by_doc_id_and_text(spark, make):
+    text = " ".join(f"w{k}" for k in range(100))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(3, text), (7, text + " more"), (7, other), (7, other), (None, text), (None, other + " x"), (None, "alone here"), (2, ""), (2, ""), (4, text), (4, text + " less")]
+    left = sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, make(rows), SF).collect()), key=str)
+    assert left == sorted([(3, text), (7, other), (None, "alone here"), (2, ""), (2, "")], key=str)
+    assert P.near_duplicates(spark, make(rows).where("false"), SF).count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    for stage in (P.quality, P.lines, P.near_duplicates, P.mixed):
+        assert stage(spark, odd, SF).columns == odd.columns
+        assert stage(spark, none, SF).count() == 0
+    assert sorted(r.n_tokens for r in P.encoded(spark, odd, SF).collect())[:2] == [0, 0]
+    assert P.encoded(spark, none, SF).count() == 0
+
+
 def test_run(spark):
     out = P.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids"] and out.where("n_tokens <> size(ids)").count() == 0
