@@ -14,7 +14,7 @@ from leafmill.llm.byte_bpe import encode, load_ranks
 from leafmill.llm.common import staged, table
 from leafmill.llm.line_dedup import line_dedup
 from leafmill.llm.mixing import mixture
-from leafmill.llm.ngram_join import BROADCAST_NODES, ngram_join
+from leafmill.llm.ngram_join import one_of_each_group
 from leafmill.llm.quality_classifier import good_documents
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -32,16 +32,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles: the one with the least
-    doc_id. Documents without words are no group's and stay. Repeated rows of one doc_id and text stay once."""
-    found = staged(ngram_join(docs, n=5, num=80, den=100), "groups")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    few = gone.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = staged(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "repeated")
-    if twice.isEmpty():
-        return kept
-    again = F.col("doc_id").eqNullSafe(F.col("_twice"))
-    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    doc_id. Documents without words are no group's and stay. Rows of one doc_id and equal text stay once; where a doc_id has
+    several texts, each is judged by itself, and of those of one group the first by code point stays, as it is the case for a
+    group without doc_ids. Empty tables give empty results; other columns are carried along."""
+    return one_of_each_group(docs, n=5, num=80, den=100).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
