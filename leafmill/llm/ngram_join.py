@@ -9,8 +9,10 @@ such run is in both longer prefixes (see extended_length). Sets that merely hold
 
 A short list yields its pairs of nodes (distinct sets) whose sizes allow a link. Each node has a parity bitmap as wide as half
 its set, which bounds the overlap from above, so that few pairs besides the links are left to be verified on the sets
-themselves. In a list that is long even for combinations, nodes meet a leader for a few rounds, which joins groups of near
-copies at the cost of a pair a node; lists that are then still of several components are compared in blocks, within tasks.
+themselves. In other lists of combinations, nodes meet a leader for a few rounds, which joins groups of near copies at the
+cost of a pair a node. Where lists are then still of several components, each node goes with its token set to its longest
+list, its home, where blocks are compared exactly within tasks, which return no more links than join their components. Last,
+pairs without a common home are compared by bitmaps in all lists that are left, and those that may be links are verified.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from leafmill.llm.hashing import WordIds, mixed, ngrams
 FREQUENT_SHARE, FREQUENT_MOST = 1 / 1000, 50_000
 #: Lists with more nodes are long: of frequent tokens, whose sets are indexed by combinations of K tokens instead.
 LONG_LIST, K = 16, 3
+#: Lists of combinations with up to so many nodes yield their pairs at once.
+PAIR_LIST = 4
 #: Sets of this size have a run (see run_size); smaller ones, and those that they can be similar to, take K-subsets.
 RUN_SIZE = 24
-#: Rounds in which nodes meet a leader, and nodes in a block of a long list.
-ROUNDS, BLOCK = 3, 4096
+#: Rounds in which nodes meet a leader, and then nodes of one home; nodes in a block of a long list, and tokens in a home's.
+LEADER_ROUNDS, HOME_ROUNDS, BLOCK, BLOCK_TOKENS = 2, 2, 4096, 2 << 20
 #: Nodes whose sets are fetched are broadcast up to this many, and else joined by a shuffle.
 BROADCAST_NODES = 500_000
 
@@ -63,10 +67,10 @@ def node_of(tokens: np.ndarray, clashes: dict[bytes, int] | None = None) -> tupl
     return (clashes or {}).get(key, number_of(key)), key
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Parities of the set's tokens over as many cells as half its size, rounded up to a power of two. Cells in which two
+def bitmap(tokens: np.ndarray, scale: float = 0.5) -> bytes:
+    """Parities of the set's tokens over scale times as many cells as tokens, rounded up to a power of two. Cells in which two
     bitmaps differ number no more than the tokens that are in one set only; a bitmap folded in halves is one of fewer cells."""
-    cells = max(128, 1 << (len(tokens) // 2 - 1).bit_length())
+    cells = max(128, 1 << (int(len(tokens) * scale) - 1).bit_length())
     odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -314,10 +318,10 @@ class Sets:
     def lists(self) -> tuple[DataFrame, DataFrame]:
         """Candidates (a < b, star, na, nb, da, db) of the short lists, as near() keeps them; and tok, node of the long lists of
         combinations. Each two similar nodes are a candidate or in one long list. star: one of the two leads a list."""
-        single = staged(list_pairs(self.index(), self.num, self.den), "pairs")
+        single = staged(list_pairs(self.index(), self.num, self.den, LONG_LIST), "pairs")
         flagged = single.where(F.col("b").isNull()).select(F.col("a").alias("node")).distinct()
         wanted = staged(flagged.join(self.info.select("node", "doc_id"), "node"), "long-lists")
-        more = staged(list_pairs(self.combinations(wanted), self.num, self.den), "pairs")
+        more = staged(list_pairs(self.combinations(wanted), self.num, self.den, PAIR_LIST), "pairs")
         pairs = single.select("a", "b", "star").union(more.select("a", "b", "star")).where(F.col("b").isNotNull())
         near = staged(self.near(pairs.groupBy("a", "b").agg(F.max("star").alias("star"))), "candidates")
         long = staged(more.where(F.col("b").isNull()).select("tok", F.col("a").alias("node")).distinct(), "lists")
@@ -325,11 +329,10 @@ class Sets:
         return near, long
 
 
-def list_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """From lists (tok, node, size): a < b, star, the pairs of lists of LONG_LIST nodes or fewer whose sizes allow a link, where
+def list_pairs(rows: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """From lists (tok, node, size): a < b, star, the pairs of lists of up to `most` nodes whose sizes allow a link, where
     star says that a is the list's first node; and, with b null, a, tok of the other lists and of rows with a negative size.
-    A list streams through its task; no more than LONG_LIST of its rows and a batch are held."""
-    most = LONG_LIST
+    A list streams through its task; no more than `most` of its rows and a batch are held."""
 
     def run(batches):
         import pyarrow as pa
@@ -418,73 +421,139 @@ def contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return labels
 
 
+def _classes(at: np.ndarray, size: np.ndarray, bits) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows by the width of their bitmaps, in the order of their sizes, and these bitmaps."""
+    widths = np.array([len(bits[k]) // 8 for k in at], dtype=np.int64)
+    out = []
+    for width in np.unique(widths).tolist():
+        rows = at[widths == width]
+        rows = rows[np.argsort(size[rows], kind="stable")]
+        out.append((rows, np.frombuffer(b"".join(bits[k] for k in rows), dtype="<u8").reshape(len(rows), width)))
+    return out
+
+
+def _folded(maps: np.ndarray, width: int) -> np.ndarray:
+    while maps.shape[1] > width:
+        maps = maps[:, : maps.shape[1] // 2] ^ maps[:, maps.shape[1] // 2 :]
+    return maps
+
+
+def _may_link(left: np.ndarray, right: np.ndarray, size: np.ndarray, bits, num: int, den: int):
+    """Chunks of (i, j): rows of left and right that sizes and bitmaps allow to be similar."""
+    others = _classes(right, size, bits)
+    for rows_a, maps_a in _classes(left, size, bits):
+        for rows_b, maps_b in others:
+            width = min(maps_a.shape[1], maps_b.shape[1])
+            a, b, sizes = _folded(maps_a, width), _folded(maps_b, width), size[rows_b]
+            step = max(1, (1 << 20) // (width * len(rows_b)))
+            for at in range(0, len(rows_a), step):
+                i = rows_a[at : at + step]
+                lo = np.searchsorted(sizes, -(-size[i[0]] * num // den), "left")
+                hi = np.searchsorted(sizes, size[i[-1]] * den // num, "right")
+                j = rows_b[lo:hi]
+                if len(j):
+                    differ = np.bitwise_count(a[at : at + step][:, None, :] ^ b[lo:hi][None, :, :]).sum(axis=2, dtype=np.int64)
+                    na, nb = size[i][:, None], size[j][None, :]
+                    x, y = np.nonzero((np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & ((num + den) * (na + nb - differ) >= 2 * num * (na + nb)))
+                    if len(x):
+                        yield i[x], j[y]
+
+
+def _groups(batches, keys: int, objects: tuple[int, ...]):
+    """Lists of rows that agree in the first `keys` columns, batch after batch, as tuples of arrays; the columns numbered in
+    objects hold Python values. Rows must come sorted by those keys."""
+    held: list = []
+    for batch in _with_end(batches):
+        if batch is not None and batch.num_rows == 0:
+            continue
+        parts = list(held)
+        if batch is not None:
+            columns = []
+            for k in range(batch.num_columns):
+                if k in objects:
+                    values = np.empty(batch.num_rows, dtype=object)
+                    values[:] = [v.values.to_numpy() if hasattr(v, "values") else v.as_py() for v in batch.column(k)]
+                    columns.append(values)
+                else:
+                    columns.append(batch.column(k).to_numpy())
+            parts.append(tuple(columns))
+        if not parts:
+            continue
+        rows = [np.concatenate(c) for c in zip(*parts)]
+        new = np.zeros(len(rows[0]) - 1, dtype=bool)
+        for key in rows[:keys]:
+            new |= key[1:] != key[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1]).tolist()
+        ends = [*starts[1:], len(rows[0])]
+        if batch is not None:  # the last group may go on in the next batch
+            held = [tuple(c[starts[-1] :] for c in rows)]
+            starts, ends = starts[:-1], ends[:-1]
+        yield [tuple(c[s:e] for c in rows) for s, e in zip(starts, ends)]
+
+
+def _pairs_batch(found: list) -> object:
+    import pyarrow as pa
+
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
 def close_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """a < b of rows (tok, bi, bj, block, node, comp, size, bits), sorted by tok, bi, bj: pairs of one list, of blocks bi and bj and of
-    different components, whose sizes and bitmaps allow them to be similar. No pair is written that they rule out."""
+    """a < b of rows (tok, bi, bj, block, node, comp, size, homes, bits), sorted by tok, bi, bj: pairs of one list, of blocks bi and
+    bj, of different components and without a common home, whose sizes and bitmaps allow them to be similar."""
 
     def run(batches):
-        import pyarrow as pa
+        found, held = [], 0
+        for groups in _groups(batches, 3, (7, 8)):
+            for tok, bi, bj, block, node, comp, size, homes, bits in groups:
+                spread = np.zeros((len(node), HOME_ROUNDS), dtype=np.int64)
+                known = np.zeros((len(node), HOME_ROUNDS), dtype=bool)
+                for r, own in enumerate(homes):
+                    spread[r, : len(own)], known[r, : len(own)] = own, True
+                left, right = np.flatnonzero(block == bi[0]), np.flatnonzero(block == bj[0])
+                for i, j in _may_link(left, right, size, bits, num, den):
+                    met = (known[i] & known[j] & (spread[i] == spread[j])).any(axis=1)
+                    ok = (comp[i] != comp[j]) & ~met & ((node[i] < node[j]) | (bi[0] != bj[0]))
+                    if ok.any():
+                        x, y = node[i[ok]], node[j[ok]]
+                        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                        held += len(x)
+            if held > 1 << 19:  # a pair is met in many lists
+                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+                held = found[0].shape[1]
+            if held > 1 << 18:
+                yield _pairs_batch(found)
+                found, held = [], 0
+        if found:
+            yield _pairs_batch(found)
+
+    return rows.select("tok", "bi", "bj", "block", "node", "comp", "size", "homes", "bits").mapInArrow(run, "a long, b long")
+
+
+def joining_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """a < b of rows (tok, bi, bj, block, node, comp, tokens), sorted by tok, bi, bj: links between blocks bi and bj of one list, so
+    many that they join all components that its links join. Sets are compared themselves, after bitmaps of 8 cells a token."""
 
-        def folded(maps, width):
-            while maps.shape[1] > width:
-                maps = maps[:, : maps.shape[1] // 2] ^ maps[:, maps.shape[1] // 2 :]
-            return maps
-
-        def classes(at, size, bits):
-            """Rows by the width of their bitmaps, in the order of their sizes, and these bitmaps."""
-            widths = np.array([len(bits[k]) // 8 for k in at], dtype=np.int64)
-            for width in np.unique(widths).tolist():
-                rows = at[widths == width]
-                rows = rows[np.argsort(size[rows], kind="stable")]
-                yield rows, np.frombuffer(b"".join(bits[k] for k in rows), dtype="<u8").reshape(len(rows), width)
-
-        def compare(key, block, node, comp, size, bits):
-            left, right = (list(classes(np.flatnonzero(block == k), size, bits)) for k in key[1:])
-            for rows_a, maps_a in left:
-                for rows_b, maps_b in right:
-                    width = min(maps_a.shape[1], maps_b.shape[1])
-                    a, b, sizes = folded(maps_a, width), folded(maps_b, width), size[rows_b]
-                    step = max(1, (1 << 21) // (width * len(rows_b)))
-                    for at in range(0, len(rows_a), step):
-                        i = rows_a[at : at + step]
-                        lo = np.searchsorted(sizes, -(-size[i[0]] * num // den), "left")
-                        hi = np.searchsorted(sizes, size[i[-1]] * den // num, "right")
-                        j = rows_b[lo:hi]
-                        if not len(j):
-                            continue
-                        differ = np.bitwise_count(a[at : at + step][:, None, :] ^ b[lo:hi][None, :, :]).sum(axis=2, dtype=np.int64)
-                        na, nb = size[i][:, None], size[j][None, :]
-                        ok = (comp[i][:, None] != comp[j][None, :]) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & ((num + den) * (na + nb - differ) >= 2 * num * (na + nb))
-                        if key[1] == key[2]:
-                            ok &= node[i][:, None] < node[j][None, :]
-                        x, y = np.nonzero(ok)
-                        if len(x):
-                            yield np.minimum(node[i][x], node[j][y]), np.maximum(node[i][x], node[j][y])
-
-        held: list = []
-        for batch in _with_end(batches):
-            if batch is not None and batch.num_rows == 0:
-                continue
-            parts = list(held)
-            if batch is not None:
-                bits = np.empty(batch.num_rows, dtype=object)
-                bits[:] = batch.column(7).to_pylist()
-                parts.append((*(batch.column(k).to_numpy() for k in range(7)), bits))
-            if not parts:
-                continue
-            tok, bi, bj, block, node, comp, size, bits = (np.concatenate(c) for c in zip(*parts))
-            new = np.flatnonzero((tok[1:] != tok[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
-            starts = np.concatenate([[0], new])
-            ends = np.concatenate([new, [len(tok)]])
-            if batch is not None:  # the last group may go on in the next batch
-                held = [tuple(c[starts[-1] :] for c in (tok, bi, bj, block, node, comp, size, bits))]
-                starts, ends = starts[:-1], ends[:-1]
-            found = [pair for s, e in zip(starts.tolist(), ends.tolist()) for pair in compare((tok[s], bi[s], bj[s]), block[s:e], node[s:e], comp[s:e], size[s:e], bits[s:e])]
+    def run(batches):
+        for groups in _groups(batches, 3, (6,)):
+            found = []
+            for tok, bi, bj, block, node, comp, tokens in groups:
+                sets = [np.asarray(t).view(np.uint64) for t in tokens]
+                size = np.array([len(t) for t in sets], dtype=np.int64)
+                bits = [bitmap(t, 8) for t in sets]
+                left, right = np.flatnonzero(block == bi[0]), np.flatnonzero(block == bj[0])
+                root = comp.copy()
+                for i, j in _may_link(left, right, size, bits, num, den):
+                    for x, y in zip(i[apart := root[i] != root[j]].tolist(), j[apart].tolist()):
+                        if root[x] != root[y]:
+                            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                            if common * den >= num * (size[x] + size[y] - common):
+                                root[root == root[y]] = root[x]
+                                found.append([[min(node[x], node[y])], [max(node[x], node[y])]])
             if found:
-                pairs = np.unique(np.stack([np.concatenate([p[k] for p in found]) for k in (0, 1)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in (0, 1)], names=["a", "b"])
+                yield _pairs_batch(found)
 
-    return rows.select("tok", "bi", "bj", "block", "node", "comp", "size", "bits").mapInArrow(run, "a long, b long")
+    return rows.select("tok", "bi", "bj", "block", "node", "comp", "tokens").mapInArrow(run, "a long, b long")
 
 
 def _with_end(batches):
@@ -492,15 +561,36 @@ def _with_end(batches):
     yield None
 
 
+def _dealt(lists: DataFrame, blocks) -> DataFrame:
+    """lists (tok, node, ...) with bi, bj, block, sorted by tok, bi, bj within partitions: a row for each pair of its list's blocks
+    that has its own."""
+    parts = lists.withColumn("_n", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    parts = parts.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    parts = parts.withColumns({"bi": F.least("block", "_o"), "bj": F.greatest("block", "_o")}).drop("_o", "_n")
+    return parts.repartition("tok", "bi", "bj").sortWithinPartitions("tok", "bi", "bj")
+
+
 def _compared(lists: DataFrame, sets: Sets) -> DataFrame:
-    """a < b: verified links between the nodes of one list (tok, node, comp, length) that are of different components."""
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    parts = lists.select("tok", "node", "comp", blocks.alias("_n"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    parts = parts.join(sets.info.select("node", "size", "bits"), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
-    dealt = parts.select("tok", F.least("block", "_o").alias("bi"), F.greatest("block", "_o").alias("bj"), "block", "node", "comp", "size", "bits")
-    order = ["tok", "bi", "bj"]
-    pairs = close_pairs(dealt.repartition(*order).sortWithinPartitions(*order), sets.num, sets.den).distinct()
-    return sets.linked(sets.near(pairs))
+    """a < b: verified links between the nodes of one list (tok, node, comp, length, homes) that are of different components and
+    have no common home."""
+    rows = _dealt(lists.join(sets.info.select("node", "size", "bits"), "node"), F.ceil(F.col("length") / BLOCK))
+    return sets.linked(sets.near(close_pairs(rows, sets.num, sets.den).distinct()))
+
+
+def _at_home(lists: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame]:
+    """Links that join the components within each node's longest list (tok, node, comp, length, homes) but for its former homes,
+    and node, home."""
+    longest = F.max(F.struct("length", "tok"))
+    home = lists.where(~F.array_contains("homes", F.col("tok"))).groupBy("node").agg(longest.alias("h"), F.min("comp").alias("comp")).select("node", "comp", F.col("h")["tok"].alias("tok"))
+    home = staged(home.join(sets.info.select("node", "doc_id", "size"), "node"), "homes")
+    volumes = home.groupBy("tok").agg(F.sum("size").alias("volume"), F.count("*").alias("members")).where("members > 1")
+    # a set goes with every pair of blocks, but lists of under BLOCK_TOKENS have one
+    own = home.join(small(volumes, BROADCAST_NODES), "tok")
+    tokens = staged(sets.tokens(own.select("node", "doc_id")), "sets")
+    rows = own.select("tok", "node", "comp", "volume").join(tokens, "node")
+    links = staged(joining_links(_dealt(rows, F.ceil(F.col("volume") / BLOCK_TOKENS)), sets.num, sets.den).distinct(), "links")
+    dropped(tokens)
+    return links, home.select("node", F.col("tok").alias("home"))
 
 
 def _apart(near: DataFrame, labels: DataFrame) -> DataFrame:
@@ -554,25 +644,28 @@ def components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     labels = contracted(None, sets.linked(near.where("star"), fetched))
     labels = contracted(labels, sets.linked(_apart(near.where("not star"), labels), fetched))
     dropped(near, fetched)
-    for seed in range(ROUNDS + 1):
+    long = staged(long.select("tok", "node", F.array().cast("array<bigint>").alias("homes")), "lists")
+    for turn in range(LEADER_ROUNDS + HOME_ROUNDS + 1):
         if long.isEmpty():
             break
         # lists of one component are done
-        own = staged(long.join(labels, "node", "left").select("tok", "node", F.coalesce("comp", "node").alias("comp")), "lists")
-        lead = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "comp")).alias("lead")
+        own = staged(long.select("tok", "node", "homes").join(labels, "node", "left").select("tok", "node", "homes", F.coalesce("comp", "node").alias("comp")), "lists")
+        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("lead")
         live = own.groupBy("tok").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), lead, F.count("*").alias("length")).where("_lo < _hi").select("tok", "lead", "length")
         live = staged(live, "leaders")
         before, long = long, staged(own.join(small(live, BROADCAST_NODES), "tok"), "lists")
         dropped(before, own, live)
-        if seed == ROUNDS or long.isEmpty():
-            break  # what is left has its components and lengths
-        led = long.where(F.col("comp") != F.col("lead")["comp"]).groupBy("node", F.col("lead")["node"].alias("leader")).agg(F.count("*").alias("n"))
-        best = led.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select(F.least("node", F.col("best")["leader"]).alias("a"), F.greatest("node", F.col("best")["leader"]).alias("b"))
-        labels = contracted(labels, sets.linked(sets.near(best.distinct())))
-        before, long = long, staged(long.select("tok", "node"), "lists")
-        dropped(before)
-    if not long.isEmpty():
-        labels = contracted(labels, _compared(long, sets))
+        if turn < LEADER_ROUNDS:
+            led = long.where(F.col("comp") != F.col("lead")["comp"]).groupBy("node", F.col("lead")["node"].alias("leader")).agg(F.count("*").alias("n"))
+            best = led.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select(F.least("node", F.col("best")["leader"]).alias("a"), F.greatest("node", F.col("best")["leader"]).alias("b"))
+            labels = contracted(labels, sets.linked(sets.near(best.distinct())))
+        elif turn < LEADER_ROUNDS + HOME_ROUNDS:
+            links, home = _at_home(long, sets)
+            labels = contracted(labels, links)
+            before, long = long, staged(long.join(home, "node", "left").withColumn("homes", F.when(F.col("home").isNull(), F.col("homes")).otherwise(F.array_append("homes", F.col("home")))), "lists")
+            dropped(before)
+        else:
+            labels = contracted(labels, _compared(long, sets))
     named = sets.info.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     known = named.select("node", "comp").join(least, "comp").select("node", "comp", "component_id")
@@ -590,5 +683,5 @@ def ngram_links(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> t
     near, long = sets.lists()
     links = sets.linked(near.drop("star"))
     lengths = long.groupBy("tok").agg(F.count("*").alias("length"))
-    lists = long.join(small(lengths, BROADCAST_NODES), "tok").select("tok", "node", F.col("node").alias("comp"), "length")
+    lists = long.join(small(lengths, BROADCAST_NODES), "tok").select("tok", "node", F.col("node").alias("comp"), "length", F.array().cast("array<bigint>").alias("homes"))
     return links.union(_compared(lists, sets)).distinct(), sets.rows.where(F.col("node").isNotNull()).select("doc_id", "node")
