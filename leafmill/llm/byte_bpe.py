@@ -196,7 +196,10 @@ def dictionary(docs: DataFrame, pattern: str, maps: Column, most: int) -> DataFr
         if held > most:
             break
         least = row["n"]
-    often = counted.where(F.col("n") >= least).select(F.col("piece").cast("binary").alias("piece")).repartition("piece")
+    often = counted.where(F.col("n") >= least)
+    if least > MOST_COUNT:  # more than `most` pieces have the largest count that is told apart
+        often = counted.where(F.col("n") >= MOST_COUNT).orderBy(F.desc("n"), "piece").limit(most)
+    often = often.select(F.col("piece").cast("binary").alias("piece")).repartition("piece")
     return staged(often.select("piece", folded(F.col("piece"), maps).alias("ids")), "dictionary")
 
 

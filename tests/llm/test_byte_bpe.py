@@ -54,3 +54,10 @@ def test_digests(odd, none, ranks, judge):
     want = sorted((str(r.doc_id), len(ids := judge(r.text or "")), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect())
     assert got == want
     assert B.digests(none, ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_dictionary_keeps_its_bound(make, ranks, monkeypatch):
+    monkeypatch.setattr(B, "MOST_COUNT", 3)
+    docs = make([(i, " ".join(f"word{k}" for k in range(40))) for i in range(6)])
+    found = B.dictionary(docs, public_tokenizers.PATTERN, B.rank_map(ranks), 5)
+    assert found.count() == 5
