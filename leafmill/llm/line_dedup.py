@@ -10,16 +10,17 @@ from leafmill.llm.common import staged
 BLANK = r"^[\x20\x09-\x0D]*$"
 
 
-def boilerplate_lines(docs: DataFrame, site: Column, max_ratio: float, min_pages: int) -> DataFrame:
-    """_site, _line (md5), pages, site_pages, ratio of the lines to drop. Pages with equal texts on one site count once, so that
-    copies of a page, which are another operator's concern, do not make its lines boilerplate. A line counts once a page."""
-    pages = docs.select(site.alias("_site"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_key", F.md5("_text"))
-    # a page's lines travel as hashes: the first aggregation, by page text, moves them once for each distinct page
-    hashed = F.transform(F.filter(F.split("_text", "\n"), lambda x: ~x.rlike(BLANK)), lambda x: F.md5(F.trim(x)))
-    pages = pages.select("_site", F.unhex("_key").alias("_key"), F.explode_outer(F.array_distinct(hashed)).alias("_l"))
-    lines = pages.where(F.col("_l").isNotNull()).select("_site", F.unhex("_l").alias("_line"), "_key")
-    per_line = lines.groupBy("_site", "_line").agg(F.count_distinct("_key").alias("pages")).where(F.col("pages") >= min_pages)
-    totals = docs.select(site.alias("_site2"), F.md5(F.coalesce("text", F.lit(""))).alias("_k")).groupBy("_site2").agg(F.count_distinct("_k").alias("site_pages"))
+def boilerplate_lines(docs: DataFrame, site: Column, max_ratio: float, copies_once: bool) -> DataFrame:
+    """_site, _line (md5), pages, site_pages, ratio of the lines to drop. A line counts once a page. With copies_once, pages with
+    equal texts on one site count as one."""
+    pages = docs.select(site.alias("_site"), F.coalesce("text", F.lit("")).alias("_text"))
+    # lines travel as hashes, and are counted before the shuffle
+    hashed = F.array_distinct(F.transform(F.filter(F.split("_text", "\n"), lambda x: ~x.rlike(BLANK)), lambda x: F.md5(F.trim(x))))
+    key = [F.unhex(F.md5("_text")).alias("_key")] if copies_once else []
+    lines = pages.select("_site", *key, F.explode(hashed).alias("_l")).select("_site", F.unhex("_l").alias("_line"), *(["_key"] if copies_once else []))
+    number = F.count_distinct("_key") if copies_once else F.count("*")
+    per_line = lines.groupBy("_site", "_line").agg(number.alias("pages")).where("pages >= 2")
+    totals = pages.select(F.col("_site").alias("_site2"), *key).groupBy("_site2").agg(number.alias("site_pages"))
     found = per_line.join(totals, F.col("_site").eqNullSafe(F.col("_site2"))).withColumn("ratio", F.col("pages") / F.col("site_pages"))
     return found.where(F.col("ratio") > max_ratio).drop("_site2")
 
@@ -28,9 +29,11 @@ def boilerplate_lines(docs: DataFrame, site: Column, max_ratio: float, min_pages
 BROADCAST_BYTES = 8 << 20
 
 
-def line_dedup(docs: DataFrame, site: Column | None = None, max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, site: Column | None = None, max_ratio: float = 0.1, copies_once: bool = False) -> DataFrame:
     """All columns of docs, with text (and n_chars, where there is one) without the lines that stand on more than max_ratio of
-    their site's pages and on min_pages pages at least, and n_lines and n_dropped (lines before, lines dropped).
+    their site's pages, and n_lines and n_dropped (lines before, lines dropped). A line on a single page is no boilerplate,
+    however few pages the site has. With copies_once, pages with equal texts count as one, on both sides of the ratio, so that
+    a large group of copies does not make its own lines boilerplate.
 
     site: by default the column source. A list of a site's dropped lines has at most lines-a-page / max_ratio entries, so
     it is collected per site; whole sites never are. Blank lines stay. Lines are compared without the spaces around them.
@@ -39,7 +42,7 @@ def line_dedup(docs: DataFrame, site: Column | None = None, max_ratio: float = 0
     Empty and one-line texts, repeated rows and extra columns pass; columns named n_lines or n_dropped are replaced.
     """
     site = F.col("source") if site is None else site
-    drop = boilerplate_lines(docs, site, max_ratio, min_pages)
+    drop = boilerplate_lines(docs, site, max_ratio, copies_once)
     drop = staged(drop.groupBy("_site").agg(F.collect_set(F.hex("_line")).alias("_drop")), "boilerplate")
     size = drop.agg(F.coalesce(F.sum(F.size("_drop") * 64 + 64), F.lit(0))).first()[0]
     drop = F.broadcast(drop) if size <= BROADCAST_BYTES else drop

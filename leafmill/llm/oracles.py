@@ -50,7 +50,7 @@ def _op8() -> str:
     lists = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in COMMON_WORDS.items())
     size = max(map(len, COMMON_WORDS.values()))
     words = WORDS.format("t0")
-    div = "list_sum(list_transform(list_zip({p}, {q}), lambda z: (CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END) / 2))"
+    div = "sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: (CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END) / 2))))"
     share = lambda v: f"list_transform({v}, lambda y: y / list_sum({v}))"
     return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t0 FROM documents), {", ".join(steps)},
 a AS (SELECT r, doc_id, lang, t0, {words} AS w, {chars} FROM s{len(CLASSES) - 1}),
@@ -62,18 +62,18 @@ wh AS (SELECT cw.r, list(coalesce(n, 0)::DOUBLE ORDER BY i) AS hits FROM cw LEFT
 b AS (SELECT a.*, [{", ".join(f"{c}::DOUBLE" for c in every)}] AS cs, hits FROM a LEFT JOIN wh USING (r)),
 rc AS (SELECT lang AS l, [{", ".join(f"sum({c})::DOUBLE" for c in every)}] AS rcs, [{", ".join(f"coalesce(sum(hits[{i + 1}]), 0)::DOUBLE" for i in range(size))}] AS rws FROM b GROUP BY 1),
 j AS (SELECT b.*, rcs, rws, list_concat(hits, list_transform(range({size} - len(hits)), lambda q: 0.0::DOUBLE)) AS hp FROM b LEFT JOIN rc ON rc.l IS NOT DISTINCT FROM lang),
-o AS (SELECT *, CASE WHEN list_sum(cs) > 0 AND list_sum(rcs) > 0 THEN {div.format(p=share("cs"), q=share("rcs"))} END AS cd, CASE WHEN hits IS NOT NULL AND list_sum(hp) > 0 AND list_sum(rws) > 0 THEN {div.format(p=share("hp"), q=share("rws"))} END AS wd FROM j),
+o AS (SELECT *, CASE WHEN list_sum(cs) > 0 AND list_sum(rcs) > 0 THEN {div.format(p=share("cs"), q=share("rcs"))} END AS cd, CASE WHEN hits IS NOT NULL AND list_sum(rws) > 0 THEN CASE WHEN list_sum(hp) > 0 THEN {div.format(p=share("hp"), q=share("rws"))} WHEN len(w) >= 100 THEN 1 END END AS wd FROM j),
 z AS (SELECT o.*, CAST(len(w) AS BIGINT) AS n_words, coalesce(rp.n, 0) AS n_repeat_words, coalesce(li.dup, 0) AS n_dup_lines FROM o LEFT JOIN rp USING (r) LEFT JOIN li USING (r)),
 y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM z)
-SELECT doc_id, n_words, CAST({" + ".join(c for c in every if c != "c_space")} AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS char_divergence, round(wd, 6) AS word_divergence,
-NOT base_failed AND NOT (n_words >= 100 AND (coalesce(cd, 0) > 0.1 OR coalesce(wd, 0) > 0.5)) AS kept FROM y"""
+SELECT doc_id, n_words, CAST({" + ".join(c for c in every if c != "c_space")} AS BIGINT) AS word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance,
+NOT base_failed AND NOT (n_words >= 100 AND (coalesce(cd, 0) > 0.3162 OR coalesce(wd, 0) > 0.7071)) AS kept FROM y"""
 
 
 OP8 = _op8()
 
-OP10 = r"""WITH d AS (SELECT row_number() OVER () AS r, * FROM documents), p AS (SELECT DISTINCT source, coalesce(text, '') AS t FROM d), n AS (SELECT source, count(*) AS total FROM p GROUP BY 1),
-l AS (SELECT DISTINCT source, t, trim(unnest(string_split(t, chr(10)))) AS x FROM p), f AS (SELECT l.source, x, count(*) AS k FROM l WHERE NOT regexp_full_match(x, '[\x20\x09-\x0D]*') GROUP BY 1, 2),
-g AS (SELECT f.source, list(x) AS dropped FROM f JOIN n ON n.source IS NOT DISTINCT FROM f.source WHERE k >= 5 AND k / total > 0.1 GROUP BY 1),
+OP10 = r"""WITH d AS (SELECT row_number() OVER () AS r, * FROM documents), p AS (SELECT r, source, coalesce(text, '') AS t FROM d), n AS (SELECT source, count(*) AS total FROM p GROUP BY 1),
+l AS (SELECT DISTINCT source, r, trim(unnest(string_split(t, chr(10)))) AS x FROM p), f AS (SELECT l.source, x, count(*) AS k FROM l WHERE NOT regexp_full_match(x, '[\x20\x09-\x0D]*') GROUP BY 1, 2),
+g AS (SELECT f.source, list(x) AS dropped FROM f JOIN n ON n.source IS NOT DISTINCT FROM f.source WHERE k >= 2 AND k / total > 0.1 GROUP BY 1),
 o AS (SELECT doc_id, d.source, string_split(coalesce(text, ''), chr(10)) AS a, coalesce(dropped, []) AS dropped, text FROM d LEFT JOIN g ON g.source IS NOT DISTINCT FROM d.source),
 q AS (SELECT *, list_filter(a, lambda x: regexp_full_match(x, '[\x20\x09-\x0D]*') OR NOT list_contains(dropped, trim(x))) AS kept FROM o)
 SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(a) END AS n_lines, CAST(len(a) - len(kept) AS BIGINT) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM q"""

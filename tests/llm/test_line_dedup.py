@@ -12,11 +12,18 @@ def test_boilerplate_goes_by_site(make):
 
 def test_copies_do_not_make_boilerplate(make):
     rows = [(i, "same page\nsame end", "a") for i in range(30)] + [(100 + i, f"own {i}", "a") for i in range(30)]
-    assert line_dedup(make(rows)).agg(F.sum("n_dropped")).first()[0] == 0
+    assert line_dedup(make(rows), copies_once=True).agg(F.sum("n_dropped")).first()[0] == 0
+    assert line_dedup(make(rows)).agg(F.sum("n_dropped")).first()[0] == 60  # they are half of the site's pages
+
+
+def test_small_sites(make):
+    rows = [(1, "nav\nown", "one"), *((10 + i, f"nav\nown {i}", "four") for i in range(4)), (20, "x\nx", "twice")]
+    found = {r.doc_id: r.text for r in line_dedup(make(rows)).collect()}
+    assert found == {1: "nav\nown", 20: "x\nx", **{10 + i: f"own {i}" for i in range(4)}}
 
 
 def test_odd_rows(odd, none):
-    out = line_dedup(odd)
+    out = line_dedup(odd, copies_once=True)
     assert out.columns == [*odd.columns, "n_lines", "n_dropped"]
     assert sorted(map(str, (r.text for r in out.collect()))) == sorted(map(str, (r.text for r in odd.collect())))
     assert line_dedup(none).count() == 0
@@ -27,9 +34,11 @@ def test_brute_force(make):
 
     rng = random.Random(4)
     rows = [(i, "\n".join(rng.choice(["nav", "foot", f"l{rng.randrange(60)}", ""]) for _ in range(rng.randint(1, 6))), f"s{i % 3}") for i in range(200)]
-    pages = {}
-    for _, t, s in rows:
-        pages.setdefault(s, set()).add(t)
-    drop = {(s, x) for s, ts in pages.items() for x in {y for t in ts for y in t.split("\n") if y} if sum(x in t.split("\n") for t in ts) >= 5 and sum(x in t.split("\n") for t in ts) / len(ts) > 0.1}
-    want = {i: "\n".join(x for x in t.split("\n") if (s, x) not in drop) for i, t, s in rows}
-    assert {r.doc_id: r.text for r in line_dedup(make(rows)).collect()} == want
+    for once in (False, True):
+        pages = {}
+        for i, t, s in rows:
+            pages.setdefault(s, {})[t if once else i] = t
+        counts = {s: [(x, sum(x in t.split("\n") for t in ts.values()), len(ts)) for x in {y for t in ts.values() for y in t.split("\n") if y}] for s, ts in pages.items()}
+        drop = {(s, x) for s, found in counts.items() for x, n, total in found if n >= 2 and n / total > 0.1}
+        want = {i: "\n".join(x for x in t.split("\n") if (s, x) not in drop) for i, t, s in rows}
+        assert {r.doc_id: r.text for r in line_dedup(make(rows), copies_once=once).collect()} == want
