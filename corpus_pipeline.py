@@ -21,13 +21,15 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labels outside the held-out fold, predicts good."""
+    """Documents that the classifier, learnt from the labels outside the held-out fold, predicts good. A null text is judged as an
+    empty one; repeated rows are judged alike; other columns pass; empty tables give empty results."""
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on more than a tenth of their source's pages."""
-    return line_dedup(docs).select(*docs.columns)
+    """All documents, without the lines that stand on more than a tenth of their source's pages. Equal pages count once here, as copies
+    are the next stage's concern. Null texts stay null; repeated rows and other columns pass; empty tables give empty results."""
+    return line_dedup(docs, copies_once=True).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +41,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them: whole ones, so a source misses its target by the documents of one
+    boundary cell (2**-24 of its hashes) at most. Rows without words are not taken; a null source is a source of its own;
+    repeated rows are documents of their own; other columns pass; empty tables give empty results."""
     return mixture(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of every row."""
+    """doc_id, n_tokens, ids of every row. A null or empty text has no ids; repeated rows are encoded one by one; empty tables give
+    empty results."""
     out = encode(docs, load_ranks(public_tokenizers.path(TOKENIZER)), public_tokenizers.PATTERN)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
