@@ -21,7 +21,7 @@ def db():
 
 def rows(frame: pd.DataFrame) -> list:
     number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
-    show = lambda v: None if v is None or v is pd.NaT or isinstance(v, float) and v != v else repr(round(float(v), 6)) if number(v) else str(v)
+    show = lambda v: None if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v else repr(round(float(v), 6)) if number(v) else str(v)
     return sorted((tuple(show(v) for v in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False)), key=str)
 
 
