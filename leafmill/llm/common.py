@@ -15,7 +15,19 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 _LOCAL: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, unless the session has its own bound: a batch of 10,000 long texts or
+#: token sets would take hundreds of megabytes in the executor and in the worker.
+ARROW_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +48,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and returns it reread: cuts lineage, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafmill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    bounded_batches(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
@@ -67,7 +80,7 @@ def words_of(text: Column) -> Column:
 
 def map_columns(df: DataFrame, f, schema: str) -> DataFrame:
     """df through f, batch by batch on the executors: f gets the batch's columns as lists and returns the new columns as lists in
-    schema's order. Batches are cut so that their texts stay near 16 MB, whatever the length of one text."""
+    schema's order. Batches are cut so that their texts stay near 4 MB, whatever the length of one text."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     kind = _parse_datatype_string(schema)
@@ -79,7 +92,7 @@ def map_columns(df: DataFrame, f, schema: str) -> DataFrame:
 
         out = to_arrow_schema(kind)
         for batch in batches:
-            step = max(1, batch.num_rows * (16 << 20) // max(1, batch.nbytes))
+            step = max(1, batch.num_rows * (4 << 20) // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 columns = f(*(c.to_pylist() for c in part.columns))

@@ -136,7 +136,7 @@ def combination_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
-    """Rows that make(ids of words) -> f(batch columns) yields as lists or numpy arrays; batches are of about 8 MB."""
+    """Rows that make(ids of words) -> f(batch columns) yields as lists or numpy arrays; batches are of about 4 MB."""
     from pyspark.sql.types import _parse_datatype_string
 
     kind = _parse_datatype_string(schema)
@@ -145,9 +145,9 @@ def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        out, f = to_arrow_schema(kind), make(WordIds(1 << 18))
+        out, f = to_arrow_schema(kind), make(WordIds(1 << 17))
         for batch in batches:
-            step = max(1, batch.num_rows * (8 << 20) // max(1, batch.nbytes))
+            step = max(1, batch.num_rows * (4 << 20) // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 columns = f(*(c.to_pylist() for c in batch.slice(at, step).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, out.types, strict=True)], schema=out)

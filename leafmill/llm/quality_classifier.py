@@ -139,7 +139,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, f
         import pyarrow as pa
 
         for batch in batches:
-            step = max(1, batch.num_rows * (16 << 20) // max(1, batch.nbytes))
+            step = max(1, batch.num_rows * (4 << 20) // max(1, batch.nbytes))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 x = np.array([document_statistics(t.as_py()) for t in part.column(at)], dtype=float).reshape(part.num_rows, len(FEATURES))
