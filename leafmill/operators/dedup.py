@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.staging import spread, staged
 
 BUCKETS, PERMUTATIONS, BANDS = 512, 128, 20
 PRIME = (1 << 31) - 1
@@ -31,6 +32,14 @@ def shingle_table(toks: DataFrame, size: int) -> DataFrame:
     return rows.select("id", F.array_join("g", "_").alias("item")).distinct()
 
 
+def document_shingles(docs: DataFrame, size: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, item: as shingle_table over tokens, but made within the row, without a shuffle; ids must be unique. The token list is
+    bound to a lambda's variable, so that it is made once for each row."""
+    words = T.words(F.lower(F.coalesce(text, F.lit(""))))
+    grams = F.get(F.transform(F.array(words), lambda w: T.shingles(w, size)), F.lit(0))
+    return spread(docs.select(id, text)).select(F.col(id).alias("id"), F.explode(grams).alias("item"))
+
+
 def overlap_pairs(items: DataFrame, least: int = 1) -> DataFrame:
     """a < b, common: pairs of ids that share `least` items or more, by an equi-join on the item. Items of one id only are dropped first."""
     shared = items.withColumn("_n", F.count("*").over(Window.partitionBy("item"))).where("_n > 1").drop("_n")
@@ -42,7 +51,9 @@ def jaccard_pairs(items: DataFrame, threshold: float) -> DataFrame:
     """a < b, common, na, nb, score: pairs of sets with a Jaccard similarity of threshold or more, exactly.
 
     Items are ordered by how many sets hold them, rarest first; similar sets share an item among the first
-    n - ceil(threshold * n) + 1, so only these are joined, and candidates are then counted over whole sets."""
+    n - ceil(threshold * n) + 1, so only these are joined, and candidates are then counted over whole sets. The items are
+    written first, as they are read five times."""
+    items = staged(items, "items")
     df = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     sizes = items.groupBy("id").agg(F.count("*").alias("n"))
     ranked = items.join(sizes, "id").join(df, "item", "left")

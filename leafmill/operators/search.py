@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators.dedup import idf
+from leafmill.staging import small, spread
 
 SLOP_EVERY, SLOP_MOST = 6, 5
+#: Tokens of the runs by which exact phrases are looked up; phrases' rows are broadcast up to so many, and else joined by a shuffle.
+GRAM, TERMS = 3, 500_000
 FULL, SPLIT = 1.1, 0.2
 # Weights of the fields of records and of their segments, as parts of a best-field phrase match.
 TOP_FIELDS = {"pref_label_bo": 1.0, "pref_label_bo.tibetan-phonetic": 0.90, "alt_label_bo": 0.95, "alt_label_bo.tibetan-phonetic": 0.85}
@@ -34,6 +37,7 @@ ANALYZERS = {
 def postings(docs: DataFrame, id: str, fields: list[str], analyzer: str = "words") -> DataFrame:
     """id, field, pos, token of the fields of docs; array fields have one run of positions for each element, far apart."""
     gap, out = 1000, None
+    docs = spread(docs.select(id, *fields))
     for field in fields:
         values = F.col(field) if docs.schema[field].dataType.typeName() == "array" else F.array(field)
         each = docs.select(F.col(id).alias("id"), F.posexplode(values).alias("_k", "_v")).where(F.col("_v").isNotNull())
@@ -49,10 +53,12 @@ def postings(docs: DataFrame, id: str, fields: list[str], analyzer: str = "words
     return out
 
 
-def weights(posts: DataFrame) -> DataFrame:
-    """field, token, weight: idf of the tokens of each field among the documents that have the field."""
+def weights(posts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """field, token, weight: idf of the tokens of each field among the documents that have the field; of the tokens in terms only,
+    if given."""
     total = posts.groupBy("field").agg(F.count_distinct("id").alias("_t"))
-    held = posts.groupBy("field", "token").agg(F.count_distinct("id").alias("_n"))
+    asked = posts if terms is None else posts.join(small(terms.select("token").distinct(), TERMS), "token", "left_semi")
+    held = asked.groupBy("field", "token").agg(F.count_distinct("id").alias("_n"))
     return held.join(F.broadcast(total), "field").select("field", "token", idf(F.col("_n"), F.col("_t")).alias("weight"))
 
 
@@ -65,23 +71,36 @@ def phrase_table(phrases: DataFrame, text: str = "phrase", analyzer: str = "word
 
 def phrase_hits(posts: DataFrame, phrases: DataFrame, by: list[str]) -> DataFrame:
     """by, id, field, once for each phrase (rows of one value of by) found in a field: all tokens at one offset or, with slop, within
-    slop positions of it. phrases: by, slop, n, qpos, token."""
-    near = posts.join(phrases, "token").select(*by, "id", "field", "n", "slop", "qpos", (F.col("pos") - F.col("qpos")).alias("offset"))
-    exact = near.where("slop = 0").groupBy(*by, "id", "field", "offset", "n").agg(F.count_distinct("qpos").alias("found")).where("found = n").select(*by, "id", "field")
-    order = Window.partitionBy(*by, "id", "field").orderBy("offset")
-    loose = None
-    for slop in range(1, SLOP_MOST + 1):
-        found = F.size(F.collect_set("qpos").over(order.rangeBetween(0, slop)))
-        rows = near.where(F.col("slop") == slop).withColumn("_f", found).where("_f = n").select(*by, "id", "field")
-        loose = rows if loose is None else loose.unionByName(rows)
-    return exact.unionByName(loose).distinct()
+    slop positions of it. phrases: by, slop, n, qpos, token.
+
+    Exact phrases of GRAM tokens and more are looked up by their runs of GRAM tokens, of which all must be found at one offset:
+    a common token alone then joins with nothing. Postings of tokens that no phrase has leave first."""
+    keep = [*by, "id", "field"]
+    whole = (F.col("slop") == 0) & (F.col("n") >= GRAM)
+    order = Window.partitionBy(*by).orderBy("qpos")
+    ahead = [F.lead("token", k).over(order).alias(f"t{k}") for k in range(1, GRAM)]
+    runs = phrases.where(whole).select(*by, "n", "qpos", "token", *ahead).where(F.col(f"t{GRAM - 1}").isNotNull())
+    place = Window.partitionBy("id", "field").orderBy("pos")
+    near_by = [F.when(F.lead("pos", k).over(place) == F.col("pos") + k, F.lead("token", k).over(place)).alias(f"t{k}") for k in range(1, GRAM)]
+    known = posts.join(small(phrases.where(whole).select("token").distinct(), TERMS), "token", "left_semi")
+    grams = known.select("id", "field", "pos", "token", *near_by).where(F.col(f"t{GRAM - 1}").isNotNull())
+    found = grams.join(small(runs, TERMS), ["token", *(f"t{k}" for k in range(1, GRAM))])
+    long = found.groupBy(*keep, (F.col("pos") - F.col("qpos")).alias("offset"), "n").agg(F.count_distinct("qpos").alias("found"))
+    long = long.where(F.col("found") == F.col("n") - (GRAM - 1)).select(*keep)
+
+    other = phrases.where(~whole)
+    near = posts.join(small(other, TERMS), "token").select(*keep, "n", "slop", "qpos", (F.col("pos") - F.col("qpos")).alias("offset"))
+    # a hit counts for all windows of slop positions that hold it; some window that holds all tokens starts at a hit
+    window = F.explode(F.sequence(F.col("offset") - F.col("slop"), F.col("offset")))
+    loose = near.withColumn("offset", window).groupBy(*keep, "offset", "n").agg(F.count_distinct("qpos").alias("found")).where("found = n").select(*keep)
+    return long.unionByName(loose).distinct()
 
 
 def scored_hits(posts: DataFrame, phrases: DataFrame, by: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
     """by, id, score: the best field's sum of the weights of a phrase's tokens, times the field's boost."""
     hits = phrase_hits(posts, phrases, by)
     terms = phrases.select(*by, "token")
-    worth = terms.join(weights(posts), "token").groupBy(*by, "field").agg(F.sum("weight").alias("_w"))
+    worth = terms.join(weights(posts, terms), "token").groupBy(*by, "field").agg(F.sum("weight").alias("_w"))
     boost = F.lit(1.0)
     for field, value in (boosts or {}).items():
         boost = F.when(F.col("field") == field, value).otherwise(boost)

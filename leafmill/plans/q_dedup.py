@@ -33,7 +33,7 @@ def docs(spark, d) -> DataFrame:
 
 
 def shingled(spark, d, size: int = 3) -> DataFrame:
-    return D.shingle_table(D.tokens(docs(spark, d)), size)
+    return D.document_shingles(docs(spark, d), size)
 
 
 @query("d00_near_dup_pairs", f"WITH {sql_shingles(3)}, {SQL_PAIRS} SELECT a, b, common, round(score, 6) AS score FROM sc WHERE score >= 0.5")
