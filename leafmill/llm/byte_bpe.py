@@ -29,9 +29,9 @@ DICTIONARY = 1 << 18
 #: Counts of pieces are told apart up to this one when the dictionary's least count is looked for.
 MOST_COUNT = 10_000
 #: A worker hands its counts on when it holds so many distinct pieces.
-COUNTED = 200_000
+COUNTED = 100_000
 #: A worker remembers so many space-separated words, then starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: The fold takes time with the square of a piece's bytes; longer pieces are merged with a heap.
 LONG = 256
 #: Slots of the literal rank map: a list of small maps, as Spark looks through a map entry by entry.

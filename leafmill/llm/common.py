@@ -97,5 +97,6 @@ def map_columns(df: DataFrame, f, schema: str) -> DataFrame:
                 part = batch.slice(at, step)
                 columns = f(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, out.types, strict=True)], schema=out)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, kind)

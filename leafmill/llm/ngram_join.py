@@ -38,7 +38,7 @@ PAIR_LIST = 4
 #: Sets of this size have a run (see run_size); smaller ones, and those that they can be similar to, take K-subsets.
 RUN_SIZE = 24
 #: Rounds in which nodes meet a leader, and then nodes of one home; nodes in a block of a long list, and tokens in a home's.
-LEADER_ROUNDS, HOME_ROUNDS, BLOCK, BLOCK_TOKENS = 2, 2, 4096, 2 << 20
+LEADER_ROUNDS, HOME_ROUNDS, BLOCK, BLOCK_TOKENS = 1, 2, 4096, 2 << 20
 #: Nodes whose sets are fetched are broadcast up to this many, and else joined by a shuffle.
 BROADCAST_NODES = 500_000
 
@@ -145,12 +145,13 @@ def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        out, f = to_arrow_schema(kind), make(WordIds(1 << 17))
+        out, f = to_arrow_schema(kind), make(WordIds(1 << 16))
         for batch in batches:
             step = max(1, batch.num_rows * (4 << 20) // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 columns = f(*(c.to_pylist() for c in batch.slice(at, step).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, out.types, strict=True)], schema=out)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, kind)
 
