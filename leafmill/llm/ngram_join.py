@@ -39,6 +39,8 @@ PAIR_LIST = 4
 RUN_SIZE = 24
 #: Rounds in which nodes meet a leader, and then nodes of one home; nodes in a block of a long list, and tokens in a home's.
 LEADER_ROUNDS, HOME_ROUNDS, BLOCK, BLOCK_TOKENS = 1, 2, 4096, 2 << 20
+#: Cells a token of the bitmaps by which nodes of one list are compared: few pairs but links pass them.
+WIDE = 2
 #: Nodes whose sets are fetched are broadcast up to this many, and else joined by a shuffle.
 BROADCAST_NODES = 500_000
 
@@ -279,6 +281,24 @@ class Sets:
 
         return _batches(self._texts(wanted), make, "node long, tokens array<long>").dropDuplicates(["node"])
 
+    def bitmaps(self, wanted: DataFrame, scale: float) -> DataFrame:
+        """node, size, bits of the wanted (node, doc_id): bitmaps of scale cells a token."""
+        n, clashes = self.n, self.clashes
+
+        def make(ids):
+            seen: set[int] = set()
+
+            def f(owners, texts):
+                found = [(o, token_set(t, n, ids)) for o, t in zip(owners, texts) if o not in seen]
+                found = [(o, s) for o, s in found if len(s) and node_of(s, clashes)[0] == o]
+                seen.update(o for o, _ in found)
+                return [o for o, _ in found], [len(s) for _, s in found], [bitmap(s, scale) for _, s in found]
+
+            return f
+
+        rows = _batches(self._texts(wanted), make, "node long, size long, bits binary")
+        return rows.groupBy("node").agg(F.min("size").alias("size"), F.min("bits").alias("bits"))
+
     def near(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b, ...) whose sizes and bitmaps allow a link, with both sizes (na, nb) and doc_ids (da, db)."""
         num, den = self.num, self.den
@@ -574,8 +594,12 @@ def _dealt(lists: DataFrame, blocks) -> DataFrame:
 def _compared(lists: DataFrame, sets: Sets) -> DataFrame:
     """a < b: verified links between the nodes of one list (tok, node, comp, length, homes) that are of different components and
     have no common home."""
-    rows = _dealt(lists.join(sets.info.select("node", "size", "bits"), "node"), F.ceil(F.col("length") / BLOCK))
-    return sets.linked(sets.near(close_pairs(rows, sets.num, sets.den).distinct()))
+    wanted = staged(lists.select("node").distinct().join(sets.info.select("node", "doc_id"), "node"), "compared")
+    bits = staged(sets.bitmaps(wanted, WIDE), "bitmaps")
+    rows = _dealt(lists.join(bits, "node"), F.ceil(F.col("length") / BLOCK))
+    links = sets.linked(sets.near(close_pairs(rows, sets.num, sets.den).distinct()))
+    dropped(wanted, bits)
+    return links
 
 
 def _at_home(lists: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame]:
