@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmill import schemas
 from leafmill.operators import catalog as C
+from leafmill.operators import matching as X
 from leafmill.operators import search as S
 from leafmill.sources.writers import append_audit
 
@@ -118,6 +119,44 @@ class Catalog:
         posts = S.postings(rows, "id", ["pref_label_bo", "alt_label_bo"])
         return S.search(self.spark, {"top": posts}, clauses, S.TOP_FIELDS, size).join(rows, "id")
 
+    def find_work(self, text: str | None = None, volume_id: str | None = None, cstart: int | None = None, cend: int | None = None, size: int = 20) -> DataFrame:
+        """Works that a text, or a span of a volume, is of: rank, wa_id, score, volumes, title, author_names. A span's own volume is left
+        out. One of both is asked for: a text that is not blank, or a volume with its span."""
+        span = (volume_id, cstart, cend)
+        if (text is None) == any(v is None for v in span) or (text is not None and any(v is not None for v in span)):
+            raise ValueError("give a text, or volume_id, cstart and cend")
+        if text is not None and not text.strip():
+            raise ValueError("the text is blank")
+        volumes = self.table("volumes")
+        if text is None:
+            if cstart < 0 or cend <= cstart:
+                raise ValueError(f"no span: {cstart} to {cend}")
+            refs = self.spark.createDataFrame([("q", *span)], "query string, volume_id string, cstart int, cend int")
+            fault = X.reference_texts(refs, volumes).first()["fault"]
+            if fault:
+                raise C.NotFoundError(f"volumes: {volume_id}: {fault}")
+            found = X.find_by_reference(refs, volumes, size)
+        else:
+            asked = self.spark.createDataFrame([("q", text)], "query string, text string")
+            chunks, titles = X.volume_postings(volumes)
+            found = X.candidates(X.volume_scores(asked, "query", "text", chunks, titles), X.works_of(volumes), size)
+        return X.resolved(found, self.table("works"), self.table("persons")).drop("query").orderBy("rank")
+
+    def sync(self, name: str, parsed: DataFrame) -> DataFrame:
+        """Brings released records (id, released, replacement, pref_label_bo) into a table and returns id, outcome: new and changed ones are
+        upserted, and curated ones keep their labels; unreleased ones become duplicates or withdrawn, unknown ones are skipped."""
+        rows = self.table(name)
+        told = C.release_outcomes(parsed, rows).select("id", "outcome")
+        new = parsed.join(told.where("outcome = 'upsert'").select("id"), "id").select("id", F.col("pref_label_bo").alias("_label"))
+        ended = told.where("outcome IN ('duplicate', 'withdraw')").join(parsed.select("id", "replacement"), "id")
+        kept = rows.join(new, "id", "full").join(ended.select("id", F.col("outcome").alias("_end"), "replacement"), "id", "left")
+        curated = F.coalesce(F.col("curation")["modified"], F.lit(False))
+        label = F.when(F.col("_label").isNotNull() & ~curated, F.col("_label")).otherwise(F.col("pref_label_bo"))
+        status = F.when(F.col("_end") == "withdraw", "withdrawn").when(F.col("_end") == "duplicate", "duplicate").otherwise(F.coalesce("record_status", F.lit("active")))
+        target = F.when(F.col("_end") == "duplicate", F.col("replacement")).otherwise(F.col("canonical_id"))
+        self.save(name, kept.withColumns({"pref_label_bo": label, "record_status": status, "canonical_id": target, "origin": F.coalesce("origin", F.lit("imported"))}))
+        return told
+
     def volume(self, rep: str, vol: str) -> dict:
         found = C.best_versions(self.table("volumes").where((F.col("rep_id") == rep) & (F.col("vol_id") == vol))).collect()
         if not found:

@@ -20,9 +20,10 @@ def sample_phrases(texts: DataFrame, id: str, text: str) -> DataFrame:
     return s.select("query", F.inline(rows)).where(F.col("phrase").isNotNull()).withColumn("slop", F.lit(0))
 
 
-def volume_scores(texts: DataFrame, id: str, text: str, chunks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+def volume_scores(texts: DataFrame, id: str, text: str, chunks: DataFrame, titles: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
     """query, volume_id, score: for each sample the best of a volume's chunks, boosted, and its beginning in the titles, added up.
-    chunks: postings whose id is struct<volume_id, n>; a sample must be within one chunk. titles: postings by volume_id."""
+    chunks: postings whose id is struct<volume_id, n>; a sample must be within one chunk. titles: postings by volume_id. own: the
+    volumes (query, volume_id) that a query leaves out; they count for the weights of tokens all the same."""
     phrases = S.phrase_table(sample_phrases(texts, id, text))
     hits = S.scored_hits(chunks, phrases, ["query", "sample"])
     boost = F.lit(1.0)
@@ -32,9 +33,75 @@ def volume_scores(texts: DataFrame, id: str, text: str, chunks: DataFrame, title
     if titles is not None:
         named = S.scored_hits(titles, phrases.where("sample = 'beginning'"), ["query", "sample"]).select("query", "sample", F.col("id").alias("volume_id"), (F.col("score") * TITLE).alias("score"))
         parts = parts.unionByName(named)
+    if own is not None:
+        parts = parts.join(own.select("query", "volume_id").distinct(), ["query", "volume_id"], "left_anti")
     return parts.groupBy("query", "volume_id").agg(F.sum("score").alias("score"))
 
 
+def volume_postings(volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of volumes' (VOLUMES) chunks, by struct<volume_id, n>, and of the titles of their segments, by volume."""
+    chunks = volumes.select("id", F.posexplode("chunks").alias("n", "_c")).select(F.struct(F.col("id").alias("volume_id"), "n").alias("place"), F.col("_c")["text_bo"].alias("text"))
+    titles = volumes.select("id", F.flatten(F.transform("segments", lambda s: F.coalesce(s["title_bo"], F.array().cast("array<string>")))).alias("title"))
+    return S.postings(chunks, "place", ["text"]), S.postings(titles, "id", ["title"])
+
+
+def segment_texts(volumes: DataFrame) -> DataFrame:
+    """query, volume_id, segment_idx, wa_id, mw_id, title, cstart, cend, text of volumes' segments, each with its own work or else its
+    volume's. A volume without segments is one, from its first chunk to its last. Empty spans and blank texts go."""
+    from leafmill.operators.ingest import span_text
+
+    whole = F.struct(F.lit(0).alias("idx"), F.col("wa_id").alias("wa_id"), F.col("mw_id").alias("mw_id"), F.lit(None).cast("string").alias("title"), F.lit(0).alias("cstart"), F.array_max(F.transform("chunks", lambda c: c["cend"])).alias("cend"))
+    one = lambda s, k: F.struct(k.alias("idx"), F.coalesce(F.nullif(s["wa_id"], F.lit("")), F.col("wa_id")).alias("wa_id"), s["mw_id"].alias("mw_id"), F.get(s["title_bo"], F.lit(0)).alias("title"), F.coalesce(s["cstart"], F.lit(0)).alias("cstart"), F.coalesce(s["cend"], F.lit(0)).alias("cend"))
+    parts = F.when(F.coalesce(F.size("segments"), F.lit(0)) > 0, F.transform("segments", one)).otherwise(F.array(whole))
+    rows = volumes.select(F.col("id").alias("volume_id"), "chunks", F.explode(parts).alias("_s")).where("_s.cend > _s.cstart")
+    out = rows.select(F.concat_ws("#", "volume_id", F.col("_s")["idx"].cast("string")).alias("query"), "volume_id", F.col("_s")["idx"].alias("segment_idx"), *(F.col("_s")[c].alias(c) for c in ("wa_id", "mw_id", "title", "cstart", "cend")), span_text(F.col("chunks"), F.col("_s")["cstart"], F.col("_s")["cend"]).alias("text"))
+    return out.where(F.length(T.stripped(F.col("text"))) > 0)
+
+
+def reference_texts(refs: DataFrame, volumes: DataFrame) -> DataFrame:
+    """query, volume_id, text, fault of references (query, volume_id, cstart, cend): the span's text, or why there is none: the volume is
+    unknown, it has no chunks, or the span has no text."""
+    from leafmill.operators.ingest import span_text
+
+    held = refs.join(volumes.select(F.col("id").alias("volume_id"), "chunks", F.lit(True).alias("_known")), "volume_id", "left")
+    text = span_text(F.col("chunks"), F.col("cstart"), F.col("cend"))
+    rows = held.select("query", "volume_id", F.coalesce(text, F.lit("")).alias("text"), "_known", F.coalesce(F.size("chunks"), F.lit(0)).alias("_n"))
+    fault = F.when(F.col("_known").isNull(), "no volume").when(F.col("_n") < 1, "no chunks").when(F.length(T.stripped(F.col("text"))) == 0, "no text")
+    return rows.select("query", "volume_id", "text", fault.alias("fault"))
+
+
+def find_by_reference(refs: DataFrame, volumes: DataFrame, k: int = 20) -> DataFrame:
+    """As candidates, for spans of volumes (query, volume_id, cstart, cend) without the span's own volume. References at fault find
+    nothing; reference_texts names their faults."""
+    asked = reference_texts(refs, volumes).where(F.col("fault").isNull())
+    chunks, titles = volume_postings(volumes)
+    scores = volume_scores(asked, "query", "text", chunks, titles, own=asked).withColumn("score", F.round("score", 9))
+    return candidates(scores, works_of(volumes), k)
+
+
+def works_of(volumes: DataFrame) -> DataFrame:
+    """volume_id, wa_id, title: the works of volumes' segments, and those of volumes themselves."""
+    inner = volumes.select(F.col("id").alias("volume_id"), F.explode("segments").alias("_s")).select("volume_id", F.col("_s")["wa_id"].alias("wa_id"), F.get(F.col("_s")["title_bo"], F.lit(0)).alias("title"))
+    own = volumes.select(F.col("id").alias("volume_id"), "wa_id", F.lit(None).cast("string").alias("title"))
+    return inner.unionByName(own).where("coalesce(wa_id, '') <> ''")
+
+
+def segment_duplicates(volumes: DataFrame, least: float = LEAST_SCORE, k: int = 10) -> DataFrame:
+    """volume_id, segment_idx, source_wa, mw_id, title, match_volume, match_wa, score, classification: for each segment the k best other
+    volumes of a score of `least` or more, once for each of their works, or with a null work for a volume without any."""
+    from leafmill.operators.dedup import top_k
+
+    segments = segment_texts(volumes)
+    chunks, titles = volume_postings(volumes)
+    scores = volume_scores(segments, "query", "text", chunks, titles, own=segments).withColumn("score", F.round("score", 9))
+    best = top_k(scores, "query", F.col("score"), "volume_id", k).where(F.col("score") >= least)
+    matched = best.select("query", F.col("volume_id").alias("match_volume"), F.round("score", 3).alias("score"))
+    works = works_of(volumes).select(F.col("volume_id").alias("match_volume"), F.col("wa_id").alias("match_wa")).distinct()
+    source = segments.select("query", "volume_id", "segment_idx", F.col("wa_id").alias("source_wa"), "mw_id", "title")
+    rows = matched.join(works, "match_volume", "left").join(source, "query")
+    return classified(rows, 0.0).select("volume_id", "segment_idx", "source_wa", "mw_id", "title", "match_volume", "match_wa", "score", "classification")
+
+
 def candidates(scores: DataFrame, segments: DataFrame, k: int = 20) -> DataFrame:
     """query, rank, wa_id, score, volumes, title: matched volumes by the works of their segments (volume_id, wa_id, title): the best score,
     the volumes in order, the first title by volume; the k best works of each query."""
