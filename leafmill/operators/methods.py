@@ -89,8 +89,20 @@ class SignatureSets(Method):
 
 class _Buckets(Method):
     queries = True
+    stored: DataFrame | None = None
+
+    def preload(self, items: DataFrame) -> None:
+        """Takes fingerprints (id, item) that are kept in a table; those of documents it does not hold are still made."""
+        self.stored = items.select("id", "item").distinct()
 
     def fingerprints(self, docs):
+        if self.stored is None:
+            return self._made(docs)
+        ids = docs.select(F.col("doc_id").alias("id")).distinct()
+        missing = docs.join(self.stored.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")
+        return self.stored.join(ids, "id", "left_semi").unionByName(self._made(missing))
+
+    def _made(self, docs):
         return D.bucket_minhash(_shingles(docs, self.options["shingle"])).select("id", F.concat_ws(":", "bucket", "hash").alias("item"))
 
     def ranking(self, docs, scope=None, k=20):
@@ -175,3 +187,16 @@ def closed_evaluation(found: Method, docs: DataFrame, field: str, ks: list[int])
     out = {"docs": docs.count(), "groups": members.select("group").distinct().count(), "pr_auc": M.pr_auc(sweep).first()[0], "recall_at": recall}
     sweep.unpersist()
     return out | ({k: best[0][k] for k in ("f1", "precision", "recall", "threshold")} if best else {"f1": 0.0, "precision": 0.0, "recall": 0.0, "threshold": None})
+
+
+def open_evaluation(found: Method, docs: DataFrame, corpus: DataFrame, field: str, ks: list[int]) -> dict:
+    """open_recall_at of a method that can rank: documents of the closed set docs are looked up among all of corpus, so other texts
+    take up ranks. corpus: as docs, which it holds."""
+    from leafmill.operators import metrics as M
+
+    if not found.queries:
+        raise ValueError("the method ranks no candidates")
+    ids = docs.select(F.col("doc_id").alias("id"))
+    positives = M.positive_pairs(M.groups(docs, "doc_id", field))
+    ranking = found.ranking(corpus, None, max(ks)).join(ids.select(F.col("id").alias("src")), "src", "left_semi")
+    return {"corpus": corpus.count(), "open_recall_at": {r["k"]: r["recall"] for r in M.recall_at_k(ranking, positives, ids, ks).collect()}}

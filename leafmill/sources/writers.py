@@ -6,7 +6,7 @@ import hashlib
 import json
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
@@ -74,13 +74,32 @@ def result_name(method: str, field: str, values: dict) -> str:
     return f"{method}_{field}_{options_hash(values)}.json"
 
 
+def save_result(spark: SparkSession, folder: str, method: str, field: str, values: dict, result: dict) -> str:
+    """Writes the figures of one evaluation under a name that its options give, in place of those before; returns the path."""
+    path = f"{folder.rstrip('/')}/{result_name(method, field, values)}"
+    text = json.dumps({"method": method, "field": field, "options": values} | result, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+def saved_results(spark: SparkSession, folder: str) -> list[dict]:
+    """The saved figures of all evaluations in a folder; ranks are numbers again."""
+    out = []
+    for row in spark.read.text(f"{folder.rstrip('/')}/*.json").collect():
+        found = json.loads(row["value"])
+        ranks = {k: {int(n): v for n, v in found[k].items()} for k in ("recall_at", "open_recall_at") if k in found}
+        out.append(found | ranks)
+    return out
+
+
 def report(results: list[dict]) -> str:
     """A Markdown table of results, by most documents, then best F1, then method; what was not measured shows as "-"."""
-    columns = ("method", "docs", "groups", "f1", "precision", "recall", "pr_auc", "threshold")
+    columns = ("method", "docs", "groups", "f1", "precision", "recall", "pr_auc", "threshold", "R@20", "open R@50")
+    ranks = lambda r: {"R@20": r.get("recall_at", {}).get(20), "open R@50": r.get("open_recall_at", {}).get(50)}
     show = lambda v: "-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     rows = sorted(results, key=lambda r: (-r.get("docs", 0), -(r.get("f1") or 0.0), r.get("method", "")))
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return "\n".join(lines + ["| " + " | ".join(show(r.get(c)) for c in columns) + " |" for r in rows]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join(show((r | ranks(r)).get(c)) for c in columns) + " |" for r in rows]) + "\n"
 
 
 def tokenised(docs: DataFrame, text: str, path: str) -> None:

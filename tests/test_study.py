@@ -6,7 +6,9 @@ from leafmill.api import Catalog
 from leafmill.operators import catalog as C
 from leafmill.operators import joins as J
 from leafmill.operators import matching as X
+from leafmill.operators import methods as K
 from leafmill.operators import study as Y
+from leafmill.sources import writers as W
 
 WORDS = "ka kha ga nga ca cha ja nya ta tha da na pa pha ba ma".split()
 
@@ -115,3 +117,32 @@ def test_service_finds_works_and_syncs(spark, volumes, tmp_path):
     assert catalog.get("works", "WA2")["record_status"] == "duplicate" and catalog.get("works", "WA2")["canonical_id"] == "WA1"
     catalog.sync("works", spark.createDataFrame([("WA1", False, None, "one")], "id string, released boolean, replacement string, pref_label_bo string"))
     assert catalog.get("works", "WA1")["record_status"] == "withdrawn"
+
+
+def test_stored_fingerprints_stand_for_documents(spark):
+    docs = spark.createDataFrame([("a", "x y z"), ("b", "x y z"), ("c", "q r s")], "doc_id string, text string")
+    found = K.create("minhash_sidecar")
+    made = found.fingerprints(docs)
+    found.preload(spark.createDataFrame([("a", "1:own"), ("a", "1:own"), ("z", "1:own")], "id string, item string"))
+    both = sorted(map(tuple, found.fingerprints(docs).collect()))
+    assert both == sorted([("a", "1:own"), *map(tuple, made.where("id <> 'a'").collect())])
+
+
+def test_open_evaluation(spark):
+    text = " ".join(WORDS)
+    corpus = spark.createDataFrame([("a", text, "g"), ("b", text, "g"), ("x", text, None), ("y", "other words than these", None)], "doc_id string, text string, g string")
+    docs = corpus.where("g IS NOT NULL")
+    found = K.open_evaluation(K.create("minhash_query", msm_pct=0.005), docs, corpus, "g", [1, 2])
+    assert found == {"corpus": 4, "open_recall_at": {1: 1.0, 2: 1.0}}
+    with pytest.raises(ValueError):
+        K.open_evaluation(K.create("minhash_bands"), docs, corpus, "g", [1])
+
+
+def test_results_are_saved_and_reported_again(spark, tmp_path):
+    figures = {"docs": 2, "groups": 1, "f1": 0.5, "recall_at": {20: 0.25}, "open_recall_at": {50: 0.125}}
+    for _ in range(2):
+        path = W.save_result(spark, str(tmp_path), "minhash_bands", "d_id", {"bands": 20}, figures)
+    assert path.endswith(W.result_name("minhash_bands", "d_id", {"bands": 20}))
+    (found,) = W.saved_results(spark, str(tmp_path))
+    assert found == figures | {"method": "minhash_bands", "field": "d_id", "options": {"bands": 20}}
+    assert "| minhash_bands | 2 | 1 | 0.500 | - | - | - | - | 0.250 | 0.125 |" in W.report([found])
