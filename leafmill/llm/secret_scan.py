@@ -17,7 +17,7 @@ from math import log10
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import map_columns
+from leafmill.llm.common import dropped, map_columns, staged
 
 #: The kinds of spans, in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -39,7 +39,7 @@ GUESS_WORDS = "password qwerty admin welcome login letmein dragon monkey footbal
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "0": "o", "1": "l", "!": "i", "$": "s", "5": "s", "7": "t"})
 
-#: The dictionary's words have so many letters; so many of the commonest words of the corpus are in it.
+#: The dictionary's words have so many letters; so many of the commonest words of the corpus are in it at most.
 SHORTEST, LONGEST, CORPUS_WORDS = 3, 20, 50_000
 #: A word of the corpus: a run of small letters, no shorter than four, that is no part of a longer run of letters, digits or "_".
 CORPUS_WORD = rf"(?<![\p{{L}}\p{{N}}_])[a-z]{{4,{LONGEST}}}(?![\p{{L}}\p{{N}}_])"
@@ -115,14 +115,22 @@ def scan(text: str, min_cost: float, ranks: dict[str, int] = RANK) -> list[tuple
 
 
 def corpus_ranks(docs: DataFrame, most: int = CORPUS_WORDS) -> dict[str, int]:
-    """The ranks of GUESS_WORDS and, after them, of the `most` commonest words of all texts; ties by code point. Words inside values of
-    credential contexts do not count. The driver gets no more than `most` words of LONGEST letters."""
+    """The ranks of GUESS_WORDS and, after them, of the commonest words of all texts, ties by code point. Words inside values of
+    credential contexts do not count. Counts fall into sixteenths of octaves, and the words of the highest ones are taken, as long as
+    they number `most` at most: the driver gets no more than these, whatever the vocabulary, and no task sorts it."""
     text = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), CONTEXT_SQL, " "))
     words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(CORPUS_WORD), F.lit(0))).alias("word"))
-    common = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    counts = staged(words.groupBy("word").agg(F.count("*").alias("n")).withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "words")
+    taken, last = 0, None
+    for step, n in sorted(counts.groupBy("step").count().collect(), reverse=True):  # 1,024 rows at most
+        if taken + n > most:
+            break
+        taken, last = taken + n, step
     ranks = dict(RANK)
-    for r in common.select("word").collect():
-        ranks.setdefault(r[0], len(ranks) + 1)
+    if last is not None:
+        for word, _ in sorted(counts.where(F.col("step") >= last).select("word", "n").collect(), key=lambda r: (-r[1], r[0])):
+            ranks.setdefault(word, len(ranks) + 1)
+    dropped(counts)
     return ranks
 
 

@@ -91,7 +91,9 @@ def test_words_of_the_corpus(spark, make):
     docs = make([(1, "the elephant saw butterfly butterfly garden elephant"), (2, "garden elephant passphrase: vqxjzkwpbm and vqxjzkwpbmx"), (3, None), (4, "pwd = elephantgarden!")])
     ranks = corpus_ranks(docs)
     assert ranks["elephant"] < ranks["butterfly"] < ranks["garden"] and "vqxjzkwpbm" not in ranks and "vqxjzkwpbmx" in ranks and "elephantgarden" not in ranks
-    assert max(corpus_ranks(docs, 1).values()) == max(corpus_ranks(docs, 0).values()) + 1
+    none = corpus_ranks(docs, 0)
+    assert corpus_ranks(docs, 1) == none | {"elephant": len(none) + 1} == corpus_ranks(docs, 2)  # the next two are equally common
+    assert set(corpus_ranks(docs, 3)) - set(none) == {"elephant", "butterfly", "garden"}
     found = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in secret_scan(docs).collect()}
     assert found == {1: [], 2: [("guess", 28)], 3: [], 4: []}
 
