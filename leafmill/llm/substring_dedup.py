@@ -13,10 +13,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import staged
+from leafmill.llm.common import dropped, staged
 from leafmill.llm.hashing import WordIds, ngrams
 from leafmill.llm.ngram_join import _batches
 
@@ -184,11 +184,12 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
         return f
 
     named = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    every = Window.partitionBy("anchor")
-    seen = _batches(named, find, "doc_id long, th long, anchor long")
-    seen = seen.select("doc_id", "th", "anchor", F.min("doc_id").over(every).alias("lo"), F.max("doc_id").over(every).alias("hi"))
-    shared = seen.where("lo < hi").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("anchors"))
+    seen = staged(_batches(named, find, "doc_id long, th long, anchor long"), "anchors")
+    # aggregated before the shuffle, and a join can split the rows of a hot anchor; a window could do neither
+    several_docs = seen.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    shared = seen.join(several_docs, "anchor", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("anchors"))
     shared = staged(shared, "shared").withColumnsRenamed({"doc_id": "_d", "th": "_h"})
+    dropped(seen)
     followed = named.join(shared, (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_h"))).select("doc_id", "th", "text", "anchors")
 
     def cut(ids):
