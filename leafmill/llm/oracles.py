@@ -17,6 +17,42 @@ OP3 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floo
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
+KEPT = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """c0, c1, ...: the codebooks before and after each round; a0, a1, ...: every part's nearest entry."""
+    floor = lambda s, n: f"(({s} - (({s} % {n}) + {n}) % {n}) // {n})"
+    steps = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE {KEPT}),
+p AS (SELECT r, k, list_slice(e, (k * len(e)) // {parts} + 1, ((k + 1) * len(e)) // {parts}) AS x FROM v, range({parts}) t(k)),
+c0 AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS j, x AS c FROM p JOIN (SELECT r, vec_id FROM v ORDER BY vec_id LIMIT {entries}) USING (r))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (SELECT r, p.k, j, x, CAST(list_sum(list_transform(list_zip(x, c), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS BIGINT) AS d FROM p JOIN c{i} ON p.k = c{i}.k),
+a{i} AS MATERIALIZED (SELECT r, k, arg_min(j, (d, j)) AS j, min(d) AS d, any_value(x) AS x FROM d{i} GROUP BY r, k)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT k, j, pos, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, j, unnest(range(len(x))) AS pos, unnest(x) AS y FROM a{i}) GROUP BY ALL),
+m{i} AS (SELECT k, j, list({floor("s", "n")} ORDER BY pos) AS m FROM s{i} GROUP BY k, j),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.k, c{i}.j, coalesce(m, c) AS c FROM c{i} LEFT JOIN m{i} ON c{i}.k = m{i}.k AND c{i}.j = m{i}.j)""")
+    last = f"""o AS (SELECT r, string_agg(printf('%02x', j), '' ORDER BY k) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, j)) FROM c{rounds}) AS codebooks_sha256 FROM v JOIN o USING (r)"""
+    return "WITH " + ",\n".join([*steps, last])
+
+
+def centroid_clusters_sql(k: int = 16, rounds: int = 3, width: int = 64, scale: int = 64, seed: int = 1) -> str:
+    """c0, c1, ...: the centroids before and after each round; a0, a1, ...: every vector's nearest centroid."""
+    steps = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {KEPT} AND len(embedding) = {width}),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS j, x AS c FROM (SELECT x, sha256('{seed}:' || vec_id) AS h FROM v ORDER BY h LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""d{i} AS (SELECT r, j, x, CAST(list_sum(list_transform(list_zip(x, c), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS BIGINT) AS d FROM v CROSS JOIN c{i}),
+a{i} AS MATERIALIZED (SELECT r, arg_min(j, (d, j)) AS j, min(d) AS d, any_value(x) AS x FROM d{i} GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT j, pos, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT j, unnest(range(len(x))) AS pos, unnest(x) AS y FROM a{i}) GROUP BY ALL),
+m{i} AS (SELECT j, list(((s - ((s % n) + n) % n) // n) ORDER BY pos) AS m FROM s{i} GROUP BY j),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.j, coalesce(m, c) AS c FROM c{i} LEFT JOIN m{i} ON c{i}.j = m{i}.j)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(a{rounds}.j AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a{rounds}.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM v JOIN a{rounds} USING (r) JOIN c{rounds} ON c{rounds}.j = a{rounds}.j"""
+
+
 OP5 = rf"""WITH d AS (SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6)) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT *, CASE i % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s),
@@ -78,4 +114,4 @@ o AS (SELECT doc_id, d.source, string_split(coalesce(text, ''), chr(10)) AS a, c
 q AS (SELECT *, list_filter(a, lambda x: regexp_full_match(x, '[\x20\x09-\x0D]*') OR NOT list_contains(dropped, trim(x))) AS kept FROM o)
 SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(a) END AS n_lines, CAST(len(a) - len(kept) AS BIGINT) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM q"""
 
-ORACLES = {"op2_substring_dedup": OP2, "op3_topk_search": OP3, "op5_mix_sources": OP5, "op7_ngram_join": OP7, "op8_quality_rules": OP8, "op10_line_dedup": OP10}
+ORACLES = {"op2_substring_dedup": OP2, "op3_topk_search": OP3, "op5_mix_sources": OP5, "op7_ngram_join": OP7, "op8_quality_rules": OP8, "op10_line_dedup": OP10, "op11_vector_codes": vector_codes_sql(), "op13_centroid_clusters": centroid_clusters_sql()}

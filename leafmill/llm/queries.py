@@ -83,4 +83,28 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_topk_search, op4_html_extract, op5_mix_sources, op6_byte_bpe, op7_ngram_join, op8_quality_rules, op9_quality_classifier, op10_line_dedup)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.vector_codes import books_sha256, vector_codes
+
+    out, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    code = F.concat_ws("", F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))))
+    return out.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from leafmill.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm.centroids import centroid_clusters, centroid_sha256
+
+    out, centroids = centroid_clusters(table(spark, sf_dir, "embeddings"))
+    digests = F.array(*(F.lit(centroid_sha256(c)) for c in centroids)) if len(centroids) else F.array(F.lit(None).cast("string"))
+    return out.withColumn("centroid_sha256", digests[F.col("cluster")])
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_topk_search, op4_html_extract, op5_mix_sources, op6_byte_bpe, op7_ngram_join, op8_quality_rules, op9_quality_classifier, op10_line_dedup, op11_vector_codes, op12_best_fit_packing, op13_centroid_clusters)}

@@ -35,7 +35,7 @@ def test_query_equals_its_twin(spark, db, name):
 
 def test_names():
     assert sorted(Q.QUERIES, key=lambda x: int(x[2:].split("_")[0])) == [*Q.QUERIES]
-    assert len(Q.QUERIES) == 10 and set(Q.ORACLES) < set(Q.QUERIES)
+    assert len(Q.QUERIES) == 13 and set(Q.ORACLES) < set(Q.QUERIES)
 
 
 def test_op1_columns(spark):
@@ -74,3 +74,30 @@ def test_op9_rows(spark):
     assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found)
     held = [(r.predicted, labels[r.doc_id]) for r in found if r.held_out and r.doc_id in labels]
     assert sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
+def test_op12_pieces(spark):
+    from zlib import crc32
+
+    from tokenizers import Tokenizer
+
+    judge = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    found, want = Q.QUERIES["op12_best_fit_packing"](spark, SF).collect(), []
+    for r in docs:
+        ids = [*judge.encode(r.text or "", add_special_tokens=False).ids, 0]
+        starts = [0] if len(ids) <= 2048 else [0, *range(len(ids) % 2048 or 2048, len(ids), 2048)]
+        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+            want.append((r.doc_id, k, a, b - a, crc32(struct.pack(f"<{b - a}I", *ids[a:b]))))
+    assert sorted(tuple(r)[:5] for r in found) == sorted(want)
+    total = sum(r.length for r in found)
+    by = {}
+    for r in found:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        end = 0
+        for at, n in sorted(places):
+            assert at == end
+            end += n
+        assert end <= 2048
+    assert len(by) <= -(-total // 2048) + 1
