@@ -1,3 +1,4 @@
+import json
 import random
 import struct
 from collections import Counter
@@ -120,16 +121,24 @@ def judge():
     return Tokenizer.from_file(JSON)
 
 
-def test_words_give_the_ids_of_whole_texts(judge, monkeypatch):
+def test_merges_give_the_tokenizers_ids(judge):
     rng = random.Random(4)
-    parts = ["a", "the", "Ünï", "東京", "'s", "'S", " ", "  ", "\n", "\t", "\xa0", " ", "\x1c", "\x85", "12", "3", ".", "--", "<|endoftext|>", "😀", "é", "x'll", "‍"]
-    texts = ["", " ", "  a", "a ", "a b", "a  b"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
-    monkeypatch.setattr(P, "KEPT_WORDS", 300)
-    encoder = P.Encoder(Path(JSON).read_text())
-    assert encoder.by_words
-    for at in range(0, len(texts), 100):
-        some = texts[at : at + 100]
-        assert encoder.ids(some) == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in judge.encode_batch(some, add_special_tokens=False)]
+    parts = ["a", "the", "Ünï", "東京", "'s", "'S", " ", "  ", "\n", "\t", "\xa0", " ", "\x1c", "\x85", "12", "3", ".", "--", "<|endoftext|>", "😀", "é", "x'll", "\u200d", "\u1e9e", "བོད"]
+    texts = ["", " ", "  a", "a ", "a b", " " * 20_000 + "a", "x" * 20_000, "ab" * 5_000 + " c"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    text = Path(JSON).read_text()
+    ranks = P.byte_ranks(text)
+    assert len(ranks) == 50_256
+    for encoder in (P.Encoder(text, ranks), P.Encoder(text, None)):
+        assert [encoder.ids(t).tolist() for t in texts] == [e.ids for e in judge.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_tokenizers_are_left_alone():
+    assert P.byte_ranks(Path(public_tokenizers.path("word_bpe_49k.json")).read_text()) is None
+    spec = json.loads(Path(JSON).read_text())
+    merges = spec["model"]["merges"]
+    spec["model"]["merges"] = [merges[1], merges[0], *merges[2:]]  # ids no longer grow with the merges
+    assert P.byte_ranks(json.dumps(spec)) is None
+    assert P.last_pair(b"the", {b"t": 0, b"h": 1, b"e": 2, b"he": 3, b"the": 4}) == (b"t", b"he")
 
 
 def packed(df, **options):
