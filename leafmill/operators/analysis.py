@@ -8,10 +8,12 @@ found where some path spells it. Stop words are edges too, with an empty token:
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -57,7 +59,8 @@ class Graphs:
     """Makes graphs of texts for one analyzer."""
 
     def __init__(self, analyzer: Analyzer):
-        self.analyzer, self.find = analyzer, re.compile(analyzer.word).finditer
+        self.analyzer, self.token = analyzer, _Tokens(analyzer)
+        self.find, self.all = re.compile(analyzer.word).finditer, re.compile(analyzer.word).findall
         self.groups: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
         for group in analyzer.synonyms:
             for own in group:
@@ -69,32 +72,68 @@ class Graphs:
                 raise ValueError("a synonym has one token at least, and no empty ones")
             self.longest[own[0]] = max(len(own), self.longest.get(own[0], 0))
 
-    def words(self, text: str) -> list[tuple[str, int, int]]:
-        """(token, begin, end) of each word."""
-        a = self.analyzer
-        tokens = [(a.fold(m[0]), m.start(), m.end()) for m in self.find(text)]
-        return [(HOLE if t in a.stops else t, b, e) for t, b, e in tokens]
-
-    def edges(self, text: str) -> list[tuple[int, int, int, str, int, int]]:
-        """The graph of a text. At each word the longest sequence that has synonyms is taken, and the next is looked for behind it."""
-        words, out, node, i = self.words(text), [], 0, 0
-        while i < len(words):
-            own: tuple[str, ...] = (words[i][0],)
-            for n in range(self.longest.get(words[i][0], 0), 0, -1):
-                own = tuple(w[0] for w in words[i : i + n])
-                if own in self.groups:
+    def words(self, text: str) -> tuple[list[str], np.ndarray]:
+        """The token of each word, and the words' begins and ends."""
+        spans = np.array([m.span() for m in self.find(text)], dtype=np.int32).reshape(-1, 2)
+        return list(map(self.token.__getitem__, self.all(text))), spans
+
+    def synonyms(self, tokens: list[str]) -> list[tuple[int, int, list[tuple[str, ...]]]]:
+        """(first word, words, what stands for them), from left to right: at each word the longest sequence that has synonyms is taken, and
+        the next is looked for behind it."""
+        out, free = [], 0
+        for i in [] if self.longest.keys().isdisjoint(tokens) else [i for i, t in enumerate(tokens) if t in self.longest]:
+            for n in range(self.longest[tokens[i]], 0, -1) if i >= free else ():
+                others = self.groups.get(tuple(tokens[i : i + n]))
+                if others is not None:
+                    out.append((i, n, others))
+                    free = i + n
                     break
-            n, others = len(own), self.groups.get(own, [])
-            last = node + n + sum(len(o) - 1 for o in others)
-            for k in range(n):
-                out.append((node + k, node + k + 1 if k < n - 1 else last, i + k, words[i + k][0], *words[i + k][1:]))
-            inner = node + n
+        return out
+
+    def columns(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """The graph of a text as columns node, next, pos, token, begin, end: the words' edges, then those of synonyms."""
+        tokens, spans = self.words(text)
+        found, pos = self.synonyms(tokens), np.arange(len(tokens), dtype=np.int32)
+        # the inner nodes of synonyms come between those of the words that they stand for and the node behind these
+        more = np.zeros(len(tokens) + 1, dtype=np.int32)
+        for i, n, others in found:
+            more[i + n] = sum(len(o) - 1 for o in others)
+        node = pos + np.cumsum(more, dtype=np.int32)[:-1]
+        after = node + 1 + more[1:]
+        extra = []
+        for i, n, others in found:
+            inner = int(node[i]) + n
             for other in others:
-                stops = [node, *range(inner, inner + len(other) - 1), last]
+                stops = [int(node[i]), *range(inner, inner + len(other) - 1), int(after[i + n - 1])]
                 inner += len(other) - 1
-                out += [(a, b, i + min(k, n - 1), token, words[i][1], words[i + n - 1][2]) for k, (token, a, b) in enumerate(zip(other, stops, stops[1:]))]
-            node, i = last, i + n
-        return out
+                extra += [(a, b, i + min(k, n - 1), token, int(spans[i, 0]), int(spans[i + n - 1, 1])) for k, (token, a, b) in enumerate(zip(other, stops, stops[1:]))]
+        if not extra:
+            return node, after, pos, tokens, spans[:, 0], spans[:, 1]
+        rest = list(zip(*extra))
+        whole = lambda x, k: np.concatenate([x, np.array(rest[k], dtype=np.int32)])
+        return whole(node, 0), whole(after, 1), whole(pos, 2), tokens + list(rest[3]), whole(spans[:, 0], 4), whole(spans[:, 1], 5)
+
+    def edges(self, text: str) -> list[tuple[int, int, int, str, int, int]]:
+        """The graph of a text as rows."""
+        return sorted(zip(*(c if isinstance(c, list) else c.tolist() for c in self.columns(text))))
+
+
+class _Tokens(dict):
+    """word -> token, remembered."""
+
+    MOST = 100_000
+
+    def __init__(self, analyzer: Analyzer):
+        self.analyzer = analyzer
+
+    def __missing__(self, word: str) -> str:
+        token = self.analyzer.fold(word)
+        token = HOLE if token in self.analyzer.stops else token
+        if len(self) >= self.MOST:
+            self.clear()
+        if len(word) < 100:
+            self[word] = token
+        return token
 
 
 def graph_postings(df: DataFrame, keys: list[str], text: str, analyzer: Analyzer | str = "words") -> DataFrame:
@@ -111,10 +150,11 @@ def graph_postings(df: DataFrame, keys: list[str], text: str, analyzer: Analyzer
             step = max(1, batch.num_rows * (1 << 20) // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                rows = [(i, *e) for i, t in enumerate(part.column(len(keys)).to_pylist()) if t for e in graphs.edges(t)]
-                columns = list(zip(*rows)) if rows else [()] * 7
-                where = pa.array(columns[0], pa.int32())
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(where) for k in range(len(keys))), *(pa.array(columns[j], pa.int32()) for j in (1, 2, 3)), pa.array(columns[4], pa.string()), *(pa.array(columns[j], pa.int32()) for j in (5, 6))], names=[*keys, "node", "next", "pos", "token", "begin", "end"])
+                found = [graphs.columns(t or "") for t in part.column(len(keys)).to_pylist()]
+                where = pa.array(np.repeat(np.arange(len(found), dtype=np.int32), [len(c[0]) for c in found]))
+                node, after, pos, begin, end = (np.concatenate([c[k] for c in found]) for k in (0, 1, 2, 4, 5))
+                tokens = pa.array(itertools.chain.from_iterable(c[3] for c in found), pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(where) for k in range(len(keys))), *map(pa.array, (node, after, pos)), tokens, pa.array(begin), pa.array(end)], names=[*keys, "node", "next", "pos", "token", "begin", "end"])
 
     schema = ", ".join(f"`{c}` {k.simpleString()}" for c, k in kinds.items())
     return df.select(*keys, text).mapInArrow(run, f"{schema}, {EDGE}")

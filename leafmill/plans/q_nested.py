@@ -24,8 +24,8 @@ SYNONYMS = ([("in", "the"), ("inthe",)], [("is",), ("was",), ("are",)])
 OTHER = {"is": "was", "was": "are", "are": "is"}
 
 
-def phrases(spark, d, text=F.col("text"), analyzer="words") -> DataFrame:
-    table = t(spark, d, "benchmark").select("item_id", F.lit(0).alias("slop"), text.alias("phrase"))
+def phrases(spark, d, text=None, analyzer="words") -> DataFrame:
+    table = t(spark, d, "benchmark").select("item_id", F.lit(0).alias("slop"), (F.col("text") if text is None else text).alias("phrase"))
     return staged(A.graph_phrases(table, "phrase", analyzer), "phrases")
 
 

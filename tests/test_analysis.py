@@ -84,7 +84,8 @@ def test_graphs_of_synonyms():
     assert edges[0] == (0, 1, 0, "in", 0, 2) and (1, 5, 1, "nyc", 3, 11) in edges and edges[-1] == (5, 6, 3, "now", 12, 15)
     strings = {s for s, _, _ in spelled(a, "In New York now")}
     assert {("in", "new", "york", "now"), ("in", "nyc", "now"), ("in", "big", "fine", "apple", "now")} <= strings and ("in", "york") not in strings and ("new", "nyc") not in strings
-    assert A.Graphs(ABC).words("The State") == [("", 0, 3), ("state", 4, 9)]
+    tokens, spans = A.Graphs(ABC).words("The State")
+    assert tokens == ["", "state"] and spans.tolist() == [[0, 3], [4, 9]]
     with pytest.raises(ValueError, match="synonym"):
         A.Graphs(PLAIN.with_synonyms([(), ("x",)]))
 
@@ -105,7 +106,7 @@ def test_phrases_are_paths(spark):
     a = PLAIN.with_synonyms(*GROUPS)
     want = {}
     for q, phrase in enumerate(phrases):
-        tokens = [t for t, _, _ in A.Graphs(PLAIN).words(phrase)]
+        tokens = A.Graphs(PLAIN).words(phrase)[0]
         while tokens and tokens[0] == "":
             tokens.pop(0)
         while tokens and tokens[-1] == "":
