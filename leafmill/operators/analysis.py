@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from leafmill.functions import tibetan
-from leafmill.staging import small, staged
+from leafmill.staging import COMPACT, at_most, small, staged
 
 #: The token of a stop word.
 HOLE = ""
@@ -72,10 +72,13 @@ class Graphs:
                 raise ValueError("a synonym has one token at least, and no empty ones")
             self.longest[own[0]] = max(len(own), self.longest.get(own[0], 0))
 
+    def tokens(self, text: str) -> list[str]:
+        return list(map(self.token.__getitem__, self.all(text)))
+
     def words(self, text: str) -> tuple[list[str], np.ndarray]:
         """The token of each word, and the words' begins and ends."""
         spans = np.array([m.span() for m in self.find(text)], dtype=np.int32).reshape(-1, 2)
-        return list(map(self.token.__getitem__, self.all(text))), spans
+        return self.tokens(text), spans
 
     def synonyms(self, tokens: list[str]) -> list[tuple[int, int, list[tuple[str, ...]]]]:
         """(first word, words, what stands for them), from left to right: at each word the longest sequence that has synonyms is taken, and
@@ -212,20 +215,68 @@ def near(hits: list[tuple[int, int, int, int, int, int]], n: int, tokens: list[s
 BROADCAST_ROWS = 500_000
 
 
+def graph_presence(df: DataFrame, keys: list[str], text: str, analyzer: Analyzer | str, asked: DataFrame) -> DataFrame:
+    """keys and token, once each: which of the asked tokens (column token) some edge of a text's graph has. Up to BROADCAST_ROWS of them
+    go to the tasks, which then hand on nothing else; more are joined."""
+    analyzer = ANALYZERS[analyzer] if isinstance(analyzer, str) else analyzer
+    asked = asked.select("token").distinct()
+    few = at_most(asked, BROADCAST_ROWS)
+    sent = df.sparkSession.sparkContext.broadcast({r["token"] for r in asked.collect()} if few else None)
+
+    def run(batches):
+        import pyarrow as pa
+
+        graphs, wanted = Graphs(analyzer), sent.value
+        for batch in batches:
+            rows, found = [], []
+            for i, value in enumerate(batch.column(len(keys))):
+                tokens = graphs.tokens(value.as_py() or "")
+                own = set(tokens).union(t for _, _, others in graphs.synonyms(tokens) for o in others for t in o)
+                own = own if wanted is None else own & wanted
+                rows.append(len(own))
+                found += own
+            where = pa.array(np.repeat(np.arange(len(rows), dtype=np.int32), rows))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(where) for k in range(len(keys))), pa.array(found, pa.string())], names=[*keys, "token"])
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+    out = df.select(*keys, text).mapInArrow(run, f"{schema}, token string")
+    return out if few else out.join(asked, "token", "left_semi")
+
+
+def _candidates(held: DataFrame, phrases: DataFrame, by: list[str]) -> DataFrame:
+    """by, _key of texts that have the token of a phrase that the fewest rows of held (_key, token) have, staged."""
+    asked = small(phrases.select("token").distinct(), BROADCAST_ROWS)
+    counts = held.join(asked, "token", "left_semi").groupBy("token").agg(F.count("*").alias("_c"))
+    ranked = phrases.where(F.col("token") != HOLE).join(counts, "token", "left")
+    rare = ranked.groupBy(*by).agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), "token")).alias("_r")).select(*by, F.col("_r")["token"].alias("token"))
+    rare = staged(rare, "rarest-tokens")
+    return staged(held.join(small(rare, BROADCAST_ROWS), "token").select(*by, "_key").distinct(), "candidates")
+
+
 def graph_hits(posts: DataFrame, phrases: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
     """by, keys, n, spans (array<struct<begin, end>>) of each phrase (rows of one value of by: slop, n, qpos, token) found in a text
-    (rows of one value of keys). posts is read three times, so it should be a table.
+    (rows of one value of keys). posts: stored postings, which are read three times; see text_hits for texts without.
 
     A phrase is looked up by the token of it that the fewest edges have; only texts with that one are asked for its other tokens,
     so a common word alone joins with nothing. What is found of one phrase in one text is then walked as a whole."""
     # keys with nulls are keys too: structs of them are equal where they are alike
     posts = posts.withColumn("_key", F.struct(*keys)).drop(*keys)
+    return _walked(posts, _candidates(posts.select("_key", "token"), phrases, by), phrases, by)
+
+
+def text_hits(df: DataFrame, keys: list[str], text: str, analyzer: Analyzer | str, phrases: DataFrame, by: list[str], presence: DataFrame | None = None) -> DataFrame:
+    """As graph_hits, of texts without stored postings: which of the phrases' tokens each text has is found first (presence, of
+    graph_presence, if it is at hand), and graphs are made of the candidates only."""
+    held = (staged(graph_presence(df, keys, text, analyzer, phrases), "presence", **COMPACT) if presence is None else presence).select(F.struct(*keys).alias("_key"), "token")
+    found = _candidates(held, phrases, by)
+    texts = df.withColumn("_key", F.struct(*keys)).join(small(found.select("_key").distinct(), BROADCAST_ROWS), "_key", "left_semi")
+    return _walked(graph_postings(texts, ["_key"], text, analyzer), found, phrases, by)
+
+
+def _walked(posts: DataFrame, found: DataFrame, phrases: DataFrame, by: list[str]) -> DataFrame:
+    """The hits of phrases in the candidates found (by, _key), from postings by _key."""
+    keys = posts.schema["_key"].dataType.fieldNames()
     asked = small(phrases.select("token").distinct(), BROADCAST_ROWS)
-    counts = posts.join(asked, "token", "left_semi").groupBy("token").agg(F.count("*").alias("_c"))
-    ranked = phrases.where(F.col("token") != HOLE).join(counts, "token", "left")
-    rare = ranked.groupBy(*by).agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), "token")).alias("_r")).select(*by, F.col("_r")["token"].alias("token"))
-    rare = staged(rare, "rarest-tokens")
-    found = staged(posts.select("_key", "token").join(small(rare, BROADCAST_ROWS), "token").select(*by, "_key").distinct(), "candidates")
     edges = posts.join(asked, "token", "left_semi").join(small(found, BROADCAST_ROWS), "_key")
     edges = edges.join(small(phrases, BROADCAST_ROWS), [*by, "token"])
     hit = F.struct("qpos", "node", "next", "pos", "begin", "end", "token")

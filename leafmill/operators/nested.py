@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators import search as S
-from leafmill.operators.analysis import Analyzer, graph_hits, graph_phrases, graph_postings, highlights
+from leafmill.operators.analysis import ANALYZERS, Analyzer, graph_hits, graph_phrases, graph_postings, graph_presence, highlights, text_hits
 from leafmill.operators.dedup import idf
-from leafmill.staging import small, staged
+from leafmill.staging import COMPACT, small, staged
 
 KEYS = ["parent", "child", "element", "field", "value"]
 #: Elements a record that come along with a match, and code points of their best fragments.
@@ -44,18 +44,36 @@ def block_postings(texts: DataFrame, analyzers: dict[str, Analyzer | str]) -> Da
     for suffix, analyzer in analyzers.items():
         posts = graph_postings(texts, KEYS, "text", analyzer).withColumn("field", F.concat("field", F.lit(suffix)))
         out = posts if out is None else out.unionByName(posts)
-    return staged(out, "block-postings")
+    return staged(out, "block-postings", **COMPACT)
 
 
 def element_hits(posts: DataFrame, phrases: DataFrame, by: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
     """by, KEYS, n, spans, score of each phrase found in an element: the idf of its tokens among the elements that have the field, times
     the field's boost; posts: of block_postings; phrases: of graph_phrases."""
-    hits = graph_hits(posts, phrases, by, KEYS)
+    total = posts.groupBy("field").agg(F.count_distinct(F.struct("parent", "child", "element")).alias("_t"))
+    return _scored(graph_hits(posts, phrases, by, KEYS), posts, total, phrases, by, boosts)
+
+
+def search_elements(texts: DataFrame, analyzer: Analyzer | str, phrases: DataFrame, by: list[str], boosts: dict[str, float] | None = None, suffix: str = "") -> DataFrame:
+    """As element_hits, of block_texts without stored postings. An element counts as having the field where its text has a word."""
+    named = texts.withColumn("field", F.concat("field", F.lit(suffix)))
+    found = analyzer if isinstance(analyzer, Analyzer) else ANALYZERS[analyzer]
+    presence = staged(graph_presence(named, KEYS, "text", analyzer, phrases), "presence", **COMPACT)
+    own = named.where(F.col("text").rlike(found.word))
+    # an element counts once, so what elements with several such values have more of them is taken off
+    element = F.struct("parent", "child", "element", "field")
+    several = own.where("value > 0").select(element.alias("_e")).distinct()
+    more = own.select("field", element.alias("_e")).join(small(several, S.TERMS), "_e", "left_semi").groupBy("field", "_e").agg((1 - F.count("*")).alias("_t"))
+    total = own.groupBy("field").agg(F.count("*").alias("_t")).unionByName(more.select("field", "_t")).groupBy("field").agg(F.sum("_t").alias("_t"))
+    return _scored(text_hits(named, KEYS, "text", analyzer, phrases, by, presence), presence, total, phrases, by, boosts)
+
+
+def _scored(hits: DataFrame, held: DataFrame, total: DataFrame, phrases: DataFrame, by: list[str], boosts: dict[str, float] | None) -> DataFrame:
+    """hits with score. held: KEYS and token; total: field, and _t elements that have it."""
     asked = small(phrases.select("token").distinct(), S.TERMS)
-    of = F.struct("parent", "child", "element")
-    total = posts.groupBy("field").agg(F.count_distinct(of).alias("_t"))
-    held = posts.join(asked, "token", "left_semi").groupBy("field", "token").agg(F.count_distinct(of).alias("_h"))
-    weight = held.join(F.broadcast(total), "field").select("field", "token", idf(F.col("_h"), F.col("_t")).alias("weight"))
+    counts = held.join(asked, "token", "left_semi").groupBy("field", "token").agg(F.count_distinct(F.struct("parent", "child", "element")).alias("_h"))
+    weight = counts.join(F.broadcast(total), "field").select("field", "token", idf(F.col("_h"), F.col("_t")).alias("weight"))
+    weight = staged(weight, "weights")
     worth = phrases.select(*by, "token").join(small(weight, S.TERMS), "token").groupBy(*by, "field").agg(F.sum("weight").alias("_w"))
     boost = F.lit(1.0)
     for field, value in (boosts or {}).items():
@@ -111,7 +129,6 @@ def volume_search(spark: SparkSession, records: DataFrame, etexts: DataFrame, te
         return records.select("id", F.lit(0.0).alias("score")).orderBy("id").limit(size), none
     rows = [(k, p, c.scope, c.slop, c.boost, len(c.phrases), phrase) for k, c in enumerate(clauses) for p, phrase in enumerate(c.phrases)]
     table = spark.createDataFrame(rows, "clause int, part int, scope string, slop int, boost double, parts int, phrase string")
-    both: dict[str, Analyzer | str] = {"": "lenient", PHONETIC: "phonetic"}
     texts = {
         "top": block_texts(records, "id", ["pref_label_bo", "alt_label_bo"]),
         "segments": block_texts(records, "id", ["title_bo", "author_name_bo"], nested="segments"),
@@ -121,13 +138,10 @@ def volume_search(spark: SparkSession, records: DataFrame, etexts: DataFrame, te
     best, inner = None, None
     by = ["clause", "part"]
     for scope, own in texts.items():
-        asked, posts = table.where(F.col("scope") == scope), block_postings(own, {"": "lenient"} if scope == "chunks" else both)
-        readings = ["lenient"] if scope == "chunks" else ["lenient", "phonetic"]
-        hits = None
-        for name in readings:  # a phrase is read as the postings are
-            mine = posts.where(F.col("field").endswith(PHONETIC) == F.lit(name == "phonetic"))
+        asked, hits = table.where(F.col("scope") == scope), None
+        for suffix, name in {"": "lenient"}.items() if scope == "chunks" else {"": "lenient", PHONETIC: "phonetic"}.items():
             phrases = staged(graph_phrases(asked.select(*by, "slop", "phrase"), "phrase", name), "phrases")
-            found = element_hits(mine, phrases, by, boosts)
+            found = search_elements(own, name, phrases, by, boosts, suffix)
             hits = found if hits is None else hits.unionByName(found)
         hits = staged(hits, "hits")
         scores = parents_of(hits, by, "none" if scope == "chunks" else "max").join(F.broadcast(asked.select(*by, "boost", "parts")), by)

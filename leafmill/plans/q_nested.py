@@ -41,8 +41,8 @@ def analyzed(spark, d):
     words = F.transform(F.filter(F.split(F.lower("text"), r"[་།\s]+"), lambda x: x != ""), other)
     text = F.replace(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(" in the "), F.lit(" inthe "))
     analyzer = A.ANALYZERS["words"].with_synonyms(*SYNONYMS)
-    posts = staged(A.graph_postings(spread(t(spark, d, "documents").select("doc_id", "text")), ["doc_id"], "text", analyzer), "postings")
-    return A.graph_hits(posts, phrases(spark, d, text, analyzer), ["item_id"], ["doc_id"]).select("item_id", F.col("doc_id").alias("id"))
+    docs = spread(t(spark, d, "documents").select("doc_id", "text"))
+    return A.text_hits(docs, ["doc_id"], "text", analyzer, phrases(spark, d, text, analyzer), ["item_id"]).select("item_id", F.col("doc_id").alias("id"))
 
 
 LINES_SQL = rf"""el AS (SELECT doc_id, source, unnest(range(len(l))) AS element, unnest(l) AS line FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
@@ -65,8 +65,7 @@ SELECT item_id, doc_id, CAST(element AS INT) AS element, CAST(rank AS INT) AS ra
 )
 def nested_hits(spark, d):
     """Passages inside one line of a document, never across two: the document's score is its best line's, and its three best lines come along."""
-    posts = N.block_postings(blocks(spark, d, "doc_id", None), {"": "words"})
-    hits = staged(N.element_hits(posts, phrases(spark, d), ["item_id"]), "hits")
+    hits = staged(N.search_elements(blocks(spark, d, "doc_id", None), "words", phrases(spark, d), ["item_id"]), "hits")
     best = N.parents_of(hits, ["item_id"]).withColumnRenamed("score", "best")
     inner = N.inner_hits(hits, ["item_id"]).join(best, ["item_id", "parent"])
     return inner.select("item_id", F.col("parent").alias("doc_id"), "element", "rank", F.round("score", 6).alias("score"), F.round("best", 6).alias("best"))
@@ -80,8 +79,8 @@ SELECT el2.item_id, el2.source AS parent, el2.doc_id AS child, CAST(child_rank A
 )
 def has_child(spark, d):
     """Sources that have a document with a line that holds a passage; of each, three documents and three lines come along."""
-    posts = N.block_postings(blocks(spark, d, "source", "doc_id"), {"": "words"})
-    hits = staged(N.element_hits(posts, phrases(spark, d), ["item_id"]), "hits")
+    found = A.text_hits(blocks(spark, d, "source", "doc_id"), N.KEYS, "text", "words", phrases(spark, d), ["item_id"])
+    hits = staged(found.withColumn("score", F.lit(1.0)), "hits")
     inner = N.inner_hits(hits, ["item_id"], mode="none")
     return inner.select("item_id", "parent", "child", "child_rank", "element", "rank")
 
@@ -96,6 +95,5 @@ SELECT item_id, doc_id, regexp_replace(regexp_replace(text, '(^|[་།\s])(' ||
 def highlight(spark, d):
     """Documents that hold a passage, with it marked wherever it stands, by offsets into the whole text."""
     docs = spread(t(spark, d, "documents").select("doc_id", "text"))
-    posts = staged(A.graph_postings(docs, ["doc_id"], "text"), "postings")
-    hits = A.graph_hits(posts, phrases(spark, d), ["item_id"], ["doc_id"])
+    hits = A.text_hits(docs, ["doc_id"], "text", "words", phrases(spark, d), ["item_id"])
     return A.highlights(hits, docs, ["doc_id"], "text", ["item_id"])

@@ -25,11 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and returns it reread."""
+#: For tables of positions: ascending numbers are kept as differences.
+COMPACT = {"parquet.writer.version": "v2", "compression": "zstd"}
+
+
+def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder and returns it reread. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafmill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

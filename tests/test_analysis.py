@@ -94,7 +94,9 @@ def found(spark, analyzer, texts, phrases, slop=0):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     asked = spark.createDataFrame([(q, slop, p) for q, p in enumerate(phrases)], "q int, slop int, phrase string")
     posts = A.graph_postings(df, ["id"], "t", analyzer)
-    hits = A.graph_hits(posts, A.graph_phrases(asked, "phrase", analyzer), ["q"], ["id"])
+    table = A.graph_phrases(asked, "phrase", analyzer)
+    hits = A.graph_hits(posts, table, ["q"], ["id"])
+    assert sorted(map(str, hits.collect())) == sorted(map(str, A.text_hits(df, ["id"], "t", analyzer, table, ["q"]).collect()))
     return {(r.q, r.id): [tuple(s) for s in r.spans] for r in hits.collect()}
 
 
@@ -168,6 +170,7 @@ def test_phrases_do_not_cross_elements_or_values(spark, blocks):
     assert [(r.parent, r.element, r.field) for r in hits.collect()] == [("W2", 0, "segments.author_name_bo")]
     hits = N.element_hits(posts, ask(spark, "red"), ["q"], {"segments.author_name_bo": 0.5})
     scores = {(r.parent, r.element): r.score for r in hits.collect()}
+    assert {(r.parent, r.element): r.score for r in N.search_elements(texts, "words", ask(spark, "red"), ["q"], {"segments.author_name_bo": 0.5}).collect()} == pytest.approx(scores)
     best = {r.parent: r.score for r in N.parents_of(hits, ["q"]).collect()}
     assert best == {"W1": max(scores["W1", 0], scores["W1", 1]), "W2": scores["W2", 0]} and len(scores) == 3
     assert {r.score for r in N.parents_of(hits, ["q"], "none").collect()} == {1.0}
