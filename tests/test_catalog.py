@@ -72,3 +72,95 @@ def test_deleted_records_come_back_unless_kept(spark):
 def test_paging_bounds(spark):
     with pytest.raises(ValueError):
         C.page(spark.range(3), 0, 500, F.col("id"))
+
+
+def test_a_reopened_catalog_has_its_tables(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path), buckets=4)
+    ids = [c.create("persons", {"pref_label_bo": f"name {k}"}, "me") for k in range(3)]
+    again = Catalog(spark, str(tmp_path))
+    assert set(again.get_many("persons", [*ids, "P9"])) == set(ids) and again.get("persons", ids[1])["pref_label_bo"] == "name 1"
+    before = again.store("persons").manifest()
+    again.update("persons", ids[0], {"pref_label_bo": None}, "you")
+    after = again.store("persons").manifest()
+    changed = [b for b in after["deltas"] if after["deltas"][b] != before["deltas"].get(b)]
+    assert len(changed) == 1 and after["base"] == before["base"] and c.get("persons", ids[0])["pref_label_bo"] is None
+    again.compact()
+    assert again.table("persons").count() == 3 and not again.store("persons").manifest()["deltas"]
+
+
+def test_two_curators_at_a_time(spark, tmp_path, monkeypatch):
+    c, other = Catalog(spark, str(tmp_path), buckets=2), Catalog(spark, str(tmp_path))
+    p = c.create("persons", {"pref_label_bo": "Ann"}, "me")
+    read = c.get
+
+    def slow(name, id):
+        found = read(name, id)
+        other.update("persons", p, {"dates": "1400"}, "you")
+        return found
+
+    monkeypatch.setattr(c, "get", slow)
+    with pytest.raises(C.ConflictError):
+        c.update("persons", p, {"pref_label_bo": "Anne"}, "me")
+    got = other.get("persons", p)
+    assert got["dates"] == "1400" and got["pref_label_bo"] == "Ann" and got["curation"]["edit_version"] == 2
+
+
+def volume(spark, **more):
+    row = {"id": "V1", "type": "volume_etext", "mw_id": "MW1", "cend": 10, "status": "active", "chunks": [{"cstart": 0, "cend": 4, "text_bo": "abcd"}, {"cstart": 4, "cend": 10, "text_bo": "efghij"}]}
+    return spark.createDataFrame([row | more], Catalog(spark, "/none").table("volumes").schema)
+
+
+def test_annotated_volumes_are_checked_and_saved(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path), buckets=2)
+    p = c.create("persons", {"pref_label_bo": "Ann"}, "me")
+    w = c.create("works", {"pref_label_bo": "book", "authors": [p]}, "me")
+    c.save("volumes", volume(spark))
+    good = [{"mw_id": "MW1_b", "wa_id": None, "cstart": 4, "cend": 10, "part_type": "editorial", "title_bo": ["t", "u"]}, {"mw_id": "MW1_a", "wa_id": w, "cstart": 0, "cend": 4, "part_type": "text", "title_bo": "one", "author_name_bo": ""}]
+    wrong = {
+        "no volume": ("V9", "abcdefghij", good),
+        "another work": ("V1", "abcdefghij", [good[0] | {"mw_id": "MW2_a"}]),
+        "base_text": ("V1", "abcdefghi", good),
+        "starts at 4": ("V1", "abcdefghij", good[:1]),
+        "ends at 4": ("V1", "abcdefghij", good[1:]),
+    }
+    for message, args in wrong.items():
+        with pytest.raises(ValueError, match=message):
+            c.save_annotated_volume(*args, "in_review")
+    with pytest.raises(ValueError, match="status"):
+        c.save_annotated_volume("V1", "abcdefghij", good, "done")
+    c.save_annotated_volume("V1", "abcdefghij", good, "in_review")
+    saved = c.get("volumes", "V1")
+    assert [(s["mw_id"], s["segment_type"], s["title_bo"], s["author_name_bo"]) for s in saved["segments"]] == [("MW1_b", "editorial", ["t", "u"], None), ("MW1_a", "text", ["one"], None)]
+    assert saved["status"] == "in_review" and c.get("works", w)["record_status"] == "new"
+    c.save_annotated_volume("V1", "abcdefghij", good, "reviewed")
+    assert c.get("works", w)["record_status"] == "active" and c.get("persons", p)["record_status"] == "active"
+
+
+def test_ocr_imports_keep_what_curators_did(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path), buckets=2)
+    assert [(r.id, r.outcome) for r in c.import_ocr(volume(spark, status=None)).collect()] == [("V1", "created")]
+    first = c.get("volumes", "V1")
+    assert first["status"] == "active" and first["first_imported_at"] == first["last_updated_at"] is not None
+    c.save_annotated_volume("V1", "abcdefghij", [{"mw_id": "MW1_a", "cstart": 0, "cend": 10, "part_type": "text", "title_bo": "x"}], "in_review")
+    new = volume(spark, status="active", nb_pages=7).unionByName(volume(spark, id="V2"))
+    assert {r.id: r.outcome for r in c.import_ocr(new).collect()} == {"V1": "updated", "V2": "created"}
+    again = c.get("volumes", "V1")
+    assert again["nb_pages"] == 7 and again["status"] == "in_review" and len(again["segments"]) == 1 and again["first_imported_at"] == first["first_imported_at"]
+
+
+def test_works_and_persons_are_searched_with_filters(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path), buckets=2)
+    schema = c.table("works").schema
+    rows = [("W1", "red book by ann", "active", "local"), ("W2", "red book", "active", "imported"), ("W3", "red book by ann", "duplicate", "local")]
+    c.save("works", spark.createDataFrame([{"id": i, "pref_label_bo": t, "record_status": s, "origin": o, "authors": ["P1"] if i == "W2" else []} for i, t, s, o in rows], schema))
+    ids = lambda df: [r.id for r in df.collect()]
+    assert ids(c.search_works("red book", "by ann")) == ["W1"] and sorted(ids(c.search_works(title="red book"))) == ["W1", "W2"]
+    assert ids(c.search_works("red book", author="P1")) == ["W2"] and ids(c.search_works(origin="local")) == ["W1"] and ids(c.search_works("red", status="duplicate")) == ["W3"]
+    for wrong in ({}, {"title": ""}):
+        with pytest.raises(ValueError, match="text or a filter"):
+            c.search_works(**wrong)
+    with pytest.raises(ValueError, match="text or a filter"):
+        c.search_persons()
+    with pytest.raises(TypeError):
+        c.search_works(colour="red")
+    assert ids(c.search_persons("ann")) == []
