@@ -47,12 +47,14 @@ def line_dedup(docs: DataFrame, site: Column | None = None, max_ratio: float = 0
     size = drop.agg(F.coalesce(F.sum(F.size("_drop") * 64 + 64), F.lit(0))).first()[0]
     drop = F.broadcast(drop) if size <= BROADCAST_BYTES else drop
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    df = docs.select(*names).withColumn("_own_site", site).join(drop, F.col("_own_site").eqNullSafe(F.col("_site")), "left")
-    df = df.withColumn("_all", F.split(F.coalesce("text", F.lit("")), "\n"))
+    # the row travels as one column, so that no name of its own meets one of those here
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), site.alias("_own_site")).join(drop, F.col("_own_site").eqNullSafe(F.col("_site")), "left")
+    own_text = F.col("_row").getField("text")
+    df = df.withColumn("_all", F.split(F.coalesce(own_text, F.lit("")), "\n"))
     kept = F.filter("_all", lambda x: x.rlike(BLANK) | ~F.array_contains(F.col("_drop"), F.upper(F.md5(F.trim(x)))))
     df = df.withColumn("_left", F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(kept))
-    text = F.when(F.col("text").isNotNull(), F.array_join("_left", "\n"))
+    text = F.when(own_text.isNotNull(), F.array_join("_left", "\n"))
     changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_all")).cast("long").alias("n_lines")
+    n_lines = F.when(own_text.isNull(), 0).otherwise(F.size("_all")).cast("long").alias("n_lines")
     n_dropped = (F.size("_all") - F.size("_left")).cast("long").alias("n_dropped")
-    return df.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in names), n_lines, n_dropped)
+    return df.select(*((changed[c] if c in changed else F.col("_row").getField(c)).alias(c) for c in names), n_lines, n_dropped)

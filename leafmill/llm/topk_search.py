@@ -82,28 +82,30 @@ def _searcher(k: int):
 
 def quantised(vectors: DataFrame) -> DataFrame:
     """vec_id and v = floor(256 * x), of the vectors that take part: not null, without null or non-finite components, with an
-    id. Rows with one vec_id count once, by their least vector."""
+    id. Rows with one vec_id stay rows of their own."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     kept = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
-    return kept.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding")).select("vec_id", whole.alias("v"))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("v"))
 
 
 def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Per query its k best vectors but itself: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
 
-    vectors, queries: vec_id and embedding; both are dealt by hash into shards of SHARD_ROWS and blocks of BLOCK_ROWS, and
+    vectors, queries: vec_id and embedding; both are dealt by row number into shards of SHARD_ROWS and blocks of BLOCK_ROWS, and
     each pair of a shard and a block is one group, so no task or broadcast grows with the data. Shorter vectors are
     padded with zeros. Vectors that are null, or hold null or non-finite components, take no part; a query without any
-    other vector has no rows; repeated ids count once; empty tables give empty results; other columns are not read.
+    other vector has no rows. Rows with one id are candidates of their own, all of which are left out for that id's query; query
+    rows with one id are one query, whose results are the best of all of them. Scores beyond 64 bits become the nearest number of
+    64 bits. Empty tables give empty results; other columns are not read.
     """
     cands, asked = quantised(vectors), quantised(queries)
     n, m = (x.select("vec_id").where(F.col("vec_id").isNotNull()).count() for x in (vectors, queries))
     shards, blocks = max(1, ceil(n / SHARD_ROWS)), max(1, ceil(m / BLOCK_ROWS))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")  # noqa: E731  an id may have many rows
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = cands.select("vec_id", "v", deal(shards).alias("shard"), each(blocks).alias("block"))
-    right = asked.select("vec_id", "v", each(shards).alias("shard"), deal(blocks).alias("block"))
+    # a row is dealt before it is repeated, so that each candidate meets each query in one group
+    left = cands.withColumn("shard", deal(shards)).select("vec_id", "v", "shard", each(blocks).alias("block"))
+    right = asked.withColumn("block", deal(blocks)).select("vec_id", "v", each(shards).alias("shard"), "block")
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_searcher(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -42,3 +42,14 @@ def test_brute_force(make):
         drop = {(s, x) for s, found in counts.items() for x, n, total in found if n >= 2 and n / total > 0.1}
         want = {i: "\n".join(x for x in t.split("\n") if (s, x) not in drop) for i, t, s in rows}
         assert {r.doc_id: r.text for r in line_dedup(make(rows), copies_once=once).collect()} == want
+
+
+def test_names_that_clash(make):
+    names = ["_site", "_drop", "_all", "_left", "_own_site", "_row", "_line", "_text", "_key", "_l", "_site2", "pages", "site_pages", "ratio", "with.dot"]
+    rows = [(i, f"nav\nown {i}", "a") for i in range(12)]
+    docs = make(rows).withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id")) for c in names})
+    for once in (False, True):
+        found = line_dedup(docs, copies_once=once).collect()
+        assert len(found) == 12
+        for r in found:
+            assert r.text == f"own {r.doc_id}" and all(r[c] == f"{c} of {r.doc_id}" for c in names)

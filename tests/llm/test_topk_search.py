@@ -5,14 +5,10 @@ from leafmill.llm import topk_search as K
 
 
 def brute(rows, k):
-    ok = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            ok[i] = min(ok.get(i, v), v)
-    ok = {i: [math.floor(256 * x) for x in v] for i, v in ok.items()}
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted(i for i in ok if i % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(ok[q], ok[i])), i) for i in ok if i != q)[:k]
+    for q in sorted({i for i, _ in ok if i % 50 == 0}):
+        scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for j, own in ok if j == q for i, v in ok if i != q)[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return out
 
@@ -37,3 +33,10 @@ def test_odd_vectors(spark):
     assert found(spark, rows) == brute(rows, 5)
     assert found(spark, [(0, [1.0])]) == []
     assert found(spark, [(1, [1.0]), (2, [1.0])]) == []
+
+
+def test_rows_of_one_id_are_candidates_of_their_own(spark):
+    rows = [(50, [1.0]), (1, [0.5]), (1, [0.9]), (2, [0.2]), (50, [0.5]), (1, [0.9])]
+    assert found(spark, rows) == brute(rows, 5) and [r[3] for r in brute(rows, 5)] == [58880, 58880, 32768, 29440, 29440]
+    many = [(7, [0.25, -0.5])] * 300 + [(i, [i / 900, 0.5]) for i in range(0, 300, 3)]
+    assert found(spark, many) == brute(many, 5)
