@@ -6,7 +6,7 @@ import importlib
 from types import ModuleType
 
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ("q_dedup", "q_catalog", "q_ingest", "q_search", "q_study", "q_nested")
+MODULES: tuple[str, ...] = ("q_dedup", "q_catalog", "q_ingest", "q_search", "q_study", "q_nested", "q_store")
 
 
 def load() -> ModuleType:

@@ -197,8 +197,10 @@ class Store:
         another writer was faster, as it depends on the rows before."""
         manifest = self.manifest()
         held = staged(patches, "patches")
-        rows = self.multi_get(held.select(manifest["key"]), manifest["version"])
-        return self.upsert(C.patched(rows, held, fields), manifest["version"])
+        key = manifest["key"]
+        rows = self.multi_get(held.select(key), manifest["version"]).withColumnRenamed(key, "id")
+        changed = C.patched(rows, held.withColumnRenamed(key, "id"), fields)
+        return self.upsert(changed.withColumnRenamed("id", key), manifest["version"])
 
     def _one_each(self, manifest: dict, rows: DataFrame) -> DataFrame:
         columns = self._columns(manifest)
