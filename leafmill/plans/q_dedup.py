@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators import dedup as D
+from leafmill.operators import vector_index as V
 from leafmill.operators import metrics as M
 from leafmill.operators.methods import create
 from leafmill.plans.registry import query
@@ -133,13 +134,23 @@ def vectors(spark, d) -> DataFrame:
 DOT_SQL = "list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 
 
-@query("d06_vector_topk", f"""WITH s AS (SELECT q.vec_id AS src, v.vec_id AS dst, round({DOT_SQL}, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
-SELECT src, CAST(rank AS INT) AS rank, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s) WHERE rank <= 10""")
+D06_SQL = f"""WITH s AS (SELECT q.vec_id AS src, v.vec_id AS dst, round({DOT_SQL}, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT src, CAST(rank AS INT) AS rank, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query("d06_vector_topk", D06_SQL)
 def vector_topk(spark, d):
     v = vectors(spark, d)
     return D.knn(v, v.where("vec_id % 50 = 0"), 10).select("src", "rank", "dst", "score")
 
 
+@query("d06_vector_index", D06_SQL)
+def vector_index(spark, d):
+    """The same by an inverted file of all vectors: each query opens the clusters that may hold one of its ten best."""
+    v = vectors(spark, d)
+    return V.search(V.build(v), v.where("vec_id % 50 = 0"), 10)
+
+
 @query("d07_chunked_vectors", """WITH v AS (SELECT label AS id, vec_id AS chunk, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 50 = 0), m AS (
 SELECT l.id AS a, l.chunk AS ca, r.id AS b, r.chunk AS cb FROM v l JOIN v r ON l.id < r.id WHERE round(list_sum(list_transform(list_zip(l.e, r.e), lambda p: p[1] * p[2])), 9) >= 0.1), p AS (SELECT id, count(*) AS parts FROM v GROUP BY 1),
 h AS (SELECT a, b, count(DISTINCT ca) AS ha, count(DISTINCT cb) AS hb FROM m GROUP BY 1, 2) SELECT a, b, round(least(ha / x.parts, hb / y.parts), 6) AS score FROM h JOIN p x ON x.id = a JOIN p y ON y.id = b""")
