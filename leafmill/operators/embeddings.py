@@ -41,7 +41,7 @@ class Settings:
     rate: float = 0.1
     common: float = 1e-3
     held_out: int = 20
-    block_words: int = 20_000
+    block_words: int = 50_000
     block_cells: int = 4_000_000
     batch: int = 512
     seed: int = 1

@@ -144,6 +144,15 @@ def vector_topk(spark, d):
     return D.knn(v, v.where("vec_id % 50 = 0"), 10).select("src", "rank", "dst", "score")
 
 
+@query("e12_subword_embeddings")
+def subword_embeddings(spark, d):
+    """Vectors of the words of all conversations, after one epoch. SQL cannot express the training; its parts are tested by brute force."""
+    from leafmill.operators import embeddings as W
+
+    model = W.train(W.tokenised(t(spark, d, "conversations")), W.Settings(epochs=1))
+    return model.words.select("word", "n", "vec")
+
+
 @query("d06_vector_index", D06_SQL)
 def vector_index(spark, d):
     """The same by an inverted file of all vectors: each query opens the clusters that may hold one of its ten best."""
