@@ -149,7 +149,7 @@ def subword_embeddings(spark, d):
     """Vectors of the words of all conversations, after one epoch. SQL cannot express the training; its parts are tested by brute force."""
     from leafmill.operators import embeddings as W
 
-    model = W.train(W.tokenised(t(spark, d, "conversations")), W.Settings(epochs=1))
+    model = W.train(W.tokenised(spark.read.parquet(f"{d}/conversations.parquet")), W.Settings(epochs=1))
     return model.words.select("word", "n", "vec")
 
 
