@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -33,14 +34,20 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 NEVER = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "input", "label", "svg", "math", "canvas", "audio", "video", "object", "menu", "dialog"}
 MAIN = ("article", "main")
-# Words in class, id or role that name what is not the article: as a part of a mark, and only as a whole mark or
-# with one of the companions after it. A mark of OWN says that an element is the article's, whatever else it is called.
-BESIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|sidebar|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|copyright|share|sharing|comments?|disqus|login|signup|widget|toolbar|pagination|pager|complementary|contentinfo|navigation)(?:$|[\s_-])", re.IGNORECASE)
-BESIDE_WHOLE = re.compile(r"(?:^|\s)(?:site[_-])?(?:notice|side|aside|foot|social|related|recommend\w*|replies|respond|search|tags?)(?:[_-](?:ar(?:ea|ticles)|bar|box|buttons|cloud|column|content|form|icons|items|left|links|list|media|pages|panel|posts|read(?:ing|s)|right|rail|section|stories|wrap(?:per)?))?(?:$|\s)", re.IGNORECASE)
+# Marks in class, id or role that name what is not the article. A mark is one whole name: words of WHERE, then one of
+# WHAT, then words of WHAT or KIND_OF, or one of LOOSE, then words of KIND_OF; so no-sidebar, comments-open or tag-cookies say nothing.
+# A mark of OWN says that an element is the article's, whatever else it is called. Headings are no parts of a page, and their ids are
+# often made from their texts.
+WHERE = "site|page|main|global|primary|secondary|top|bottom|left|right|fixed|sticky|mobile|desktop|floating|inline|post|article|entry|story|widget|user|reader|the|js"
+WHAT = r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|sidebar|nav|navbar|navigation|menus?|menubar|breadcrumbs?|header|masthead|footer|copyright|share|sharing|comments?|disqus|login|signup|widget|toolbar|pagination|pager|complementary|contentinfo"
+LOOSE = r"notice|side|aside|foot|social|related|recommend\w*|replies|respond|search|tags?"
+KIND_OF = r"ar(?:ea|ticles)|bar|block|box|buttons?|cloud|column|container|content|form|frame|icons?|inner|items?|left|links?|list|media|outer|pages|panel|posts|rail|read(?:ing|s)|right|row|section|slot|stories|thread|top|unit|wrap(?:per)?|\d+"
+BESIDE = re.compile(rf"(?:^|\s)(?:(?:{WHERE})[_-])*(?:(?:{WHAT})(?:[_-]+(?:{WHAT}|{KIND_OF}))*|(?:{LOOSE})(?:[_-]+(?:{KIND_OF}))*)(?:$|\s)", re.IGNORECASE)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 OWN = re.compile(r"(?:^|\s)(?:(?:main|article|post|entry|story|page)[_-](?:content|body|text)|content|article|main)(?:$|\s)", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
-#: Elements nested deeper than this become their ancestor's children, as in browsers, whose bound is of this kind, too.
+#: A wrapper describes elements that are nested so deep, at most; deeper ones are read all the same.
 DEPTH = 120
 
 
@@ -104,39 +111,38 @@ class Node:
 
 
 def tree(page: str) -> Node:
-    """The page's elements. Open elements end with their parent; a block ends an open p, and li, tr, td and the like end the one
-    before. Of elements beyond DEPTH only their edges are left, as empty elements, so that their blocks stay apart."""
-    beyond: list[str] = []
+    """The page's elements, however deep they are. Open elements end with their parent; a block ends an open p, and li, tr, td and the
+    like end the one before."""
     root = Node("#")
     open_: list[Node] = [root]
+    names: Counter[str] = Counter()  # of open elements, so that none is looked for in vain
     like = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
     bounds = {"ul", "ol", "dl", "table", "select", "#", "article", "section", "div", "body"}
+
+    def end(k: int) -> None:
+        names.subtract(node.name for node in open_[k:])
+        del open_[k:]
+
     for kind, name, value in tokens(page):
         if kind == "text":
             open_[-1].children.append(Node("", text=value))
         elif kind == "open":
             ends = like.get(name, set()) | ({"p"} if name in CLOSES_P else set())
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, 0, -1) if any(names[e] for e in ends) else ():
                 if open_[k].name in ends:
-                    del open_[k:]
+                    end(k)
                     break
                 if open_[k].name in bounds:
                     break
             node = Node(name, value)
             open_[-1].children.append(node)
-            if len(open_) < DEPTH:
-                open_.append(node)
-            else:
-                beyond.append(name)
-        elif name in beyond[-1:]:
-            beyond.pop()
-            open_[-1].children.append(Node(name))
-        else:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].name == name:
-                    del open_[k:]
-                    beyond.clear()
-                    break
+            open_.append(node)
+            names[name] += 1
+        elif names[name]:
+            k = len(open_) - 1
+            while open_[k].name != name:
+                k -= 1
+            end(k)
     return root
 
 
@@ -148,10 +154,12 @@ SHOWN = 60
 
 
 def label(node: Node) -> str:
-    return f"{node.name}.{SPACE.sub('.', node.marks.strip())}" if node.marks.strip() else node.name
+    """Name and marks of an element; marks with digits are left out, as they number pages or parts of them."""
+    marks = [m for m in SPACE.split(node.marks) if m and not any(map(str.isdigit, m))]
+    return ".".join([node.name, *marks])
 
 
-def expression(node: Node) -> list:
+def expression(node: Node, depth: int = DEPTH) -> list:
     """The folded expression of a node's children; inline elements within text count as text."""
     items: list = []
     for child in node.children:
@@ -164,12 +172,17 @@ def expression(node: Node) -> list:
             elif text:
                 items.append(["t", "", 0, 0, [], digest(text)])
         else:
-            items.append(["e", label(child), 0, 0, [] if child.name in RAW else expression(child), None])
+            items.append(["e", label(child), 0, 0, [] if child.name in RAW or not depth else expression(child, depth - 1), None])
     return fold(items)
 
 
 def flat(node: Node) -> str:
-    return node.text if not node.name else "".join(map(flat, node.children))
+    out, todo = [], [node]
+    while todo:
+        at = todo.pop()
+        out.append(at.text)
+        todo += reversed(at.children)
+    return "".join(out)
 
 
 def digest(text: str) -> str:
@@ -227,7 +240,7 @@ def align(a: list, b: list) -> list:
     x, y = a[start : len(a) - end], b[start : len(b) - end]
     out = [merged(p, q) for p, q in zip(a[:start], b[:start])]
     if len(x) * len(y) > CELLS:  # too unlike to spend the square of their lengths: both sides become optional
-        out += [[*i[:MAY], 1, *i[INNER:]] for i in x + [j for j in y if not any(same(i, j) for i in x[-PERIOD:])]]
+        out += [[*i[:MAY], 1, *i[INNER:]] for i in x + y]
         x, y = [], []
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
@@ -253,12 +266,12 @@ def slots(items: list) -> int:
 
 
 def beside(name: str, marks: str) -> bool:
-    return name in NEVER or bool(marks and name not in ("html", "body", *MAIN) and marked(marks))
+    return name in NEVER or bool(marks and name not in ("html", "body", *MAIN, *HEADINGS) and marked(marks))
 
 
 def marked(marks: str) -> bool:
     """Whether an element's class, id or role says that it stands beside the article."""
-    return bool((BESIDE.search(marks) or BESIDE_WHOLE.search(marks)) and not OWN.search(marks))
+    return bool(BESIDE.search(marks) and not OWN.search(marks))
 
 
 def region(wrapper: list) -> list[str]:
@@ -326,11 +339,12 @@ def main_blocks(page: str | None, path: list[str]) -> list[str]:
         return None
 
     def first_main(node):
-        for child in node.children:
-            if child.name in MAIN and not marked(child.marks):
-                return child
-            if child.name and (found := first_main(child)):
-                return found
+        todo = [*reversed(node.children)]
+        while todo:
+            at = todo.pop()
+            if at.name in MAIN and not marked(at.marks):
+                return at
+            todo += reversed(at.children)
         return None
 
     top = (by_path(root, path) if path else None) or first_main(root) or root
@@ -345,21 +359,21 @@ def main_blocks(page: str | None, path: list[str]) -> list[str]:
         if text:
             blocks.append(text)
 
-    def walk(node):
-        for child in node.children:
-            if not child.name:
-                held.append(child.text)
-            elif child.name == "br":
-                held.append(" ")
-            elif not beside(child.name, child.marks) and not (child.name in MAIN and marked(child.marks)):
-                if child.name in BLOCKS:
-                    close()
-                    walk(child)
-                    close()
-                else:
-                    walk(child)
-
-    walk(top)
+    # what is left to be read, last first; None ends a block
+    todo: list[Node | None] = [*reversed(top.children)]
+    while todo:
+        child = todo.pop()
+        if child is None:
+            close()
+        elif not child.name:
+            held.append(child.text)
+        elif child.name == "br":
+            held.append(" ")
+        elif not beside(child.name, child.marks) and not (child.name in MAIN and marked(child.marks)):
+            if child.name in BLOCKS:
+                close()
+                todo.append(None)
+            todo += reversed(child.children)
     close()
     return blocks
 

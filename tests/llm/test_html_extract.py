@@ -90,3 +90,41 @@ def test_marks_are_whole_words_and_content_stays():
     read = lambda t: H.main_text(t, [], set())
     assert read("<div class='main-content side-by-side'>one</div><section class='search-results-analysis'>two</section><div class='tagged-union'>three</div>") == "one\n\ntwo\n\nthree"
     assert read("<p>own</p><div class='related-posts'>x</div><div class='site-notice'>x</div><div class='cookie-banner'>x</div><div class='search-box'>x</div><div id=comments>x</div>") == "own"
+
+
+def test_marks_that_only_hold_a_word_say_nothing(spark):
+    read = lambda t: H.main_text(t, [], set())
+    for outer in ("<div class='layout no-sidebar'>", "<div id='page' class='has-header'>", "<article class='post comments-open'>", "<article class='post-12 type-post category-news tag-cookies'>"):
+        assert read(f"{outer}<p>text</p>{outer[0]}/{outer[1:].split()[0]}>") == "text"
+    assert read("<article><p class='modal-verbs'>a</p><h2 id='navigation'>b</h2><section id='sharing-economy'>c</section><div class='post-comments'>x</div><div class='top-nav-bar'>x</div></article>") == "a\n\nb\n\nc"
+    rows = [(k, "http://a/", f"<div id='top'>Menu</div><div id='page' class='site no-sidebar'><h1>T{k}</h1><p>Text {k}</p></div>") for k in range(8)]
+    rows += [(10 + k, "http://b/", f"<nav>Menu</nav><article id='post-{k}' class='post-{k} type-post tag-cookies'><h1>T{k}</h1><p>Text {k}</p></article>") for k in range(8)]
+    found = texts(spark, rows)
+    assert all(found[k].endswith(f"T{k}\n\nText {k}") and found[10 + k] == f"T{k}\n\nText {k}" for k in range(8))
+
+
+def test_deep_elements_keep_what_they_are(spark):
+    inner = "<nav>menu items</nav><p>body text</p><script>var x=1;</script><style>.a{}</style><footer>foot</footer>"
+    for n in (130, 5000):
+        deep = "<div>" * n + inner + "</div>" * n
+        assert H.main_text(f"<article><p>Lead</p>{deep}</article>", [], set()) == "Lead\n\nbody text"
+        assert H.main_text("<div>" * n + f"<nav>x</nav><article><p>text</p><div>{inner}</div></article>" + "</div>" * n, [], set()) == "text\n\nbody text"
+    rows = [(k, "http://h/", "<div>" * 5000 + f"<nav>m</nav><article><p>text {k}</p>{inner}</article>" + "</div>" * 5000) for k in range(6)]
+    assert texts(spark, rows) == {k: f"text {k}\n\nbody text" for k in range(6)}
+
+
+def test_unlike_pages_lose_no_items(monkeypatch):
+    monkeypatch.setattr(H, "CELLS", 3)
+    read = lambda t: H.expression(H.tree(t))
+    a, b = read("<p>1</p><h2>2</h2><ul></ul>"), read("<table></table><h2>3</h2><pre>4</pre>")
+    labels = [i[H.LABEL] for i in H.align(a, b)]
+    assert {"p", "h2", "ul", "table", "pre"} == set(labels) and labels.count("h2") == 2
+
+
+def test_tags_that_close_nothing_take_linear_time():
+    import time
+
+    began = time.time()
+    for broken in ("<b>" * 100_000 + "<hr>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<li><div>" + "<b>" * 100_000 + "<li>" * 100_000):
+        H.main_text(broken, [], set())
+    assert time.time() - began < 20
