@@ -17,6 +17,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -269,6 +270,7 @@ def beside(name: str, marks: str) -> bool:
     return name in NEVER or bool(marks and name not in ("html", "body", *MAIN, *HEADINGS) and marked(marks))
 
 
+@lru_cache(100_000)
 def marked(marks: str) -> bool:
     """Whether an element's class, id or role says that it stands beside the article."""
     return bool(BESIDE.search(marks) and not OWN.search(marks))
