@@ -47,7 +47,7 @@ class Store:
         store = cls(spark, folder)
         if store.versions():
             raise C.ConflictError(f"{folder} is a store already")
-        store._commit({"version": 0, "key": key, "buckets": buckets, "schema": schema, "base": {}, "deltas": {}}, expect=None)
+        store._commit({"version": 0, "key": key, "buckets": buckets, "schema": schema, "base": {}, "deltas": {}})
         return store
 
     # manifests
@@ -68,7 +68,7 @@ class Store:
         finally:
             stream.close()
 
-    def _commit(self, manifest: dict, expect: int | None) -> bool:
+    def _commit(self, manifest: dict) -> bool:
         """Writes a manifest under its number; False if that is taken. The file is written beside and then given its name, so no reader
         sees half of it."""
         name, beside = f"{self.folder}/versions/{manifest['version']:012d}.json", f"{self.folder}/versions/.{uuid.uuid4().hex}"
@@ -94,7 +94,7 @@ class Store:
             if expect is not None and last["version"] != expect:
                 raise VersionConflict(f"{self.folder} is at version {last['version']}, not {expect}")
             new = make(last) | {"version": last["version"] + 1}
-            if self._commit(new, expect):
+            if self._commit(new):
                 return new["version"]
             if expect is not None:
                 raise VersionConflict(f"{self.folder} has a version {new['version']} already")

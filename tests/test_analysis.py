@@ -2,7 +2,6 @@ import random
 from itertools import product
 
 import pytest
-from pyspark.sql import functions as F
 
 from leafmill.functions import tibetan as T
 from leafmill.operators import analysis as A

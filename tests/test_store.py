@@ -68,7 +68,7 @@ def test_writers_of_one_version_conflict(spark, store):
     with pytest.raises(S.VersionConflict):
         other.upsert(df(spark, [("a", "yours", None, 1)]), expect=version)
     manifest = store.manifest()
-    assert not store._commit(manifest, None) and store.manifest() == manifest  # a number that is taken stays as it is
+    assert not store._commit(manifest) and store.manifest() == manifest  # a number that is taken stays as it is
     other.upsert(df(spark, [("b", "yours", None, 1)]))
     assert set(held(store.read())) == {"a", "b"}
     with pytest.raises(C.ConflictError):

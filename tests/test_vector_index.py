@@ -1,8 +1,6 @@
-import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from leafmill.operators import dedup as D
 from leafmill.operators import vector_index as V
