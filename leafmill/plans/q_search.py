@@ -53,7 +53,22 @@ def idf_topk(spark, d):
     return top_k(hits, "item_id", F.col("score"), "id", 5).select("item_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-@query("ft03_best_clause")
+# clauses: the whole phrase in the label and in the segment, and its three cuts in two in the label
+PART_WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[་།\s]+'), lambda x: x <> '')"
+
+
+@query(
+    "ft03_best_clause",
+    f"""WITH p AS (SELECT p_partkey AS id, {PART_WORDS.format("p_name")} AS l, {PART_WORDS.format("concat_ws(' ', p_type, p_brand, p_name)")} AS s FROM part),
+tk AS (SELECT id, 'l' AS f, unnest(l) AS t FROM p UNION ALL SELECT id, 's', unnest(s) FROM p), tt AS (SELECT f, count(DISTINCT id) AS total FROM tk GROUP BY 1),
+w AS (SELECT f, t, ln(1 + (total - n + 0.5) / (n + 0.5)) AS w FROM (SELECT f, t, count(DISTINCT id) AS n FROM tk GROUP BY 1, 2) JOIN tt USING (f)),
+c AS (SELECT * FROM (VALUES (0, 0, 1, 'l', 1.1, 'economy brand#2 small ring'), (1, 0, 1, 's', 0.9, 'economy brand#2 small ring'), (2, 0, 2, 'l', 0.2, 'economy brand#2'), (2, 1, 2, 'l', 0.2, 'small ring'),
+ (3, 0, 2, 'l', 0.2, 'economy'), (3, 1, 2, 'l', 0.2, 'brand#2 small ring'), (4, 0, 2, 'l', 0.2, 'economy brand#2 small'), (4, 1, 2, 'l', 0.2, 'ring')) v(k, part, parts, f, boost, ph)),
+v AS (SELECT k, part, sum(w) AS score FROM (SELECT k, part, f, unnest(string_split(ph, ' ')) AS t FROM c) JOIN w USING (f, t) GROUP BY 1, 2),
+h AS (SELECT id, k, parts, boost, score FROM p JOIN c ON contains(' ' || array_to_string(CASE c.f WHEN 'l' THEN l ELSE s END, ' ') || ' ', ' ' || ph || ' ') JOIN v USING (k, part)),
+b AS (SELECT id, k, any_value(boost)::DOUBLE * sum(score) AS score FROM h GROUP BY id, k HAVING count(*) = any_value(parts))
+SELECT id, round(score, 6) AS score FROM (SELECT id, max(score) AS score FROM b GROUP BY id ORDER BY 2 DESC, id LIMIT 20)""",
+)
 def best_clause(spark, d):
     part = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("label"), F.concat_ws(" ", "p_type", "p_brand", "p_name").alias("segment"))
     text = "economy brand#2 small ring"
