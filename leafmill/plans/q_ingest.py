@@ -173,6 +173,20 @@ def keys(spark, d):
     return rows.select("o_orderkey", T.volume_id(*args).alias("volume_id"), T.ocr_key(*args).alias("ocr_key"), T.hash_prefix(F.col("w")).alias("folder"), T.image_folder(F.col("w"), F.col("i")).alias("images"))
 
 
-@query("t01_sentence_chunks")
+# each chunk from the one before, as the definition says: the last end of a sentence before the target, else the first up to twice the size,
+# else behind the last space or line end there, else at twice the size
+SENTENCES = r"[།༎༏༐༑༔]+\s*|[.!?]\s+|\n+"
+
+
+@query(
+    "t01_sentence_chunks",
+    rf"""WITH RECURSIVE m AS (SELECT doc_id AS id, coalesce(text, '') AS t, regexp_split_to_array(coalesce(text, ''), '{SENTENCES}') AS p, regexp_extract_all(coalesce(text, ''), '{SENTENCES}') AS g FROM documents),
+e AS (SELECT id, any_value(t) AS t, list(s ORDER BY i) AS ends FROM (SELECT id, t, i, sum(length(x) + length(y)) OVER (PARTITION BY id ORDER BY i) AS s FROM (SELECT id, t, unnest(range(len(g))) AS i, unnest(p[1:len(g)]) AS x, unnest(g) AS y FROM m)) GROUP BY id),
+d AS (SELECT m.id, m.t, coalesce(list_transform(e.ends, lambda x: CAST(x AS BIGINT)), []) AS ends FROM m LEFT JOIN e USING (id)),
+c AS (SELECT id, t, ends, -1 AS n, CAST(0 AS BIGINT) AS cstart, CAST(0 AS BIGINT) AS cend FROM d UNION ALL
+ SELECT id, t, ends, n + 1, cend, CASE WHEN length(t) - cend <= {I.CHUNK} THEN length(t) ELSE coalesce(list_max(list_filter(ends, lambda x: x > cend AND x < cend + {I.CHUNK})), list_min(list_filter(ends, lambda x: x >= cend + {I.CHUNK} AND x <= least(length(t), cend + {2 * I.CHUNK}))),
+  least(length(t), cend + {2 * I.CHUNK}) + 1 - nullif(instr(reverse(replace(substr(t, CAST(cend + 2 AS INT), CAST(least(length(t), cend + {2 * I.CHUNK}) - cend - 1 AS INT)), chr(10), ' ')), ' '), 0), least(length(t), cend + {2 * I.CHUNK})) END FROM c WHERE cend < length(t))
+SELECT id, CAST(n AS INT) AS n, CAST(cstart AS INT) AS cstart, CAST(cend AS INT) AS cend, md5(substr(t, CAST(cstart + 1 AS INT), CAST(cend - cstart AS INT))) AS text_md5 FROM c WHERE n >= 0""",
+)
 def sentence_chunks(spark, d):
     return I.chunked(t(spark, d, "documents"), "doc_id", "text").select("id", "n", "cstart", "cend", F.md5("text").alias("text_md5"))
