@@ -72,8 +72,8 @@ class Catalog:
         if modified_by:
             rows = rows.where(F.col("curation")["modified_by"] == modified_by)
         if label:
-            posts = S.postings(rows, "id", ["pref_label_bo"])
-            phrase = S.phrase_table(self.spark.createDataFrame([(0, 0, label)], "q int, slop int, phrase string"))
+            posts = S.texts(rows, "id", ["pref_label_bo"])
+            phrase = S.phrase_words(self.spark.createDataFrame([(0, 0, label)], "q int, slop int, phrase string"))
             rows = rows.join(S.phrase_hits(posts, phrase, ["q"]).select("id"), "id", "left_semi")
         return rows
 
@@ -164,7 +164,7 @@ class Catalog:
         clauses = [c for c in S.plan(text, tokens, " ") if c.scope == "top"]
         if not clauses:
             return rows.orderBy("id").limit(size)
-        posts = S.postings(rows, "id", ["pref_label_bo", "alt_label_bo"])
+        posts = S.texts(rows, "id", ["pref_label_bo", "alt_label_bo"])
         return S.search(self.spark, {"top": posts}, clauses, S.TOP_FIELDS, size).join(rows, "id")
 
     def find_work(self, text: str | None = None, volume_id: str | None = None, cstart: int | None = None, cend: int | None = None, size: int = 20) -> DataFrame:

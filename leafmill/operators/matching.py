@@ -22,9 +22,9 @@ def sample_phrases(texts: DataFrame, id: str, text: str) -> DataFrame:
 
 def volume_scores(texts: DataFrame, id: str, text: str, chunks: DataFrame, titles: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
     """query, volume_id, score: for each sample the best of a volume's chunks, boosted, and its beginning in the titles, added up.
-    chunks: postings whose id is struct<volume_id, n>; a sample must be within one chunk. titles: postings by volume_id. own: the
+    chunks: texts or postings whose id is struct<volume_id, n>; a sample must be within one chunk. titles: the same by volume_id. own: the
     volumes (query, volume_id) that a query leaves out; they count for the weights of tokens all the same."""
-    phrases = S.phrase_table(sample_phrases(texts, id, text))
+    phrases = S.phrase_words(sample_phrases(texts, id, text))
     hits = S.scored_hits(chunks, phrases, ["query", "sample"])
     boost = F.lit(1.0)
     for sample, value in BOOSTS.items():
@@ -39,10 +39,10 @@ def volume_scores(texts: DataFrame, id: str, text: str, chunks: DataFrame, title
 
 
 def volume_postings(volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings of volumes' (VOLUMES) chunks, by struct<volume_id, n>, and of the titles of their segments, by volume."""
+    """Tokens of volumes' (VOLUMES) chunks, by struct<volume_id, n>, and of the titles of their segments, by volume."""
     chunks = volumes.select("id", F.posexplode("chunks").alias("n", "_c")).select(F.struct(F.col("id").alias("volume_id"), "n").alias("place"), F.col("_c")["text_bo"].alias("text"))
     titles = volumes.select("id", F.flatten(F.transform("segments", lambda s: F.coalesce(s["title_bo"], F.array().cast("array<string>")))).alias("title"))
-    return S.postings(chunks, "place", ["text"]), S.postings(titles, "id", ["title"])
+    return S.texts(chunks, "place", ["text"]), S.texts(titles, "id", ["title"])
 
 
 def segment_texts(volumes: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Phrase search over positional postings, with idf scoring (term frequency and length do not count) and best-clause combination.
 
-Postings are a table (id, field, pos, token); queries are tables of phrases, so many queries run as one plan. A phrase is found by
-joining its tokens with the postings and looking at the offsets of the hits, so nothing depends on the number of documents.
+Texts are a table (id, field, w) or postings (id, field, pos, token); queries are tables of phrases, so many queries run as one plan.
+Phrases are looked up in the texts where these lie (phrase_finder.py), so only what is found is shuffled.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.operators import phrase_finder
 from leafmill.operators.dedup import idf
-from leafmill.staging import small, spread
+from leafmill.staging import small, spread, staged
 
 SLOP_EVERY, SLOP_MOST = 6, 5
-#: Tokens of the runs by which exact phrases are looked up; phrases' rows are broadcast up to so many, and else joined by a shuffle.
-GRAM, TERMS = 3, 500_000
+#: Rows of phrases and tokens are broadcast up to so many, and else joined by a shuffle.
+TERMS = 500_000
 FULL, SPLIT = 1.1, 0.2
 # Weights of the fields of records and of their segments, as parts of a best-field phrase match.
 TOP_FIELDS = {"pref_label_bo": 1.0, "pref_label_bo.tibetan-phonetic": 0.90, "alt_label_bo": 0.95, "alt_label_bo.tibetan-phonetic": 0.85}
@@ -53,58 +54,90 @@ def postings(docs: DataFrame, id: str, fields: list[str], analyzer: str = "words
     return out
 
 
+def texts(docs: DataFrame, id: str, fields: list[str], analyzer: str = "words") -> DataFrame:
+    """id, field, w: the tokens of the fields of docs, side by side; array fields have one row for each element. What postings() tells, with
+    each text in one row."""
+    out = None
+    docs = spread(docs.select(id, *fields))
+    for field in fields:
+        value = F.explode(field) if docs.schema[field].dataType.typeName() == "array" else F.col(field)
+        each = docs.select(F.col(id).alias("id"), F.lit(field).alias("field"), value.alias("_v")).where(F.col("_v").isNotNull())
+        rows = each.select("id", "field", ANALYZERS[analyzer](F.col("_v")).alias("w"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _distinct_ids(posts: DataFrame, by: list[str], rows: DataFrame) -> DataFrame:
+    """by, n: the ids that rows (id, by; once for each row of texts) have by `by`. Only ids of several rows are told apart by a shuffle."""
+    several = staged(posts.groupBy("id", "field").count().where("count > 1").select("id", "field"), "several")
+    once, twice = rows, None
+    if several.limit(1).count():
+        several = small(several, TERMS)
+        once, twice = rows.join(several, ["id", "field"], "left_anti"), rows.join(several, ["id", "field"], "left_semi").distinct()
+    counted = once.groupBy(*by).agg(F.count("*").alias("n"))
+    return counted if twice is None else counted.unionByName(twice.groupBy(*by).agg(F.count("*").alias("n"))).groupBy(*by).agg(F.sum("n").alias("n"))
+
+
 def weights(posts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """field, token, weight: idf of the tokens of each field among the documents that have the field; of the tokens in terms only,
-    if given."""
-    total = posts.groupBy("field").agg(F.count_distinct("id").alias("_t"))
-    asked = posts if terms is None else posts.join(small(terms.select("token").distinct(), TERMS), "token", "left_semi")
-    held = asked.groupBy("field", "token").agg(F.count_distinct("id").alias("_n"))
+    if given. posts: of postings or texts."""
+    asked = None if terms is None else small(staged(terms.select("token").distinct(), "terms"), TERMS)
+    of_asked = lambda rows: rows if asked is None else rows.join(asked, "token", "left_semi")
+    if "w" in posts.columns:
+        total = _distinct_ids(posts, ["field"], posts.where(F.size("w") > 0).select("id", "field")).withColumnRenamed("n", "_t")
+        tokens = posts.select("id", "field", F.explode(F.array_distinct("w")).alias("token"))
+        held = _distinct_ids(posts, ["field", "token"], of_asked(tokens)).withColumnRenamed("n", "_n")
+    else:
+        total = posts.groupBy("field").agg(F.count_distinct("id").alias("_t"))
+        held = of_asked(posts).groupBy("field", "token").agg(F.count_distinct("id").alias("_n"))
     return held.join(F.broadcast(total), "field").select("field", "token", idf(F.col("_n"), F.col("_t")).alias("weight"))
 
 
-def phrase_table(phrases: DataFrame, text: str = "phrase", analyzer: str = "words") -> DataFrame:
-    """phrases with a row for each token: qpos, token, n. Other columns (query, clause, slop) stay."""
+def phrase_words(phrases: DataFrame, text: str = "phrase", analyzer: str = "words") -> DataFrame:
+    """phrases with w, their tokens, and n; those without tokens go. Other columns (query, clause, slop) stay."""
     keep = [c for c in phrases.columns if c != text]
-    toks = phrases.select(*keep, ANALYZERS[analyzer](F.col(text)).alias("_w"))
-    return toks.select(*keep, F.size("_w").alias("n"), F.posexplode("_w").alias("qpos", "token"))
+    return phrases.select(*keep, ANALYZERS[analyzer](F.col(text)).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
+
+
+def phrase_table(phrases: DataFrame, text: str = "phrase", analyzer: str = "words") -> DataFrame:
+    """phrase_words with a row for each token: qpos, token, n."""
+    toks = phrase_words(phrases, text, analyzer)
+    return toks.select(*(c for c in toks.columns if c != "w"), F.posexplode("w").alias("qpos", "token"))
+
+
+def _found(posts: DataFrame, phrases: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The phrases, staged, one row each, and id, field, p of the phrases p found. posts: of postings or texts; phrases: of phrase_words
+    or phrase_table."""
+    if "w" not in phrases.columns:
+        rows = phrases.groupBy(*by, "slop", "n").agg(F.array_sort(F.collect_list(F.struct("qpos", "token"))).alias("w"))
+        phrases = rows.withColumn("w", F.col("w")["token"])
+    own = staged(phrase_finder.keyed(phrases.select(*by, "slop", "n", "w")), "phrases")
+    if "w" in posts.columns:
+        hashed = posts.select("id", "field", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.lit(None).cast("array<long>").alias("pos"))
+    else:
+        rows = posts.groupBy("id", "field").agg(F.array_sort(F.collect_set(F.struct(F.col("pos").cast("long").alias("pos"), F.xxhash64("token").alias("h")))).alias("_w"))
+        hashed = rows.select("id", "field", F.col("_w")["h"].alias("h"), F.col("_w")["pos"].alias("pos"))
+    return own, phrase_finder.found(hashed, own)
 
 
 def phrase_hits(posts: DataFrame, phrases: DataFrame, by: list[str]) -> DataFrame:
-    """by, id, field, once for each phrase (rows of one value of by) found in a field: all tokens at one offset or, with slop, within
-    slop positions of it. phrases: by, slop, n, qpos, token.
-
-    Exact phrases of GRAM tokens and more are looked up by their runs of GRAM tokens, of which all must be found at one offset:
-    a common token alone then joins with nothing. Postings of tokens that no phrase has leave first."""
-    keep = [*by, "id", "field"]
-    whole = (F.col("slop") == 0) & (F.col("n") >= GRAM)
-    order = Window.partitionBy(*by).orderBy("qpos")
-    ahead = [F.lead("token", k).over(order).alias(f"t{k}") for k in range(1, GRAM)]
-    runs = phrases.where(whole).select(*by, "n", "qpos", "token", *ahead).where(F.col(f"t{GRAM - 1}").isNotNull())
-    place = Window.partitionBy("id", "field").orderBy("pos")
-    near_by = [F.when(F.lead("pos", k).over(place) == F.col("pos") + k, F.lead("token", k).over(place)).alias(f"t{k}") for k in range(1, GRAM)]
-    known = posts.join(small(phrases.where(whole).select("token").distinct(), TERMS), "token", "left_semi")
-    grams = known.select("id", "field", "pos", "token", *near_by).where(F.col(f"t{GRAM - 1}").isNotNull())
-    found = grams.join(small(runs, TERMS), ["token", *(f"t{k}" for k in range(1, GRAM))])
-    long = found.groupBy(*keep, (F.col("pos") - F.col("qpos")).alias("offset"), "n").agg(F.count_distinct("qpos").alias("found"))
-    long = long.where(F.col("found") == F.col("n") - (GRAM - 1)).select(*keep)
-
-    other = phrases.where(~whole)
-    near = posts.join(small(other, TERMS), "token").select(*keep, "n", "slop", "qpos", (F.col("pos") - F.col("qpos")).alias("offset"))
-    # a hit counts for all windows of slop positions that hold it; some window that holds all tokens starts at a hit
-    window = F.explode(F.sequence(F.col("offset") - F.col("slop"), F.col("offset")))
-    loose = near.withColumn("offset", window).groupBy(*keep, "offset", "n").agg(F.count_distinct("qpos").alias("found")).where("found = n").select(*keep)
-    return long.unionByName(loose).distinct()
+    """by, id, field, once for each phrase (one value of by) found in a field: all tokens at one offset or, with slop, within slop
+    positions of it."""
+    own, hits = _found(posts, phrases, by)
+    return hits.join(small(own.select(*by, "p"), TERMS), "p").select(*by, "id", "field")
 
 
 def scored_hits(posts: DataFrame, phrases: DataFrame, by: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
     """by, id, score: the best field's sum of the weights of a phrase's tokens, times the field's boost."""
-    hits = phrase_hits(posts, phrases, by)
-    terms = phrases.select(*by, "token")
-    worth = terms.join(weights(posts, terms), "token").groupBy(*by, "field").agg(F.sum("weight").alias("_w"))
+    own, hits = _found(posts, phrases, by)
+    words = own.select("p", F.explode("w").alias("token"))
+    weight = small(staged(weights(posts, words), "weights"), TERMS)
+    worth = own.dropDuplicates(["p"]).select("p", F.explode("w").alias("token")).join(weight, "token").groupBy("p", "field").agg(F.sum("weight").alias("_w"))
     boost = F.lit(1.0)
     for field, value in (boosts or {}).items():
         boost = F.when(F.col("field") == field, value).otherwise(boost)
-    return hits.join(worth, [*by, "field"]).groupBy(*by, "id").agg(F.max(F.col("_w") * boost).alias("score"))
+    best = hits.join(worth, ["p", "field"]).groupBy("p", "id").agg(F.max(F.col("_w") * boost).alias("score"))
+    return best.join(small(own.select(*by, "p"), TERMS), "p").select(*by, "id", "score")
 
 
 def slop_of(n: int) -> int:
@@ -149,7 +182,7 @@ def search(spark: SparkSession, posts: dict[str, DataFrame], clauses: list[Claus
     """id, score: the best clause's score, highest first, ties by id; size rows. posts: postings by scope."""
     rows = [(k, p, c.scope, c.slop, c.boost, len(c.phrases), phrase) for k, c in enumerate(clauses) for p, phrase in enumerate(c.phrases)]
     table = spark.createDataFrame(rows, "clause int, part int, scope string, slop int, boost double, parts int, phrase string")
-    phrases = phrase_table(table, "phrase", analyzer)
+    phrases = phrase_words(table, "phrase", analyzer)
     out = None
     for scope in sorted({c.scope for c in clauses} & set(posts)):
         own = phrases.where(F.col("scope") == scope)

@@ -24,11 +24,11 @@ ws AS (SELECT item_id, sum(ln(1 + (total - n + 0.5) / (n + 0.5))) AS score FROM
 
 def phrases(spark, d, slop=0) -> DataFrame:
     first = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"[་།\s]+"), lambda x: x != ""), 1, 8), " ")
-    return S.phrase_table(t(spark, d, "benchmark").select("item_id", F.lit(slop).alias("slop"), first.alias("phrase")))
+    return S.phrase_words(t(spark, d, "benchmark").select("item_id", F.lit(slop).alias("slop"), first.alias("phrase")))
 
 
 def posts(spark, d) -> DataFrame:
-    return S.postings(t(spark, d, "documents"), "doc_id", ["text"])
+    return S.texts(t(spark, d, "documents"), "doc_id", ["text"])
 
 
 @query("ft02_phrase", f"WITH {SEARCH_SQL} SELECT item_id, doc_id AS id FROM hit")
@@ -72,7 +72,7 @@ SELECT id, round(score, 6) AS score FROM (SELECT id, max(score) AS score FROM b
 def best_clause(spark, d):
     part = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("label"), F.concat_ws(" ", "p_type", "p_brand", "p_name").alias("segment"))
     text = "economy brand#2 small ring"
-    by_scope = {"top": S.postings(part, "p_partkey", ["label"]), "segments": S.postings(part, "p_partkey", ["segment"])}
+    by_scope = {"top": S.texts(part, "p_partkey", ["label"]), "segments": S.texts(part, "p_partkey", ["segment"])}
     return S.search(spark, by_scope, S.plan(text, text.split(), " "), {"segment": 0.9}).select("id", F.round("score", 6).alias("score"))
 
 
@@ -87,7 +87,7 @@ wa AS (SELECT vs.item_id, source AS wa_id, max(score) AS score, count(DISTINCT v
 
 def volume_scores(spark, d) -> DataFrame:
     p = posts(spark, d)
-    chunks = p.select(F.struct(F.col("id").alias("volume_id"), F.lit(0).alias("n")).alias("id"), "field", "pos", "token")
+    chunks = p.select(F.struct(F.col("id").alias("volume_id"), F.lit(0).alias("n")).alias("id"), "field", "w")
     return X.volume_scores(t(spark, d, "benchmark"), "item_id", "text", chunks)
 
 
