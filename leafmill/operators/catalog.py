@@ -1,7 +1,7 @@
 """Catalog records: listing, reports, joins to authors, upserts that keep curation, releases, merges, deletes, propagation, audit.
 
 State changes are functions from a snapshot and a table of commands to the next snapshot, or to (record, outcome) rows; a caller
-writes the result. Nothing is collected.
+writes the result. Nothing is collected; canonical() stores its steps in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.schemas import MOST_HALF
+from leafmill.staging import dropped, staged
 
 
 class NotFoundError(LookupError):
@@ -132,15 +133,19 @@ def delete_outcomes(ids: DataFrame, records: DataFrame, used: DataFrame, prefix:
 
 def canonical(records: DataFrame, steps: int = 16) -> DataFrame:
     """id, canonical: where the chain of canonical_id leads, by doubling; steps doublings reach 2**steps links. Ids in a cycle or
-    beyond an unknown record stop where the walk does."""
+    beyond an unknown record stop where the walk does. Only records that lead elsewhere take part, and each doubling starts from the
+    stored one before it."""
     hop = records.select("id", F.coalesce(F.when(F.col("record_status") == "duplicate", F.col("canonical_id")), F.col("id")).alias("to"))
+    links = staged(hop.where(~F.col("to").eqNullSafe(F.col("id"))), "links")
     for _ in range(steps):
-        up = hop.select(F.col("id").alias("_i"), F.col("to").alias("_t"))
-        step = hop.join(up, F.col("to") == F.col("_i"), "left").select("id", F.coalesce("_t", "to").alias("next"), "to")
-        if step.where(F.col("next") != F.col("to")).isEmpty():
+        up = links.select(F.col("id").alias("_i"), F.col("to").alias("_t"))
+        step = staged(links.join(up, F.col("to") == F.col("_i"), "left").select("id", F.coalesce("_t", "to").alias("to"), (F.col("_t") != F.col("to")).alias("moved")), "links")
+        done = step.where("moved").isEmpty()
+        dropped(links)
+        links = step
+        if done:
             break
-        hop = step.select("id", F.col("next").alias("to"))
-    return hop.withColumnRenamed("to", "canonical")
+    return hop.where(F.col("to").eqNullSafe(F.col("id"))).unionByName(links.select("id", "to")).withColumnRenamed("to", "canonical")
 
 
 def activated(segments: DataFrame, works: DataFrame, persons: DataFrame, keep_deleted: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.operators import catalog as C
@@ -16,8 +16,12 @@ def t(spark, d, name) -> DataFrame:
 def works(spark, d) -> DataFrame:
     """Orders as works: authors are the distinct suppliers of their line items by line."""
     lines = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda s: s["l_suppkey"]).alias("authors"))
-    status = F.when(F.col("o_orderstatus") == "F", "active").when(F.col("o_orderkey") % 7 == 0, "duplicate").when(F.col("o_orderkey") % 11 == 0, "withdrawn").when(F.col("o_orderkey") % 13 == 0, "deleted").otherwise("new")
-    return t(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("id"), "authors", status.alias("record_status"))
+    return t(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("id"), "authors", record_status().alias("record_status"))
+
+
+def record_status() -> Column:
+    """The status of an order as a work."""
+    return F.when(F.col("o_orderstatus") == "F", "active").when(F.col("o_orderkey") % 7 == 0, "duplicate").when(F.col("o_orderkey") % 11 == 0, "withdrawn").when(F.col("o_orderkey") % 13 == 0, "deleted").otherwise("new")
 
 
 WORKS_SQL = """wk AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'active' WHEN o_orderkey % 7 = 0 THEN 'duplicate' WHEN o_orderkey % 11 = 0 THEN 'withdrawn' WHEN o_orderkey % 13 = 0 THEN 'deleted' ELSE 'new' END AS record_status FROM orders)"""
@@ -157,7 +161,7 @@ def mark_batch(spark, d):
 @query("t16_follow_canonical", f"""WITH RECURSIVE {WORKS_SQL}, h AS (SELECT id, CASE WHEN record_status = 'duplicate' AND id >= 7 THEN id - 7 ELSE id END AS nx FROM wk), w(id, cur) AS (SELECT id, id FROM h UNION SELECT w.id, h.nx FROM w JOIN h ON h.id = w.cur)
 SELECT id, min(cur) AS canonical FROM w GROUP BY 1""")
 def follow_canonical(spark, d):
-    own = works(spark, d).select("id", "record_status", F.when(F.col("id") >= 7, F.col("id") - 7).otherwise(F.col("id")).alias("canonical_id"))
+    own = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), record_status().alias("record_status")).select("id", "record_status", F.when(F.col("id") >= 7, F.col("id") - 7).otherwise(F.col("id")).alias("canonical_id"))
     return C.canonical(own)
 
 
