@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import staged
+from leafmill.llm.common import give_back, staged, trimmed
 
 #: Distinct pieces in the broadcast dictionary, at most.
 DICTIONARY = 1 << 18
@@ -183,7 +183,7 @@ def piece_counts(docs: DataFrame, pattern: str) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(trimmed(run), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def dictionary(docs: DataFrame, pattern: str, maps: Column, most: int) -> DataFrame:
@@ -233,6 +233,8 @@ def encoder(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int =
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
             raw = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
             _KNOWN[name] = {p.as_py().decode(): raw[4 * a : 4 * b] for p, a, b in zip(table["piece"], ends, ends[1:])}
+            del table, lists, ends, raw
+            give_back()
         known, split, ranked = _KNOWN[name], Splitter(pattern), every.value
 
         def coded(word):
@@ -278,7 +280,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = D
     empty results. The dictionary has at most `most` pieces and is broadcast; it decides the work, not the result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encoder(docs, ranks, pattern, most), f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(encoder(docs, ranks, pattern, most)), f"doc_id {kind}, ids array<int>")
 
 
 def decoder(spark: SparkSession, ranks: dict[bytes, int]):
@@ -299,7 +301,7 @@ def decoder(spark: SparkSession, ranks: dict[bytes, int]):
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Per row of encoded (doc_id, ids): doc_id, ids, decoded: the concatenated bytes of the ids; null ids decode as none."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(decoder(encoded.sparkSession, ranks), f"doc_id {kind}, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(decoder(encoded.sparkSession, ranks)), f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -317,4 +319,4 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
             ids = [x.values.to_numpy().astype("<u4").tobytes() if x.is_valid and len(x.values) else b"" for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in batch.column("decoded")], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -78,6 +78,29 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), "")
 
 
+def give_back() -> None:
+    """Gives memory that this process has freed back to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(run):
+    """run, a function of batches, after which its worker gives back what it has freed: workers live on, and what one stage held would
+    add to the memory of the next."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def map_columns(df: DataFrame, f, schema: str) -> DataFrame:
     """df through f, batch by batch on the executors: f gets the batch's columns as lists and returns the new columns as lists in
     schema's order. Batches are cut so that their texts stay near 4 MB, whatever the length of one text."""
@@ -97,6 +120,5 @@ def map_columns(df: DataFrame, f, schema: str) -> DataFrame:
                 part = batch.slice(at, step)
                 columns = f(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, out.types, strict=True)], schema=out)
-        pa.default_memory_pool().release_unused()  # the worker lives on
 
-    return df.mapInArrow(run, kind)
+    return df.mapInArrow(trimmed(run), kind)

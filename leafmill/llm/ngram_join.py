@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import dropped, small, staged
+from leafmill.llm.common import dropped, small, staged, trimmed
 from leafmill.llm.hashing import WordIds, mixed, ngrams
 
 #: Tokens in this share of a batch's documents are frequent; the list has the commonest FREQUENT_MOST of them. Which tokens are
@@ -153,9 +153,8 @@ def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
             for at in range(0, batch.num_rows, step):
                 columns = f(*(c.to_pylist() for c in batch.slice(at, step).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, out.types, strict=True)], schema=out)
-        pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, kind)
+    return docs.mapInArrow(trimmed(run), kind)
 
 
 def nodes(docs: DataFrame, n: int) -> DataFrame:
@@ -316,7 +315,7 @@ class Sets:
                 may = [(num + den) * (x + y - apart(p, q)) >= 2 * num * (x + y) for x, y, p, q in zip(na, nb, ma, mb)]
                 yield batch.select(kept).filter(pa.array(may, pa.bool_()))
 
-        return both.mapInArrow(run, both.select(kept).schema)
+        return both.mapInArrow(trimmed(run), both.select(kept).schema)
 
     def linked(self, near: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Those pairs of near() that are similar enough, written; their token sets are fetched unless given."""
@@ -403,7 +402,7 @@ def list_pairs(rows: DataFrame, num: int, den: int, most: int) -> DataFrame:
                 yield out(a, b, star == 1, np.full(len(a), None))
 
     dealt = rows.repartition("tok").sortWithinPartitions("tok", "node")
-    return dealt.mapInArrow(run, "a long, b long, star boolean, tok long")
+    return dealt.mapInArrow(trimmed(run), "a long, b long, star boolean, tok long")
 
 
 def contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -548,7 +547,7 @@ def close_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
         if found:
             yield _pairs_batch(found)
 
-    return rows.select("tok", "bi", "bj", "block", "node", "comp", "size", "homes", "bits").mapInArrow(run, "a long, b long")
+    return rows.select("tok", "bi", "bj", "block", "node", "comp", "size", "homes", "bits").mapInArrow(trimmed(run), "a long, b long")
 
 
 def joining_links(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -574,7 +573,7 @@ def joining_links(rows: DataFrame, num: int, den: int) -> DataFrame:
             if found:
                 yield _pairs_batch(found)
 
-    return rows.select("tok", "bi", "bj", "block", "node", "comp", "tokens").mapInArrow(run, "a long, b long")
+    return rows.select("tok", "bi", "bj", "block", "node", "comp", "tokens").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _with_end(batches):

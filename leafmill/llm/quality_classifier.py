@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import map_columns, staged
+from leafmill.llm.common import map_columns, staged, trimmed
 
 #: At most so many labelled rows are fitted, the first by the hash of their doc_id.
 FIT_ROWS = 20_000
@@ -145,7 +145,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, f
                 x = np.array([document_statistics(t.as_py()) for t in part.column(at)], dtype=float).reshape(part.num_rows, len(FEATURES))
                 yield part.filter(pa.array(forest.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS) -> DataFrame:
