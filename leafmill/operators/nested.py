@@ -65,13 +65,25 @@ def search_elements(texts: DataFrame, analyzer: Analyzer | str, phrases: DataFra
     several = own.where("value > 0").select(element.alias("_e")).distinct()
     more = own.select("field", element.alias("_e")).join(small(several, S.TERMS), "_e", "left_semi").groupBy("field", "_e").agg((1 - F.count("*")).alias("_t"))
     total = own.groupBy("field").agg(F.count("*").alias("_t")).unionByName(more.select("field", "_t")).groupBy("field").agg(F.sum("_t").alias("_t"))
-    return _scored(text_hits(named, KEYS, "text", analyzer, phrases, by, presence), presence, total, phrases, by, boosts)
+    rows = named.groupBy("parent", "child", "element", "field").count().where("count > 1")
+    repeated = staged(rows.select(element.alias("_e")), "repeated")
+    return _scored(text_hits(named, KEYS, "text", analyzer, phrases, by, presence), presence, total, phrases, by, boosts, repeated)
 
 
-def _scored(hits: DataFrame, held: DataFrame, total: DataFrame, phrases: DataFrame, by: list[str], boosts: dict[str, float] | None) -> DataFrame:
-    """hits with score. held: KEYS and token; total: field, and _t elements that have it."""
+def _scored(hits: DataFrame, held: DataFrame, total: DataFrame, phrases: DataFrame, by: list[str], boosts: dict[str, float] | None, repeated: DataFrame | None = None) -> DataFrame:
+    """hits with score. held: KEYS and token; total: field, and _t elements that have it. repeated: the elements (_e) of which held may
+    have a token more than once, if they are known, so that only their rows are shuffled to be told apart."""
     asked = small(phrases.select("token").distinct(), S.TERMS)
-    counts = held.join(asked, "token", "left_semi").groupBy("field", "token").agg(F.count_distinct(F.struct("parent", "child", "element")).alias("_h"))
+    own = held.join(asked, "token", "left_semi")
+    told = lambda rows: rows.groupBy("field", "token").agg(F.count_distinct(F.struct("parent", "child", "element")).alias("_h"))
+    if repeated is None:
+        counts = told(own)
+    elif repeated.isEmpty():
+        counts = own.groupBy("field", "token").agg(F.count("*").alias("_h"))
+    else:
+        own, many = own.withColumn("_e", F.struct("parent", "child", "element", "field")), small(repeated, S.TERMS)
+        once = own.join(many, "_e", "left_anti").groupBy("field", "token").agg(F.count("*").alias("_h"))
+        counts = once.unionByName(told(own.join(many, "_e", "left_semi"))).groupBy("field", "token").agg(F.sum("_h").alias("_h"))
     weight = counts.join(F.broadcast(total), "field").select("field", "token", idf(F.col("_h"), F.col("_t")).alias("weight"))
     weight = staged(weight, "weights")
     worth = phrases.select(*by, "token").join(small(weight, S.TERMS), "token").groupBy(*by, "field").agg(F.sum("weight").alias("_w"))
