@@ -3,8 +3,8 @@
 The pre-tokeniser's pieces are counted over the whole corpus; the distinct pieces that occur most often are encoded once each by a
 fold of Spark's higher-order functions over their bytes, which looks adjacent pairs up in a literal rank map and merges the
 leftmost pair of least rank until none has a rank. Documents are then written as ids by these pieces, from a broadcast
-dictionary of bounded size. Pieces beyond it are merged in the worker by the same rule: inside the fold, each costs
-several times as much, and a few per cent of all occurrences are such. Decoding concatenates the ids' bytes.
+dictionary of bounded size. Pieces beyond it are merged in the worker by the same rule, those of many texts side by side
+in arrays: inside the fold, each costs many times as much, and a few per cent of all occurrences are such. Decoding concatenates the ids' bytes.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ DICTIONARY = 1 << 18
 MOST_COUNT = 10_000
 #: A worker hands its counts on when it holds so many distinct pieces.
 COUNTED = 100_000
-#: A worker remembers so many space-separated words, then starts afresh.
+#: A worker remembers so many space-separated words; beyond them, only those of its last texts.
 REMEMBERED = 50_000
 #: The fold takes time with the square of a piece's bytes; longer pieces are merged with a heap.
 LONG = 256
@@ -109,7 +109,7 @@ def merged_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def merged_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a short piece: the leftmost pair of least rank is merged until none has a rank."""
+    """The ids of one short piece, as Merges.merged gives them for many: the leftmost pair of least rank is merged until none has a rank."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     pairs = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
     while pairs and (least := min(pairs)) != _NONE:
@@ -123,6 +123,64 @@ def merged_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts]
 
 
+class Merges:
+    """The merges of a rank map as arrays: which two neighbours (ids, or numbers beyond the ranks for bytes without one) make which id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks_end = max(ranks.values(), default=-1) + 1
+        ids = {bytes([b]): self.ranks_end + b for b in range(256)} | ranks
+        self.bytes = np.array([ids[bytes([b])] for b in range(256)], dtype=np.int64)
+        made = {(ids[t[:k]] << 32) | ids[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
+        # the last key is no pair's
+        self.keys = np.array([*sorted(made), 2**63 - 1], dtype=np.int64)
+        self.made = np.array([*(made[k] for k in self.keys[:-1].tolist()), _NONE], dtype=np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left << 32) | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.made[at], _NONE)
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of short pieces as little-endian 32-bit integers: in every round each piece's leftmost pair of least rank is merged;
+        pieces without a pair that has a rank are done."""
+        ids = self.bytes[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        own = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        pair = np.full(len(ids), _NONE)  # of each id with the next one of its piece
+        inside = np.flatnonzero(own[1:] == own[:-1])
+        pair[inside] = self._ranks(ids[inside], ids[inside + 1])
+        done = []
+        while len(ids):
+            new = np.ones(len(own), dtype=bool)
+            new[1:] = own[1:] != own[:-1]
+            starts = np.flatnonzero(new)
+            sizes = np.diff(starts, append=len(own))
+            least = np.repeat(np.minimum.reduceat(pair, starts), sizes)
+            live = least != _NONE
+            if not live.all():
+                done.append((own[~live], ids[~live]))
+                ids, own, pair, least = ids[live], own[live], pair[live], least[live]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(pair == least)
+            hit = hit[np.concatenate([[True], own[hit[1:]] != own[hit[:-1]]])]
+            ids[hit] = pair[hit]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[hit + 1] = False
+            ids, own, pair = ids[keep], own[keep], pair[keep]
+            hit = hit - np.arange(len(hit))  # one id was taken out for each piece before
+            for left in (hit, hit[hit > 0] - 1):
+                ends = (left + 1 >= len(own)) | (own[np.minimum(left + 1, len(own) - 1)] != own[left])
+                pair[left[ends]] = _NONE
+                left = left[~ends]
+                pair[left] = self._ranks(ids[left], ids[left + 1])
+        own, ids = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        if len(ids) and ids.max() >= self.ranks_end:
+            raise KeyError(bytes([int(ids.max()) - self.ranks_end]))
+        raw = ids[np.argsort(own, kind="stable")].astype("<i4").tobytes()
+        ends = np.concatenate([[0], 4 * np.cumsum(np.bincount(own, minlength=len(pieces)))]).tolist()
+        return [raw[x:y] for x, y in zip(ends, ends[1:])]
+
+
 _NONE = 1 << 40
 
 
@@ -138,7 +196,7 @@ class Splitter:
     def words(self, text: str) -> tuple[str, list[str]]:
         """The first word and the others, which have a space before them, each to be cut into pieces by itself. The whole text is the
         first word if it has white space at an end or side by side."""
-        if _TOUCHING(text):
+        if text[:1].isspace() or text[-1:].isspace() or _TOUCHING(text):
             return text, []
         first, *others = text.split(" ")
         return first, others
@@ -152,7 +210,7 @@ class Splitter:
         return self.find(word)
 
 
-_TOUCHING = re.compile(r"\s\s|\A\s|\s\Z").search
+_TOUCHING = re.compile(r"\s\s").search
 # Marks that end a piece of letters and are a piece by themselves at a word's end.
 _MARKS = tuple(".,;:!?")
 
@@ -166,11 +224,11 @@ def piece_counts(docs: DataFrame, pattern: str) -> DataFrame:
         split, counts, firsts = Splitter(pattern), Counter(), Counter()
 
         def flush():
-            pieces: Counter = Counter()
+            pieces: dict[str, int] = {}
             for space, words in ((" ", counts), ("", firsts)):
                 for word, n in words.items():
                     for piece in split.pieces(space + word):
-                        pieces[piece] += n
+                        pieces[piece] = pieces.get(piece, 0) + n
                 words.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.string()), pa.array(list(pieces.values()), pa.int64())], names=["piece", "n"])
 
@@ -220,7 +278,7 @@ def encoder(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int =
     spark = docs.sparkSession
     sent, name = spark.sparkContext.broadcast(sink.getvalue()), uuid.uuid4().hex
     del sink
-    every = spark.sparkContext.broadcast(ranks)
+    merges, every = spark.sparkContext.broadcast(Merges(ranks)), spark.sparkContext.broadcast(ranks)
 
     def run(batches):
         from leafmill.llm.byte_bpe import _KNOWN  # the worker's own, kept between tasks
@@ -235,36 +293,32 @@ def encoder(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int =
             _KNOWN[name] = {p.as_py().decode(): raw[4 * a : 4 * b] for p, a, b in zip(table["piece"], ends, ends[1:])}
             del table, lists, ends, raw
             give_back()
-        known, split, ranked = _KNOWN[name], Splitter(pattern), every.value
-
-        def coded(word):
-            parts = []
-            for piece in split.pieces(word):
-                code = known.get(piece)
-                if code is None:
-                    own = piece.encode()
-                    code = np.array((merged_short if len(own) <= LONG else merged_by_heap)(own, ranked), dtype="<i4").tobytes()
-                parts.append(code)
-            return b"".join(parts)
-
-        class Words(dict):
-            """word -> the ids of the word and a space before it, as bytes."""
-
-            def __missing__(self, word):
-                code = coded(" " + word)
-                if len(word) <= LONG:
-                    if len(self) >= REMEMBERED:
-                        self.clear()
-                    self[word] = code
-                return code
-
-        code_of = Words().__getitem__
+        known, split = _KNOWN[name], Splitter(pattern)
+
+        def coded(words):
+            """The ids of each word as bytes; pieces that the dictionary has not are merged all at once."""
+            cut = [split.pieces(word) for word in words]
+            rare = {piece: piece.encode() for own in cut for piece in own if piece not in known}
+            short = [piece for piece, own in rare.items() if len(own) <= LONG]
+            code = dict(zip(short, merges.value.merged([rare[piece] for piece in short]))) if short else {}
+            for piece, own in rare.items():
+                if len(own) > LONG:
+                    code[piece] = np.array(merged_by_heap(own, every.value), dtype="<i4").tobytes()
+            return [b"".join([known[piece] if piece in known else code[piece] for piece in own]) for own in cut]
+
+        codes_of: dict[str, bytes] = {}  # of words with a space before them
         for batch in batches:
             step = max(1, batch.num_rows * (2 << 20) // max(1, batch.nbytes))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 cut = [split.words(t.as_py() or "") for t in part.column("text")]
-                codes = [coded(first) + b"".join(map(code_of, others)) for first, others in cut]
+                used = set().union(*(others for _, others in cut))
+                fresh = [word for word in used if word not in codes_of]
+                codes_of.update(zip(fresh, coded([" " + word for word in fresh])))
+                code_of = codes_of.__getitem__
+                codes = [first + b"".join(map(code_of, others)) for first, (_, others) in zip(coded([first for first, _ in cut]), cut)]
+                if len(codes_of) > REMEMBERED:
+                    codes_of = {word: code_of(word) for word in used}
                 sizes = np.concatenate([[0], np.cumsum([len(c) // 4 for c in codes])]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(codes), dtype="<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes), values)], names=["doc_id", "ids"])
@@ -287,13 +341,27 @@ def decoder(spark: SparkSession, ranks: dict[bytes, int]):
     """The function from batches (doc_id, ids) to batches (doc_id, ids, decoded)."""
     import pyarrow as pa
 
-    sent = spark.sparkContext.broadcast({r: t for t, r in ranks.items()})
+    size = np.full(max(ranks.values(), default=-1) + 1, -1, dtype=np.int32)
+    start = np.zeros(len(size), dtype=np.int32)
+    tokens = sorted(ranks, key=ranks.__getitem__)
+    at = np.array([ranks[t] for t in tokens], dtype=np.int64)
+    size[at] = [len(t) for t in tokens]
+    start[at] = np.cumsum([0, *(len(t) for t in tokens)])[:-1]
+    sent = spark.sparkContext.broadcast((size, start, np.frombuffer(b"".join(tokens), dtype=np.uint8)))
 
     def run(batches):
-        piece = sent.value.__getitem__
+        size, start, raw = sent.value
         for batch in batches:
-            texts = [b"".join(map(piece, ids.values.to_numpy().tolist())) if ids.is_valid else b"" for ids in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
+            ids = batch.column("ids")
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            if len(flat) and (flat.min() < 0 or flat.max() >= len(size) or size[flat].min() < 0):
+                raise KeyError("an id without a token")
+            ends = np.concatenate([[0], np.cumsum(size[flat], dtype=np.int64)])
+            # each byte's place in raw: its token's start and its place in the token
+            out = raw[np.repeat(start[flat] - ends[:-1], size[flat]) + np.arange(ends[-1])].tobytes()
+            rows = ends[np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])].tolist()
+            decoded = pa.array([out[x:y] for x, y in zip(rows, rows[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded], names=["doc_id", "ids", "decoded"])
 
     return run
 

@@ -61,3 +61,27 @@ def test_dictionary_keeps_its_bound(make, ranks, monkeypatch):
     docs = make([(i, " ".join(f"word{k}" for k in range(40))) for i in range(6)])
     found = B.dictionary(docs, public_tokenizers.PATTERN, B.rank_map(ranks), 5)
     assert found.count() == 5
+
+
+def test_many_pieces_are_merged_at_once(ranks):
+    rng = random.Random(4)
+    pieces = [bytes(rng.choice(b"abcdeth \xc3\xa9") for _ in range(rng.randint(1, 30))) for _ in range(500)] + [b"aaaaaaaaa", b"\n" * 9, bytes(range(256))]
+    assert B.Merges(ranks).merged(pieces) == [np.array(B.merged_by_heap(p, ranks), dtype="<i4").tobytes() for p in pieces]
+    assert B.Merges(ranks).merged([]) == []
+    few = {b"a": 0, b"b": 1, b"ab": 7, b"bab": 5}  # bab is made only of b and ab, after a rank above its own
+    assert B.Merges(few).merged([b"bab", b"abab", b"b"]) == [np.array(B.merged_by_heap(p, few), dtype="<i4").tobytes() for p in (b"bab", b"abab", b"b")]
+    with pytest.raises(KeyError):
+        B.Merges(few).merged([b"abc"])
+
+
+def test_no_rare_piece_is_merged_by_itself(make, ranks, monkeypatch):
+    """The work on rare pieces is one call for many texts, whose cost does not go with the number of pieces in Python."""
+    calls = []
+    merged = B.Merges.merged
+    monkeypatch.setattr(B.Merges, "merged", lambda self, pieces: calls.append(len(pieces)) or merged(self, pieces))
+    import pyarrow as pa
+
+    docs = make([(k, f"rareword{k}x other{k}y") for k in range(200)])
+    run = B.encoder(docs, ranks, public_tokenizers.PATTERN, 0)
+    out = list(run([pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([f"rareword{k}x other{k}y" for k in range(200)])], names=["doc_id", "text"])]))
+    assert sum(b.num_rows for b in out) == 200 and len(calls) == 2 and sum(calls) > 300
