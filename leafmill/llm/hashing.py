@@ -41,6 +41,34 @@ def ngrams(ids: np.ndarray, n: int) -> np.ndarray:
         return mixed(_windows(ids, n, total) + np.uint64(n))
 
 
+#: Longer words (in bytes) are hashed one by one.
+_LONG_WORD = 64
+_WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after another, A-Z lowered, and where each text's begin, and the last's end.
+    A word is hashed eight bytes at a time, all words at once."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = b"\n" + b"\n".join(parts).lower() + b"\n" * 9
+    inside = ~_WHITE[np.frombuffer(raw, dtype=np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    with np.errstate(over="ignore"):
+        out = size.astype(np.uint64) * _MULT
+        some, done = np.arange(len(starts)), 0
+        while len(some):
+            out[some] = mixed(out[some] * _MULT + (eight[starts[some] + done] & _MASKS[np.minimum(size[some] - done, 8)]))
+            done += 8
+            some = some[(size[some] > done) & (size[some] <= _LONG_WORD)]
+    for k in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[starts[k] : starts[k] + size[k]])
+    begin = np.cumsum([1] + [len(p) + 1 for p in parts])
+    return out, np.searchsorted(starts, begin)
+
+
 def _windows(ids: np.ndarray, n: int, total: int) -> np.ndarray:
     out, done, block, width, power = np.zeros(total, dtype=np.uint64), 0, ids, 1, _MULT
     while done < n:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import dropped, small, staged, trimmed
-from leafmill.llm.hashing import WordIds, mixed, ngrams
+from leafmill.llm.hashing import mixed, ngrams, word_hashes
 
 #: Tokens in this share of a batch's documents are frequent; the list has the commonest FREQUENT_MOST of them. Which tokens are
 #: frequent decides the order of tokens, and so the work, but not the result.
@@ -43,14 +43,25 @@ LEADER_ROUNDS, HOME_ROUNDS, BLOCK, BLOCK_TOKENS = 1, 2, 4096, 2 << 20
 WIDE = 2
 #: Nodes whose sets are fetched are broadcast up to this many, and else joined by a shuffle.
 BROADCAST_NODES = 500_000
+#: Rows of a task that writes labels, edges or hooks: small tables are not left in as many files as there are shuffle partitions.
+TASK_ROWS = 50_000
 
 
-def token_set(text: str | None, n: int, ids: WordIds) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of a text, A-Z lowered; of the whole sequence, if it has fewer words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    return np.unique(ngrams(ids.of(words), min(n, len(words))))
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many rows, in one partition for each TASK_ROWS of them, if it has more."""
+    return df.coalesce(max(1, ceil(rows / TASK_ROWS)))
+
+
+def token_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-word shingles, A-Z lowered; of the whole sequence, if it has fewer words."""
+    ids, at = word_hashes(texts)
+    windows, out = ngrams(ids, n), []
+    for a, b in zip(at.tolist(), at[1:].tolist()):
+        own = np.sort(windows[a : b - n + 1] if b - a >= n else ngrams(ids[a:b], max(1, b - a)))
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = own[1:] != own[:-1]
+        out.append(own[new])
+    return out
 
 
 def prefix_length(size: int, num: int, den: int) -> int:
@@ -138,7 +149,7 @@ def combination_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
-    """Rows that make(ids of words) -> f(batch columns) yields as lists or numpy arrays; batches are of about 4 MB."""
+    """Rows that make() -> f(batch columns) yields as lists or numpy arrays; batches are of about 4 MB."""
     from pyspark.sql.types import _parse_datatype_string
 
     kind = _parse_datatype_string(schema)
@@ -147,7 +158,7 @@ def _batches(docs: DataFrame, make, schema: str) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        out, f = to_arrow_schema(kind), make(WordIds(1 << 16))
+        out, f = to_arrow_schema(kind), make()
         for batch in batches:
             step = max(1, batch.num_rows * (4 << 20) // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
@@ -162,9 +173,9 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
     node. Besides, with size null: tok, count of the tokens that are common within a batch of documents."""
     from hashlib import md5
 
-    def make(ids):
+    def make():
         def f(doc_ids, texts):
-            sets = [token_set(t, n, ids) for t in texts]
+            sets = token_sets(texts, n)
             named = [node_of(s) if len(s) else (None, None) for s in sets]
             tokens, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64), return_counts=True)
             keep = counts >= max(4, FREQUENT_SHARE * len(sets))
@@ -213,13 +224,12 @@ class Sets:
         frequent one there. Rows of one task with equal sets are indexed once."""
         n, num, den, frequent, clashes = self.n, self.num, self.den, self.frequent, self.clashes
 
-        def make(ids):
+        def make():
             seen: set[int] = set()
 
             def f(texts):
                 toks, owners, sizes = [], [], []
-                for t in texts:
-                    s = token_set(t, n, ids)
+                for s in token_sets(texts, n):
                     if len(s) and (node := node_of(s, clashes)[0]) not in seen:
                         seen.add(node)
                         in_order, rare = ordered(s, frequent)
@@ -247,13 +257,12 @@ class Sets:
         """tok, node, size: the wanted (node, doc_id) by combinations of K tokens."""
         n, num, den, frequent, clashes = self.n, self.num, self.den, self.frequent, self.clashes
 
-        def make(ids):
+        def make():
             seen: set[int] = set()
 
             def f(owners, texts):
                 toks, nodes, sizes = [], [], []
-                for node, t in zip(owners, texts):
-                    s = token_set(t, n, ids)
+                for node, s in zip(owners, token_sets(texts, n)):
                     if len(s) and node not in seen and node_of(s, clashes)[0] == node:
                         seen.add(node)
                         keys = combination_keys(ordered(s, frequent)[0], num, den)
@@ -270,9 +279,9 @@ class Sets:
         """node, tokens of the wanted (node, doc_id)."""
         n, clashes = self.n, self.clashes
 
-        def make(ids):
+        def make():
             def f(owners, texts):
-                sets = [token_set(t, n, ids) for t in texts]
+                sets = token_sets(texts, n)
                 right = [i for i, s in enumerate(sets) if len(s) and node_of(s, clashes)[0] == owners[i]]
                 return [owners[i] for i in right], [sets[i].view(np.int64) for i in right]
 
@@ -284,11 +293,11 @@ class Sets:
         """node, size, bits of the wanted (node, doc_id): bitmaps of scale cells a token."""
         n, clashes = self.n, self.clashes
 
-        def make(ids):
+        def make():
             seen: set[int] = set()
 
             def f(owners, texts):
-                found = [(o, token_set(t, n, ids)) for o, t in zip(owners, texts) if o not in seen]
+                found = [(o, s) for o, s in zip(owners, token_sets(texts, n)) if o not in seen]
                 found = [(o, s) for o, s in found if len(s) and node_of(s, clashes)[0] == o]
                 seen.update(o for o, _ in found)
                 return [o for o, _ in found], [len(s) for _, s in found], [bitmap(s, scale) for _, s in found]
@@ -410,32 +419,32 @@ def contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     least one they link with, chains are halved by jumping, and links are contracted until none is left."""
     if labels is not None and links.isEmpty():
         return labels
-    old = labels
+    old, most = labels, 2 * links.count() + (0 if labels is None else labels.count())
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     if labels is None:
         labels = ends.select("node", F.col("node").alias("comp"))
     else:
         labels = labels.join(ends, "node", "full").select("node", F.coalesce("comp", "node").alias("comp"))
-    labels = staged(labels, "labels")
+    labels = staged(in_few(labels, most), "labels")
     if old is not None:
         dropped(old)
     on = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
     edges = links.join(on("a"), "a").join(on("b"), "b").select(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
-    edges = staged(edges.where("lo < hi").distinct(), "edges")
-    while not edges.isEmpty():
-        hook = staged(edges.groupBy("hi").agg(F.min("lo").alias("to")), "hooks")
+    edges = staged(in_few(edges.where("lo < hi").distinct(), most), "edges")
+    while left := edges.count():
+        hook = staged(in_few(edges.groupBy("hi").agg(F.min("lo").alias("to")), left), "hooks")
         while True:
             up = hook.select(F.col("hi").alias("_h"), F.col("to").alias("_t"))
-            jumped = staged(hook.join(up, F.col("to") == F.col("_h"), "left").select("hi", F.coalesce("_t", "to").alias("to"), F.col("_t").isNotNull().alias("moved")), "hooks")
+            jumped = staged(in_few(hook.join(up, F.col("to") == F.col("_h"), "left").select("hi", F.coalesce("_t", "to").alias("to"), F.col("_t").isNotNull().alias("moved")), left), "hooks")
             dropped(hook)
             hook = jumped
             if jumped.where("moved").isEmpty():
                 break
-        old, labels = labels, staged(labels.join(hook, F.col("comp") == F.col("hi"), "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+        old, labels = labels, staged(in_few(labels.join(hook, F.col("comp") == F.col("hi"), "left").select("node", F.coalesce("to", "comp").alias("comp")), most), "labels")
         dropped(old)
         a, b = (hook.select(F.col("hi").alias(f"h{x}"), F.col("to").alias(f"t{x}")) for x in "ab")
         moved = edges.join(a, F.col("lo") == F.col("ha"), "left").join(b, F.col("hi") == F.col("hb"), "left").select(F.coalesce("ta", "lo").alias("x"), F.coalesce("tb", "hi").alias("y"))
-        before, edges = edges, staged(moved.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).where("lo < hi").distinct(), "edges")
+        before, edges = edges, staged(in_few(moved.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).where("lo < hi").distinct(), left), "edges")
         dropped(before, hook)
     dropped(edges)
     return labels

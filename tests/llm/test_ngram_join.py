@@ -137,3 +137,43 @@ def test_bitmaps_bound_the_difference():
         differ = len(np.setxor1d(base, other))
         assert 0 < N.apart(N.bitmap(base), N.bitmap(other)) <= differ
         assert N.apart(N.bitmap(base), N.bitmap(base)) == 0
+
+
+def test_words_of_many_texts_are_hashed_at_once(monkeypatch):
+    import numpy as np
+
+    from leafmill.llm import hashing as H
+
+    odd = [None, "", " ", "a", "A b", "x" * 63, "x" * 64, "y" * 65, "\u00e9" * 40 + " \u00c9A\x0bb\x1cc", " lead trail ", "a\nb\tc\rd\x0ce f", "\ud800 q", "aa a aaa", "12345678 123456789 1234567", "\x00 \x00\x00 a\x00"]
+    calls, one = [], H.xxhash.xxh64_intdigest
+    monkeypatch.setattr(H.xxhash, "xxh64_intdigest", lambda w: calls.append(w) or one(w))
+    known = {}
+    for texts in (odd, odd[::-1], [], [""]):
+        ids, at = H.word_hashes(texts)
+        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        assert np.diff(at).tolist() == [len(w) for w in words]
+        assert all(known.setdefault(w, h) == h for w, h in zip((w for own in words for w in own), ids.tolist()))
+    assert len(set(known.values())) == len(known)
+    assert {len(w) > 64 for w in calls} == {True}  # only long words are hashed one by one
+    w = "a B c a b C a b".split()
+    assert [len(s) for s in N.token_sets([" ".join(w), None, "one", "one TWO", "one two"], 3)] == [3, 0, 1, 1, 1]
+    sets = N.token_sets(["one TWO", "one two", "a b c d"], 3)
+    assert sets[0].tolist() == sets[1].tolist() and sets[2].tolist() == sorted(set(sets[2].tolist()))
+
+
+def test_small_tables_of_the_contraction_are_few_files(spark, monkeypatch):
+    wrote, staged = [], N.staged
+    monkeypatch.setattr(N, "staged", lambda df, label: wrote.append((label, df.rdd.getNumPartitions())) or staged(df, label))
+    monkeypatch.setattr(N, "TASK_ROWS", 40)
+    links = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100 + k, 200 + k) for k in range(20)], "a long, b long")
+    names = {"spark.sql.shuffle.partitions": "11", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        found = {r.node: r.comp for r in N.contracted(None, links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {k: 0 for k in range(31)} | {100 + k: 100 + k for k in range(20)} | {200 + k: 100 + k for k in range(20)}
+    assert {label for label, _ in wrote} == {"labels", "edges", "hooks"} and max(n for _, n in wrote) <= 3
