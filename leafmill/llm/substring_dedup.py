@@ -172,7 +172,9 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     piece = min(PIECE, window)
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
 
-    def find(ids):
+    def find():
+        ids = WordIds()
+
         def f(doc_ids, ths, texts):
             out = ([], [], [])
             for d, h, t in zip(doc_ids, ths, texts):
@@ -192,7 +194,9 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     dropped(seen)
     followed = named.join(shared, (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_h"))).select("doc_id", "th", "text", "anchors")
 
-    def cut(ids):
+    def cut():
+        ids = WordIds()
+
         def f(doc_ids, ths, texts, shared):
             out, sent = ([], [], [], [], [], [], []), set()
             for d, h, t, wanted in zip(doc_ids, ths, texts, shared):
@@ -216,7 +220,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     several = staged(mins.join(several, "anchor"), "several")
     texts = found.where(F.col("words").isNotNull()).select("anchor", "frag", "words").join(several, ["anchor", "frag"]).select("anchor", "frag", "low", "kinds", "words")
 
-    def dealt(ids):
+    def dealt():
         def f(anchors, frags, lows, kinds, texts):
             out = ([], [], [], [], [], [])
             for a, g, low, k, text in zip(anchors, frags, lows, kinds, texts):
@@ -243,7 +247,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     gone = staged(gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("gone")["a"].alias("a"), F.col("gone")["b"].alias("b")), "gone")
     judged = rows.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_h")), "left").select("doc_id", "text", "a", "b")
 
-    def keep(ids):
+    def keep():
         def f(doc_ids, texts, starts, ends):
             out = ([], [], [], [])
             for d, t, a, b in zip(doc_ids, texts, starts, ends):

@@ -59,6 +59,12 @@ def test_odd_rows(odd, none):
     assert S.substring_dedup(none).count() == 0
 
 
+def test_words_are_taken_unchanged(make):
+    """Each function of batches makes what it remembers itself; words that differ in case are different ones."""
+    rows = [(1, "One two three four"), (2, "x One two three"), (3, "one two three"), (4, "two three four y")]
+    assert run(make(rows), 3) == brute(rows, 3) == [(1, 4, 0, rows[0][1]), (2, 4, 3, "x"), (3, 3, 0, rows[2][1]), (4, 4, 3, "y")]
+
+
 def test_automaton():
     a = S.Automaton()
     a.add("abcbc", 5), a.add("xbcb", 3)
