@@ -12,7 +12,7 @@ its set, which bounds the overlap from above, so that few pairs besides the link
 themselves. In other lists of combinations, nodes meet a leader for a few rounds, which joins groups of near copies at the
 cost of a pair a node. Where lists are then still of several components, each node goes with its token set to its longest
 list, its home, where blocks are compared exactly within tasks, which return no more links than join their components. Last,
-pairs without a common home are compared by bitmaps in all lists that are left, and those that may be links are verified.
+pairs without a common home are compared in the same way in all lists that are left.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ RUN_SIZE = 24
 LEADER_ROUNDS, HOME_ROUNDS, BLOCK, BLOCK_TOKENS = 1, 2, 4096, 2 << 20
 #: Cells a token of the bitmaps by which nodes of one list are compared: few pairs but links pass them.
 WIDE = 2
+#: Pairs that a task remembers not to be similar; then its memory starts afresh.
+MISSES = 1 << 16
 #: Nodes whose sets are fetched are broadcast up to this many, and else joined by a shuffle.
 BROADCAST_NODES = 500_000
 #: Rows of a task that writes labels, edges or hooks: small tables are not left in as many files as there are shuffle partitions.
@@ -520,6 +522,15 @@ def _groups(batches, keys: int, objects: tuple[int, ...]):
         yield [tuple(c[s:e] for c in rows) for s, e in zip(starts, ends)]
 
 
+def _spread(homes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The former homes of each row as a matrix, and where it has some."""
+    spread = np.zeros((len(homes), max(map(len, homes), default=0)), dtype=np.int64)
+    known = np.zeros(spread.shape, dtype=bool)
+    for r, own in enumerate(homes):
+        spread[r, : len(own)], known[r, : len(own)] = own, True
+    return spread, known
+
+
 def _pairs_batch(found: list) -> object:
     import pyarrow as pa
 
@@ -527,26 +538,29 @@ def _pairs_batch(found: list) -> object:
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
+def _unmet(bi, bj, block, node, comp, size, homes, bits, num: int, den: int):
+    """Chunks of (i, j): rows of blocks bi and bj of one list, of different components and without a common home, whose sizes and
+    bitmaps allow them to be similar."""
+    spread, known = _spread(homes)
+    for i, j in _may_link(np.flatnonzero(block == bi[0]), np.flatnonzero(block == bj[0]), size, bits, num, den):
+        met = (known[i] & known[j] & (spread[i] == spread[j])).any(axis=1)
+        ok = (comp[i] != comp[j]) & ~met & ((node[i] < node[j]) | (bi[0] != bj[0]))
+        if ok.any():
+            yield i[ok], j[ok]
+
+
 def close_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """a < b of rows (tok, bi, bj, block, node, comp, size, homes, bits), sorted by tok, bi, bj: pairs of one list, of blocks bi and
-    bj, of different components and without a common home, whose sizes and bitmaps allow them to be similar."""
+    """a < b of rows (tok, bi, bj, block, node, comp, size, homes, bits), sorted by tok, bi, bj: the pairs that _unmet() finds. Their
+    number grows with the square of a list's near misses."""
 
     def run(batches):
         found, held = [], 0
         for groups in _groups(batches, 3, (7, 8)):
-            for tok, bi, bj, block, node, comp, size, homes, bits in groups:
-                spread = np.zeros((len(node), HOME_ROUNDS), dtype=np.int64)
-                known = np.zeros((len(node), HOME_ROUNDS), dtype=bool)
-                for r, own in enumerate(homes):
-                    spread[r, : len(own)], known[r, : len(own)] = own, True
-                left, right = np.flatnonzero(block == bi[0]), np.flatnonzero(block == bj[0])
-                for i, j in _may_link(left, right, size, bits, num, den):
-                    met = (known[i] & known[j] & (spread[i] == spread[j])).any(axis=1)
-                    ok = (comp[i] != comp[j]) & ~met & ((node[i] < node[j]) | (bi[0] != bj[0]))
-                    if ok.any():
-                        x, y = node[i[ok]], node[j[ok]]
-                        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-                        held += len(x)
+            for _, bi, bj, block, node, comp, size, homes, bits in groups:
+                for i, j in _unmet(bi, bj, block, node, comp, size, homes, bits, num, den):
+                    x, y = node[i], node[j]
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                    held += len(x)
             if held > 1 << 19:  # a pair is met in many lists
                 found = [np.unique(np.concatenate(found, axis=1), axis=1)]
                 held = found[0].shape[1]
@@ -559,30 +573,78 @@ def close_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("tok", "bi", "bj", "block", "node", "comp", "size", "homes", "bits").mapInArrow(trimmed(run), "a long, b long")
 
 
+def with_partner(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """tok, node of the rows that are in a pair of close_pairs(); no more than there are rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for groups in _groups(batches, 3, (7, 8)):
+            found = []
+            for tok, bi, bj, block, node, comp, size, homes, bits in groups:
+                some = np.zeros(len(node), dtype=bool)
+                for i, j in _unmet(bi, bj, block, node, comp, size, homes, bits, num, den):
+                    some[i] = some[j] = True
+                found.append(np.stack([tok[some], node[some]]))
+            if found:
+                tok, node = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(node)], names=["tok", "node"])
+
+    return rows.select("tok", "bi", "bj", "block", "node", "comp", "size", "homes", "bits").mapInArrow(trimmed(run), "tok long, node long")
+
+
+class Joined:
+    """Which components the links of a task have joined so far."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def of(self, comp: int) -> int:
+        while (above := self.up.get(comp)) is not None:
+            if (top := self.up.get(above)) is not None:
+                self.up[comp] = top
+            comp = above
+        return comp
+
+    def roots(self, comps: np.ndarray) -> np.ndarray:
+        own, back = np.unique(comps, return_inverse=True)
+        return np.array([self.of(c) for c in own.tolist()], dtype=np.int64)[back]
+
+
 def joining_links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """a < b of rows (tok, bi, bj, block, node, comp, tokens), sorted by tok, bi, bj: links between blocks bi and bj of one list, so
-    many that they join all components that its links join. Sets are compared themselves, after bitmaps of 8 cells a token."""
+    """a < b of rows (tok, bi, bj, block, node, comp, homes, tokens), sorted by tok, bi, bj: links between blocks bi and bj of one
+    list, so many that with those of the lists before in the task they join all components that its links join; so a task yields
+    fewer than it has components. Sets are compared themselves, after bitmaps of 8 cells a token, but for pairs with a common home."""
 
     def run(batches):
-        for groups in _groups(batches, 3, (6,)):
+        joined, misses = Joined(), set()  # a pair of near misses is met in many lists
+        for groups in _groups(batches, 3, (6, 7)):
             found = []
-            for tok, bi, bj, block, node, comp, tokens in groups:
+            for tok, bi, bj, block, node, comp, homes, tokens in groups:
+                root = joined.roots(comp)
+                if (root == root[0]).all():
+                    continue
                 sets = [np.asarray(t).view(np.uint64) for t in tokens]
                 size = np.array([len(t) for t in sets], dtype=np.int64)
                 bits = [bitmap(t, 8) for t in sets]
-                left, right = np.flatnonzero(block == bi[0]), np.flatnonzero(block == bj[0])
-                root = comp.copy()
-                for i, j in _may_link(left, right, size, bits, num, den):
-                    for x, y in zip(i[apart := root[i] != root[j]].tolist(), j[apart].tolist()):
-                        if root[x] != root[y]:
-                            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                            if common * den >= num * (size[x] + size[y] - common):
-                                root[root == root[y]] = root[x]
-                                found.append([[min(node[x], node[y])], [max(node[x], node[y])]])
+                for i, j in _unmet(bi, bj, block, node, root, size, homes, bits, num, den):
+                    for x, y in zip(i.tolist(), j.tolist()):
+                        pair = (int(min(node[x], node[y])), int(max(node[x], node[y])))
+                        if root[x] == root[y] or pair in misses:
+                            continue
+                        common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if common * den >= num * (size[x] + size[y] - common):
+                            joined.up[int(root[y])] = int(root[x])
+                            root[root == root[y]] = root[x]
+                            found.append([[pair[0]], [pair[1]]])
+                        else:
+                            if len(misses) >= MISSES:
+                                misses.clear()
+                            misses.add(pair)
             if found:
                 yield _pairs_batch(found)
 
-    return rows.select("tok", "bi", "bj", "block", "node", "comp", "tokens").mapInArrow(trimmed(run), "a long, b long")
+    return rows.select("tok", "bi", "bj", "block", "node", "comp", "homes", "tokens").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _with_end(batches):
@@ -614,16 +676,36 @@ def _at_home(lists: DataFrame, sets: Sets) -> tuple[DataFrame, DataFrame]:
     """Links that join the components within each node's longest list (tok, node, comp, length, homes) but for its former homes,
     and node, home."""
     longest = F.max(F.struct("length", "tok"))
-    home = lists.where(~F.array_contains("homes", F.col("tok"))).groupBy("node").agg(longest.alias("h"), F.min("comp").alias("comp")).select("node", "comp", F.col("h")["tok"].alias("tok"))
+    home = lists.where(~F.array_contains("homes", F.col("tok"))).groupBy("node").agg(longest.alias("h"), F.min("comp").alias("comp"), F.min("homes").alias("homes")).select("node", "comp", "homes", F.col("h")["tok"].alias("tok"))
     home = staged(home.join(sets.info.select("node", "doc_id", "size"), "node"), "homes")
-    volumes = home.groupBy("tok").agg(F.sum("size").alias("volume"), F.count("*").alias("members")).where("members > 1")
+    return _joining(home, sets), home.select("node", F.col("tok").alias("home"))
+
+
+def _left_over(lists: DataFrame, sets: Sets) -> DataFrame:
+    """Links that join the components within all lists (tok, node, comp, length, homes), pairs with a common home apart. Token sets go
+    only to the lists in which a node's bitmap leaves it a partner."""
+    wanted = staged(lists.select("node").distinct().join(sets.info.select("node", "doc_id"), "node"), "compared")
+    bits = staged(sets.bitmaps(wanted, WIDE), "bitmaps")
+    rows = _dealt(lists.join(bits, "node"), F.ceil(F.col("length") / BLOCK))
+    some = staged(with_partner(rows, sets.num, sets.den).distinct(), "partners")
+    left = lists.select("tok", "node", "comp", "homes").join(some, ["tok", "node"]).join(sets.info.select("node", "doc_id", "size"), "node")
+    links = _joining(left, sets)
+    dropped(wanted, bits, some)
+    return links
+
+
+def _joining(lists: DataFrame, sets: Sets) -> DataFrame:
+    """joining_links() of lists (tok, node, doc_id, size, comp, homes), to which token sets are fetched, written."""
+    volumes = lists.groupBy("tok").agg(F.sum("size").alias("volume"), F.count("*").alias("members")).where("members > 1")
     # a set goes with every pair of blocks, but lists of under BLOCK_TOKENS have one
-    own = home.join(small(volumes, BROADCAST_NODES), "tok")
-    tokens = staged(sets.tokens(own.select("node", "doc_id")), "sets")
-    rows = own.select("tok", "node", "comp", "volume").join(tokens, "node")
-    links = staged(joining_links(_dealt(rows, F.ceil(F.col("volume") / BLOCK_TOKENS)), sets.num, sets.den).distinct(), "links")
-    dropped(tokens)
-    return links, home.select("node", F.col("tok").alias("home"))
+    own = lists.join(small(volumes, BROADCAST_NODES), "tok")
+    wanted = staged(own.select("node", "doc_id").distinct(), "compared")
+    tokens = staged(sets.tokens(wanted), "sets")
+    rows = own.select("tok", "node", "comp", "homes", "volume", "members").join(tokens, "node")
+    blocks = F.greatest(F.ceil(F.col("volume") / BLOCK_TOKENS), F.ceil(F.col("members") / BLOCK))
+    links = staged(joining_links(_dealt(rows, blocks), sets.num, sets.den).distinct(), "links")
+    dropped(wanted, tokens)
+    return links
 
 
 def _apart(near: DataFrame, labels: DataFrame) -> DataFrame:
@@ -698,7 +780,7 @@ def components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             before, long = long, staged(long.join(home, "node", "left").withColumn("homes", F.when(F.col("home").isNull(), F.col("homes")).otherwise(F.array_append("homes", F.col("home")))), "lists")
             dropped(before)
         else:
-            labels = contracted(labels, _compared(long, sets))
+            labels = contracted(labels, _left_over(long, sets))
     named = sets.info.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     known = named.select("node", "comp").join(least, "comp").select("node", "comp", "component_id")

@@ -127,6 +127,32 @@ def test_blocks_of_a_list_of_near_misses(make, monkeypatch):
         assert len({c for _, _, c in found}) > 1
 
 
+def test_near_misses_are_not_written_as_pairs(make, monkeypatch):
+    """Near misses of one list number the square of its nodes; what tasks yield for them does not."""
+    monkeypatch.setattr(N, "LONG_LIST", 2)
+    monkeypatch.setattr(N, "PAIR_LIST", 2)
+    monkeypatch.setattr(N, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(N, "HOME_ROUNDS", 0)
+    counts = []
+    for name in ("close_pairs", "joining_links"):
+
+        def counted(*args, whole=getattr(N, name)):
+            out = N.staged(whole(*args), "counted")
+            counts.append(out.count())
+            return out
+
+        monkeypatch.setattr(N, name, counted)
+    rng = random.Random(9)
+    rows = []
+    for k in range(50):
+        w = [f"w{i}" for i in range(397)]
+        for at in rng.sample(range(1, 99), 4):  # without a place in common, 362 of 426 shingles are
+            w[4 * at] = f"e{k}_{at}"
+        rows.append((k, " ".join(w)))
+    assert run(make(rows), 4, 85, 100) == brute(rows, 4, 85, 100)
+    assert counts and sum(counts) < 5 * len(rows)
+
+
 def test_bitmaps_bound_the_difference():
     import numpy as np
 
