@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.byte_bpe import encode, load_ranks
-from leafmill.llm.common import staged, table
+from leafmill.llm.common import driver_gives_back, staged, table
 from leafmill.llm.line_dedup import line_dedup
 from leafmill.llm.mixing import mixture
 from leafmill.llm.ngram_join import one_of_each_group
@@ -64,4 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        driver_gives_back(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -90,6 +91,14 @@ def give_back() -> None:
         trim(0)
 
 
+def driver_gives_back(spark: SparkSession) -> None:
+    """Lets the driver drop what finished jobs left: the plans, generated classes and broadcast blocks that only its next collection
+    would find, and what its Python has freed. A job of hundreds of small queries would else let its heap grow to its bound."""
+    gc.collect()
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 def trimmed(run):
     """run, a function of batches, after which its worker gives back what it has freed: workers live on, and what one stage held would
     add to the memory of the next."""

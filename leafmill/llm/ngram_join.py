@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import dropped, small, staged, trimmed
+from leafmill.llm.common import driver_gives_back, dropped, small, staged, trimmed
 from leafmill.llm.hashing import mixed, ngrams, word_hashes
 
 #: Tokens in this share of a batch's documents are frequent; the list has the commonest FREQUENT_MOST of them. Which tokens are
@@ -449,6 +449,7 @@ def contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         before, edges = edges, staged(in_few(moved.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).where("lo < hi").distinct(), left), "edges")
         dropped(before, hook)
     dropped(edges)
+    driver_gives_back(links.sparkSession)
     return labels
 
 
