@@ -66,14 +66,18 @@ def stripped(text: Column) -> Column:
 
 def samples(text: Column, size: int = 200) -> Column:
     """struct<beginning, middle, end> of the stripped text: short texts are all beginning, and a middle needs twice the size."""
-    t = stripped(text)
-    n = F.length(t)
-    cut = lambda start: F.substring(t, start + 1, F.lit(size))
-    return F.struct(
-        F.when(n > 0, F.substring(t, 1, size)).alias("beginning"),
-        F.when(n > 2 * size, cut(F.floor((n - size) / 2).cast("int"))).alias("middle"),
-        F.when(n > size, cut(n - size)).alias("end"),
-    )
+
+    def cuts(t: Column) -> Column:
+        n = F.length(t)
+        cut = lambda start: F.substring(t, start + 1, F.lit(size))
+        return F.struct(
+            F.when(n > 0, F.substring(t, 1, size)).alias("beginning"),
+            F.when(n > 2 * size, cut(F.floor((n - size) / 2).cast("int"))).alias("middle"),
+            F.when(n > size, cut(n - size)).alias("end"),
+        )
+
+    # bound to a lambda's variable, so that the text is made and stripped once
+    return F.get(F.transform(F.transform(F.array(text), stripped), cuts), F.lit(0))
 
 
 def span(text: Column, start: Column, end: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators import search as S
+from leafmill.staging import at_most, small, staged
 
 BOOSTS = {"beginning": 1.2, "middle": 1.0, "end": 1.0}
 TITLE = 0.3
@@ -24,18 +25,38 @@ def volume_scores(texts: DataFrame, id: str, text: str, chunks: DataFrame, title
     """query, volume_id, score: for each sample the best of a volume's chunks, boosted, and its beginning in the titles, added up.
     chunks: texts or postings whose id is struct<volume_id, n>; a sample must be within one chunk. titles: the same by volume_id. own: the
     volumes (query, volume_id) that a query leaves out; they count for the weights of tokens all the same."""
-    phrases = S.phrase_words(sample_phrases(texts, id, text))
-    hits = S.scored_hits(chunks, phrases, ["query", "sample"])
+    scores, queries = class_scores(texts, id, text, chunks, titles, own)
+    rows = scores.join(queries, "c").select("query", "volume_id", "score")
+    return rows if own is None else rows.join(own.select("query", "volume_id").distinct(), ["query", "volume_id"], "left_anti")
+
+
+def class_scores(texts: DataFrame, id: str, text: str, chunks: DataFrame, titles: DataFrame | None = None, own: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """scores: c, volume_id, score, as volume_scores, for classes c of queries with equal samples; queries: c, query. The volumes of own are
+    left out before scores are made where a class is one query, and are still there where it is several."""
+    phrases = S.keyed_phrases(S.phrase_words(sample_phrases(texts, id, text)), ["query", "sample"])
+    queries = staged(phrases.groupBy("query").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("sample", "p")))).alias("c")), "queries")
+    single = queries.groupBy("c").agg(F.min("query").alias("query"), F.count("*").alias("_n")).where("_n = 1").select("c", "query")
+    asked = staged(phrases.select("query", "sample", "p").join(queries, "query").select("c", "sample", "p").distinct(), "asked")
+    left_out = None if own is None else staged(own.select("query", "volume_id").distinct().join(single, "query").select("c", "volume_id"), "own")
+
+    def scored(posts: DataFrame, wanted: DataFrame, sought: DataFrame, volume: Column) -> DataFrame:
+        rows = S.found_phrases(posts, sought).join(small(wanted, S.TERMS), "p").select("c", "sample", "p", "id", "field")
+        if left_out is not None:
+            rows = rows.withColumn("volume_id", volume).join(small(left_out, S.TERMS), ["c", "volume_id"], "left_anti").drop("volume_id")
+        rows = staged(rows, "hits")
+        with_hits = staged(sought.select("p", "w").dropDuplicates(["p"]).join(small(rows.select("p").distinct(), S.TERMS), "p", "left_semi"), "found")
+        return S.scored(posts, with_hits, rows, ["c", "sample"]).withColumn("volume_id", volume)
+
     boost = F.lit(1.0)
     for sample, value in BOOSTS.items():
         boost = F.when(F.col("sample") == sample, value).otherwise(boost)
-    parts = hits.groupBy("query", "sample", F.col("id")["volume_id"].alias("volume_id")).agg((F.max("score") * F.first(boost)).alias("score"))
-    if titles is not None:
-        named = S.scored_hits(titles, phrases.where("sample = 'beginning'"), ["query", "sample"]).select("query", "sample", F.col("id").alias("volume_id"), (F.col("score") * TITLE).alias("score"))
-        parts = parts.unionByName(named)
-    if own is not None:
-        parts = parts.join(own.select("query", "volume_id").distinct(), ["query", "volume_id"], "left_anti")
-    return parts.groupBy("query", "volume_id").agg(F.sum("score").alias("score"))
+    hits = scored(chunks, asked, phrases, F.col("id")["volume_id"])
+    parts = hits.groupBy("c", "sample", "volume_id").agg((F.max("score") * F.first(boost)).alias("score"))
+    if titles is not None and not at_most(titles, 0):
+        first = "sample = 'beginning'"
+        named = scored(titles, asked.where(first), phrases.where(first), F.col("id"))
+        parts = parts.unionByName(named.select("c", "sample", "volume_id", (F.col("score") * TITLE).alias("score")))
+    return parts.groupBy("c", "volume_id").agg(F.sum("score").alias("score")), queries
 
 
 def volume_postings(volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +76,7 @@ def segment_texts(volumes: DataFrame) -> DataFrame:
     parts = F.when(F.coalesce(F.size("segments"), F.lit(0)) > 0, F.transform("segments", one)).otherwise(F.array(whole))
     rows = volumes.select(F.col("id").alias("volume_id"), "chunks", F.explode(parts).alias("_s")).where("_s.cend > _s.cstart")
     out = rows.select(F.concat_ws("#", "volume_id", F.col("_s")["idx"].cast("string")).alias("query"), "volume_id", F.col("_s")["idx"].alias("segment_idx"), *(F.col("_s")[c].alias(c) for c in ("wa_id", "mw_id", "title", "cstart", "cend")), span_text(F.col("chunks"), F.col("_s")["cstart"], F.col("_s")["cend"]).alias("text"))
-    return out.where(F.length(T.stripped(F.col("text"))) > 0)
+    return out.where(F.col("text").rlike(r"\S"))
 
 
 def reference_texts(refs: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -93,8 +114,12 @@ def segment_duplicates(volumes: DataFrame, least: float = LEAST_SCORE, k: int =
 
     segments = segment_texts(volumes)
     chunks, titles = volume_postings(volumes)
-    scores = volume_scores(segments, "query", "text", chunks, titles, own=segments).withColumn("score", F.round("score", 9))
-    best = top_k(scores, "query", F.col("score"), "volume_id", k).where(F.col("score") >= least)
+    scores, queries = class_scores(segments, "query", "text", chunks, titles, own=segments)
+    # a segment leaves out its own volume only, so that of equal segments k + 1 volumes are enough
+    few = top_k(scores.withColumn("score", F.round("score", 9)), "c", F.col("score"), "volume_id", k + 1).where(F.col("score") >= least)
+    mine = segments.select("query", "volume_id").distinct()
+    rows = few.join(queries, "c").select("query", "volume_id", "score").join(mine, ["query", "volume_id"], "left_anti")
+    best = top_k(rows, "query", F.col("score"), "volume_id", k)
     matched = best.select("query", F.col("volume_id").alias("match_volume"), F.round("score", 3).alias("score"))
     works = works_of(volumes).select(F.col("volume_id").alias("match_volume"), F.col("wa_id").alias("match_wa")).distinct()
     source = segments.select("query", "volume_id", "segment_idx", F.col("wa_id").alias("source_wa"), "mw_id", "title")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import phrase_finder
 from leafmill.operators.dedup import idf
-from leafmill.staging import small, spread, staged
+from leafmill.staging import at_most, small, spread, staged
 
 SLOP_EVERY, SLOP_MOST = 6, 5
 #: Rows of phrases and tokens are broadcast up to so many, and else joined by a shuffle.
@@ -81,8 +81,9 @@ def _distinct_ids(posts: DataFrame, by: list[str], rows: DataFrame) -> DataFrame
 def weights(posts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """field, token, weight: idf of the tokens of each field among the documents that have the field; of the tokens in terms only,
     if given. posts: of postings or texts."""
-    asked = None if terms is None else small(staged(terms.select("token").distinct(), "terms"), TERMS)
-    of_asked = lambda rows: rows if asked is None else rows.join(asked, "token", "left_semi")
+    asked = None if terms is None else staged(terms.select("token").distinct(), "terms")
+    few = asked is not None and at_most(asked, TERMS)
+    of_asked = lambda rows: rows.join(F.broadcast(asked), "token", "left_semi") if few else rows
     if "w" in posts.columns:
         total = _distinct_ids(posts, ["field"], posts.where(F.size("w") > 0).select("id", "field")).withColumnRenamed("n", "_t")
         tokens = posts.select("id", "field", F.explode(F.array_distinct("w")).alias("token"))
@@ -90,6 +91,8 @@ def weights(posts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     else:
         total = posts.groupBy("field").agg(F.count_distinct("id").alias("_t"))
         held = of_asked(posts).groupBy("field", "token").agg(F.count_distinct("id").alias("_n"))
+    if asked is not None and not few:
+        held = held.join(asked, "token", "left_semi")  # counts meet many terms, not the words themselves
     return held.join(F.broadcast(total), "field").select("field", "token", idf(F.col("_n"), F.col("_t")).alias("weight"))
 
 
@@ -105,19 +108,28 @@ def phrase_table(phrases: DataFrame, text: str = "phrase", analyzer: str = "word
     return toks.select(*(c for c in toks.columns if c != "w"), F.posexplode("w").alias("qpos", "token"))
 
 
-def _found(posts: DataFrame, phrases: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The phrases, staged, one row each, and id, field, p of the phrases p found. posts: of postings or texts; phrases: of phrase_words
-    or phrase_table."""
+def keyed_phrases(phrases: DataFrame, by: list[str]) -> DataFrame:
+    """by, slop, n, w, p and the keys to look for, staged, one row a phrase; p: equal for equal phrases. phrases: of phrase_words or
+    phrase_table."""
     if "w" not in phrases.columns:
         rows = phrases.groupBy(*by, "slop", "n").agg(F.array_sort(F.collect_list(F.struct("qpos", "token"))).alias("w"))
         phrases = rows.withColumn("w", F.col("w")["token"])
-    own = staged(phrase_finder.keyed(phrases.select(*by, "slop", "n", "w")), "phrases")
+    return staged(phrase_finder.keyed(phrases.select(*by, "slop", "n", "w")), "phrases")
+
+
+def found_phrases(posts: DataFrame, own: DataFrame) -> DataFrame:
+    """id, field, p of the phrases p found. posts: of postings or texts; own: of keyed_phrases."""
     if "w" in posts.columns:
         hashed = posts.select("id", "field", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.lit(None).cast("array<long>").alias("pos"))
     else:
         rows = posts.groupBy("id", "field").agg(F.array_sort(F.collect_set(F.struct(F.col("pos").cast("long").alias("pos"), F.xxhash64("token").alias("h")))).alias("_w"))
         hashed = rows.select("id", "field", F.col("_w")["h"].alias("h"), F.col("_w")["pos"].alias("pos"))
-    return own, phrase_finder.found(hashed, own)
+    return phrase_finder.found(hashed, own)
+
+
+def _found(posts: DataFrame, phrases: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    own = keyed_phrases(phrases, by)
+    return own, found_phrases(posts, own)
 
 
 def phrase_hits(posts: DataFrame, phrases: DataFrame, by: list[str]) -> DataFrame:
@@ -127,16 +139,21 @@ def phrase_hits(posts: DataFrame, phrases: DataFrame, by: list[str]) -> DataFram
     return hits.join(small(own.select(*by, "p"), TERMS), "p").select(*by, "id", "field")
 
 
-def scored_hits(posts: DataFrame, phrases: DataFrame, by: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
-    """by, id, score: the best field's sum of the weights of a phrase's tokens, times the field's boost."""
-    own, hits = _found(posts, phrases, by)
+def scored(posts: DataFrame, own: DataFrame, hits: DataFrame, by: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
+    """by, id, score of hits (by, id, field, p): as scored_hits. own: of keyed_phrases, those that have hits at least."""
     words = own.select("p", F.explode("w").alias("token"))
     weight = small(staged(weights(posts, words), "weights"), TERMS)
     worth = own.dropDuplicates(["p"]).select("p", F.explode("w").alias("token")).join(weight, "token").groupBy("p", "field").agg(F.sum("weight").alias("_w"))
     boost = F.lit(1.0)
     for field, value in (boosts or {}).items():
         boost = F.when(F.col("field") == field, value).otherwise(boost)
-    best = hits.join(worth, ["p", "field"]).groupBy("p", "id").agg(F.max(F.col("_w") * boost).alias("score"))
+    return hits.join(worth, ["p", "field"]).groupBy(*by, "id").agg(F.max(F.col("_w") * boost).alias("score"))
+
+
+def scored_hits(posts: DataFrame, phrases: DataFrame, by: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
+    """by, id, score: the best field's sum of the weights of a phrase's tokens, times the field's boost."""
+    own, hits = _found(posts, phrases, by)
+    best = scored(posts, own, hits, ["p"], boosts)
     return best.join(small(own.select(*by, "p"), TERMS), "p").select(*by, "id", "score")
 
 

@@ -54,3 +54,25 @@ def test_weights_count_ids_once(spark):
     assert of(S.texts(docs, "id", ["t"])) == of(S.postings(docs, "id", ["t"]))
     lists = spark.createDataFrame([(1, ["a b", "a"]), (2, ["b", "c"]), (3, [])], "id int, t array<string>")
     assert of(S.texts(lists, "id", ["t"])) == of(S.postings(lists, "id", ["t"]))
+
+
+def test_keys_of_many_phrases_are_those_of_each():
+    import numpy as np
+
+    n = np.array([1, 2, 3, 4, 7, 8, 9, 33, 1])
+    h = np.random.default_rng(1).integers(0, 2**62, n.sum()).astype(np.uint64)
+    starts, slop = np.cumsum(n) - n, np.array([0, 1, 0, 2, 0, 0, 3, 0, 4])
+    together = list(zip(*(x.tolist() for x in P.phrase_keys(h, starts, n, slop))))
+    each = [tuple(x.tolist()[0] for x in P.phrase_keys(h[a : a + k], np.array([0]), np.array([k]), np.array([s]))) for a, k, s in zip(starts, n, slop)]
+    assert together == each and [level for level, _, _ in each] == [0, 1, 1, 2, 2, 3, 3, 5, 0]
+
+
+def test_counts_and_not_words_meet_many_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a c"), (3, "d")], "id int, t string")
+    posts, terms = S.texts(docs, "id", ["t"]), spark.createDataFrame([("a",), ("d",), ("x",), ("a",)], "token string")
+    few = sorted(map(str, S.weights(posts, terms).collect()))
+    monkeypatch.setattr(S, "TERMS", 1)
+    many = S.weights(posts, terms)
+    assert sorted(map(str, many.collect())) == few and len(few) == 2
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("Generate explode")  # read from the result down: the join is above the counts

@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
 from pytest import approx
 
+from leafmill import schemas
 from leafmill.operators import matching as X
 from leafmill.operators import search as S
 
@@ -55,3 +57,22 @@ def test_find_work(spark):
 
 def test_highlight(spark):
     assert spark.createDataFrame([("a b. c",)], "t string").select(S.highlighted(__import__("pyspark").sql.functions.col("t"), ["b."])).first()[0] == "a <em>b.</em> c"
+
+
+def test_queries_of_equal_samples_are_scored_once(spark, monkeypatch):
+    """40 copies of a long text, two that share its beginning and one of its own: each leaves itself out, and hits grow with the texts."""
+    tables, keep = [], X.staged
+    monkeypatch.setattr(X, "staged", lambda df, label, **options: tables.append((label, keep(df, label, **options))) or tables[-1][1])
+    body = " ".join(f"w{100 + k}" for k in range(200))
+    texts = [body] * 40 + [body[:300] + f" only{k} " + "x y z " * 60 for k in range(2)] + [f"q r{k} s" for k in range(60)]
+    docs = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, text string")
+    chunk = F.struct(F.lit(0).alias("cstart"), F.length("text").alias("cend"), F.col("text").alias("text_bo"))
+    volumes = docs.select("id", F.lit("w").alias("wa_id"), F.lit(None).cast("string").alias("mw_id"), F.array(chunk).alias("chunks"), F.lit(None).cast(f"array<{schemas.SEGMENT}>").alias("segments"))
+    found = {}
+    for r in X.segment_duplicates(volumes).collect():
+        found.setdefault(r.volume_id, set()).add(r.match_volume)
+    copies = sorted(map(str, range(40)))
+    assert all(found[k] == set([x for x in copies if x != k][:10]) for k in copies)
+    # their middle and end are their own, and their beginning is that of all others
+    assert all(len(found[k]) == 10 and k not in found[k] for k in ("40", "41")) and "42" not in found
+    assert sum(df.count() for label, df in tables if label == "hits") <= 400 < 3 * 40 * 40
